@@ -272,3 +272,85 @@ FROM st3"""
 ORACLES["factor_pvalues"] = _ols_sql(True) + f"""
 SELECT path, horizon, df, round({_tp('t_alpha', 'df')}, 8) AS pval_alpha, round({_tp('t_beta', 'df')}, 8) AS pval_beta
 FROM st3"""
+
+# ------------------------------------------------------------ step 4: text
+
+_NUM = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
+_SPLIT = r"[ \t\n\r\f\x0B]+"
+
+ORACLES["is_number"] = f"""
+WITH tok AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '{_SPLIT}'), lambda t: t <> '') AS ts FROM documents
+)
+SELECT doc_id, len(ts)::BIGINT AS n_tokens,
+       len(list_filter(ts, lambda t: regexp_matches(regexp_replace(t, '[, $()%]', '', 'g'), '{_NUM}')))::BIGINT AS n_number_table,
+       len(list_filter(ts, lambda t: regexp_matches(regexp_replace(t, '[, ]', '', 'g'), '{_NUM}')))::BIGINT AS n_number_row,
+       len(list_filter(ts, lambda t: regexp_matches(t, '^\\s*[+-]?\\d+\\s*$')))::BIGINT AS n_integer
+FROM tok"""
+
+ORACLES["clean_text"] = r"""
+WITH both_ AS (
+  SELECT doc_id AS id, 'doc' AS kind, text FROM documents
+  UNION ALL SELECT page_id, 'page', html FROM pages
+), c AS (
+  SELECT id, kind, text, regexp_replace(regexp_replace(text, '\r+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g') AS out
+  FROM both_
+)
+SELECT id, kind, length(text)::BIGINT AS n_in, length(out)::BIGINT AS n_out, md5(out) AS md5_out FROM c"""
+
+FIX_RESPONSES = r"""
+resp0 AS (
+  SELECT d.doc_id, (d.doc_id % 11)::VARCHAR AS g, substring(d.text, 1, 80) AS t, d.doc_id % 8 AS kind
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+),
+responses AS (
+  SELECT doc_id AS report,
+         CASE kind WHEN 0 THEN g || '; ' || t WHEN 1 THEN 'None; ' || t
+                   WHEN 2 THEN 'The grade is ' || g || ' because ' || t WHEN 3 THEN 'None of the data ' || t
+                   WHEN 4 THEN g || '; a; b' WHEN 5 THEN 'no grade' WHEN 6 THEN '12; out of range'
+                   ELSE g || '.5; ' || t END AS resp
+  FROM resp0
+)"""
+
+# Grade parse written as a per-case table of the reference's branches.
+ORACLES["grade_parse"] = with_(FIX_RESPONSES) + r"""
+, p AS (
+  SELECT report, resp, strpos(resp, ';') AS spos, split_part(resp, ';', 1) AS head,
+         regexp_extract(substring(resp, 1, 40), '\b(\d{1,2})\b', 1) AS m
+  FROM responses
+), p2 AS (
+  SELECT *, regexp_matches(head, '^\s*[+-]?\d+\s*$') AS int_head, TRY_CAST(m AS INTEGER) AS g2 FROM p
+)
+SELECT report, resp,
+       CASE WHEN spos > 0 THEN (CASE WHEN int_head THEN TRY_CAST(trim(head) AS INTEGER) END)
+            WHEN m <> '' THEN g2 END AS grade,
+       CASE WHEN spos > 0 THEN (CASE WHEN head = 'None' OR int_head THEN substring(resp, spos + 1) ELSE resp END)
+            WHEN m <> '' THEN substring(resp, strpos(resp, g2::VARCHAR) + 2)
+            WHEN contains(substring(resp, 1, 10), 'None') THEN substring(resp, 6)
+            ELSE resp END AS answer
+FROM p2"""
+
+_FREQ = {
+    "A": 0.082, "B": 0.015, "C": 0.028, "D": 0.043, "E": 0.127, "F": 0.022, "G": 0.02, "H": 0.061,
+    "I": 0.07, "J": 0.0015, "K": 0.0077, "L": 0.04, "M": 0.024, "N": 0.067, "O": 0.075, "P": 0.019,
+    "Q": 0.00095, "R": 0.06, "S": 0.063, "T": 0.091, "U": 0.028, "V": 0.0098, "W": 0.024, "X": 0.0015,
+    "Y": 0.02, "Z": 0.00074,
+}
+# Oracle formulation: explode characters and join the frequency table; the
+# zero-count letters enter through sum(n*f) - 2*sum(obs) + sum(obs^2/(n*f)).
+ORACLES["letter_profile"] = (
+    "WITH freq(letter, f) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _FREQ.items()) + r"""),
+ch AS (
+  SELECT doc_id, upper(c) AS letter FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c FROM documents)
+  WHERE regexp_matches(c, '^[A-Za-z]$')
+),
+cnt AS (SELECT doc_id, letter, count(*)::DOUBLE AS obs FROM ch GROUP BY doc_id, letter),
+tot AS (SELECT doc_id, sum(obs) AS n FROM cnt GROUP BY doc_id),
+agg AS (
+  SELECT c.doc_id, t.n, sum(c.obs * c.obs / (t.n * f.f)) AS s2
+  FROM cnt c JOIN tot t USING (doc_id) JOIN freq f USING (letter) GROUP BY c.doc_id, t.n
+)
+SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_letters,
+       round(a.s2 - 2 * a.n + a.n * (SELECT sum(f) FROM freq), 6) AS chi2
+FROM documents d LEFT JOIN agg a USING (doc_id)"""
+)

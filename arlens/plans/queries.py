@@ -132,3 +132,57 @@ def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null counts and drop mask per report window."""
     p = factors.missing_profile(report.window_rows(spark, sf_dir))
     return p.select("path", "horizon", "n_rows", "name", *[c for c in p.columns if c.startswith(("null_", "drop_"))])
+
+
+# ------------------------------------------------------------ step 4: text
+
+from arlens.functions import text as T  # noqa: E402
+from arlens.operators import letters, scoring  # noqa: E402
+
+# Token separators for the whole-text token tests (ASCII blanks).
+TOKEN_SPLIT = "[ \\t\\n\\r\\f\\x0B]+"
+
+
+@q
+def is_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1/S2/S3 over every token of every document (whole texts).
+
+    Higher-order ``filter`` over the split tokens keeps the work per row: no
+    explode, no shuffle.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    toks = F.filter(F.split(F.col("text"), TOKEN_SPLIT), lambda t: t != "")
+    return d.select(
+        "doc_id",
+        F.size(toks).cast("bigint").alias("n_tokens"),
+        F.size(F.filter(toks, lambda t: T.is_number_table(t))).cast("bigint").alias("n_number_table"),
+        F.size(F.filter(toks, lambda t: T.is_number_row(t))).cast("bigint").alias("n_number_row"),
+        F.size(F.filter(toks, lambda t: ~T.not_int(t))).cast("bigint").alias("n_integer"),
+    )
+
+
+@q
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 over every document and page: newline normalisation, digest of the result."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), "text")
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.col("html").alias("text"))
+    both = d.unionByName(p)
+    c = T.clean_newlines(F.col("text"))
+    return both.select(
+        "id", "kind", F.length("text").cast("bigint").alias("n_in"), F.length(c).cast("bigint").alias("n_out"),
+        F.md5(c).alias("md5_out"),
+    )
+
+
+@q
+def grade_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S13 (L3 parse) over the response fixture."""
+    return scoring.grades(fixtures.responses(spark, sf_dir)).select("report", "resp", "grade", "answer")
+
+
+@q
+def letter_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E21 (re-aimed): letter counts of every document against the English table."""
+    return letters.letter_profile(read(spark, sf_dir, "documents"), "doc_id", "text").select(
+        "doc_id", "n_letters", r6("chi2").alias("chi2")
+    )

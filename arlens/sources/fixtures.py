@@ -109,3 +109,27 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bills_ln_rate",
     )
     return rows.unionByName(rows.where(sid % 20 == 1))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses of every shape the grade parser meets, by doc_id % 8.
+
+    g = doc_id % 11 and text = the first 80 characters of the document.
+    """
+    lab = read(spark, sf_dir, "labels").select("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = lab.join(docs, "doc_id")
+    g = (F.col("doc_id") % 11).cast("string")
+    t = F.substring("text", 1, 80)
+    kind = F.col("doc_id") % 8
+    resp = (
+        F.when(kind == 0, F.concat(g, F.lit("; "), t))
+        .when(kind == 1, F.concat(F.lit("None; "), t))
+        .when(kind == 2, F.concat(F.lit("The grade is "), g, F.lit(" because "), t))
+        .when(kind == 3, F.concat(F.lit("None of the data "), t))
+        .when(kind == 4, F.concat(g, F.lit("; a; b")))
+        .when(kind == 5, F.lit("no grade"))
+        .when(kind == 6, F.lit("12; out of range"))
+        .otherwise(F.concat(g, F.lit(".5; "), t))
+    )
+    return d.select(F.col("doc_id").alias("report"), resp.alias("resp"))
