@@ -75,7 +75,7 @@ def styled(text: Column, font: Column) -> Column:
 def heading_key(text: Column) -> Column:
     """Lower, trim, then remove ' cont', ' continued', ' forts.', ' fortsettelse'
     in that order (Z9 kept: ' continued' has already lost ' cont')."""
-    k = F.trim(F.lower(text))
+    k = py_strip(F.lower(text))
     for s in [" cont", " continued", " forts.", " fortsettelse"]:
         k = F.replace(k, F.lit(s), F.lit(""))
     return k
@@ -104,3 +104,15 @@ def page_title(path: Column) -> Column:
 def private_use_count(text: Column) -> Column:
     """E11 numerator: code points in the private-use areas (length counts code points)."""
     return F.length(F.regexp_replace(text, NOT_PRIVATE_USE_RE, ""))
+
+
+# Fixed value: the characters Python's str.strip() removes (str.isspace()).
+PY_SPACE = (
+    "[\\t\\n\\x{0B}\\x{0C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+)
+
+
+def py_strip(c: Column) -> Column:
+    """Python ``str.strip()``: leading and trailing Unicode whitespace removed."""
+    return F.regexp_replace(c, f"^{PY_SPACE}+|{PY_SPACE}+$", "")

@@ -25,3 +25,17 @@ def broadcast_if_bounded(small: DataFrame, bound_rows: int) -> DataFrame:
     if bound_rows <= max_broadcast_rows(small):
         return F.broadcast(small)
     return small
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame that later steps read several times.
+
+    A reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``
+    (set only when unset, as in local tests): the data survives executor loss
+    and the optimizer plans the later steps over a scan instead of a copy of
+    the whole upstream plan per reference.
+    """
+    from arlens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -186,3 +186,138 @@ def letter_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.letter_profile(read(spark, sf_dir, "documents"), "doc_id", "text").select(
         "doc_id", "n_letters", r6("chi2").alias("chi2")
     )
+
+
+# ------------------------------------------------------------ step 5/6: documents
+
+from arlens.operators import html as H  # noqa: E402
+from arlens.plans import document  # noqa: E402
+
+
+@q
+def spans_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: nested page -> block -> line -> span JSON flattened; image blocks
+    (no lines) dropped."""
+    from arlens.sources.spans import flatten_pages, nest_pages
+
+    nested = nest_pages(fixtures.doc_spans(spark, sf_dir))
+    flat = flatten_pages(nested)
+    return flat.select("report", "page_no", "block_no", "line_no", "span_no", "text", "font", r6("size").alias("size"))
+
+
+@q
+def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans after the landscape split, new page key and x."""
+    from arlens.operators.layout import page_split as split
+
+    s = split(fixtures.doc_spans(spark, sf_dir))
+    return s.select("report", "page_key", "block_no", "line_no", "span_no", r6("page_w").alias("page_w"),
+                    r6("x0").alias("x0"), r6("x1").alias("x1"))
+
+
+@q
+def boilerplate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated block keys per report with their counts."""
+    p = document.fixture_plan(spark, sf_dir)
+    return p.repeated.select("report", "block_key", F.col("n").cast("bigint").alias("n"))
+
+
+@q
+def boilerplate_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks that remain after removing repeated ones."""
+    p = document.fixture_plan(spark, sf_dir)
+    return p.kept_blocks.select("report", "page_key", "block_no", "n_lines", "text_len")
+
+
+@q
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the document text per report (kept blocks)."""
+    p = document.fixture_plan(spark, sf_dir)
+    return p.status.select("report", "n_blocks", "n_chars")
+
+
+@q
+def unreadable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private-use share of the document text per report."""
+    p = document.fixture_plan(spark, sf_dir)
+    return p.status.select("report", "n_chars", "n_private", r6("private_share").alias("private_share"))
+
+
+@q
+def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ok / no content / unreadable per report."""
+    return document.fixture_plan(spark, sf_dir).status.select("report", "status")
+
+
+@q
+def font_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Font index entries with offsets."""
+    e = document.fixture_plan(spark, sf_dir).entries
+    return e.select("report", "font_key", "pos", "text")
+
+
+@q
+def font_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics per font."""
+    s = document.fixture_plan(spark, sf_dir).stats
+    return s.select(
+        "report", "font_key", "n_entries", "text_len", "n_distinct", r6("mean_len").alias("mean_len"),
+        r6("share").alias("share"), r6("start").alias("start"), r6("end").alias("end"),
+    )
+
+
+@q
+def body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body font per report."""
+    return document.fixture_plan(spark, sf_dir).body
+
+
+@q
+def heading_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading font per report ('' when none)."""
+    return document.fixture_plan(spark, sf_dir).heading
+
+
+@q
+def heading_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """heading candidates, their plain offsets and the greedy acceptance."""
+    a = document.accepted(document.fixture_plan(spark, sf_dir))
+    return a.select("report", "page_key", "block_no", "line_no", "span_no", "plain_before", "head_key", "accepted")
+
+
+@q
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Html of every kept block."""
+    return document.block_html(document.fixture_plan(spark, sf_dir))
+
+
+@q
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12 on raw web pages: every page's html split at <h1>, plus the pages of
+    each host joined in page_id order."""
+    pg = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"), "html")
+    host = F.regexp_extract(F.col("url"), "^[a-z]+://([^/?#]+)", 1)
+    byhost = (
+        read(spark, sf_dir, "pages")
+        .groupBy(host.alias("host"))
+        .agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("_p"))
+        .select(F.concat(F.lit("host:"), F.col("host")).alias("doc"),
+                F.array_join(F.transform("_p", lambda x: x["html"]), "").alias("html"))
+    )
+    s = H.split_sections(pg.unionByName(byhost), "doc", "html")
+    return s.select("doc", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
+
+
+@q
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every readable report."""
+    s = document.sections(document.fixture_plan(spark, sf_dir))
+    return s.select("report", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
+
+
+@q
+def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HTML page of every readable report (size and digest)."""
+    s = document.sections(document.fixture_plan(spark, sf_dir))
+    pg = H.html_page(s)
+    return pg.select("report", F.length("page").cast("bigint").alias("n_chars"), F.md5("page").alias("md5"))

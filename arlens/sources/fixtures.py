@@ -133,3 +133,91 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(g, F.lit(".5; "), t))
     )
     return d.select(F.col("doc_id").alias("report"), resp.alias("resp"))
+
+
+# Fixed values of the document fixture (T4/T5): fonts and sizes per block role.
+HEADER_FONT, HEADER_SIZE = "Hd-Italic", 8.0
+TITLE_FONT, TITLE_SIZE = "Title-Bold", 14.0
+BODY_FONT, BOLD_FONT, BODY_SIZE = "Body", "Body-Bold", 10.0
+PAGENO_SIZE = 8.0
+PUA_SOURCE = "src5"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PUA_LETTERS = "".join(chr(0xE000 + i) for i in range(len(LETTERS)))
+
+
+def _page_geometry(doc_id: Column) -> tuple[Column, Column]:
+    w = F.when(doc_id % 3 == 0, 1000.0).when(doc_id % 3 == 1, 700.0).otherwise(500.0)
+    return w, F.lit(700.0)
+
+
+def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4/T5: positioned text spans of the document corpus.
+
+    report = source (plus ``src5-pua``: src5 with every ASCII letter mapped to a
+    private-use code point and other characters removed); page = document
+    (page_no = doc_id); blocks in order: running header, title (first 40
+    characters of the first line), one block per text line (every 7th line
+    longer than 10 characters is split into a bold 10-character span and a
+    plain rest), page number.  Pages are 1000 x 700 when doc_id % 3 = 0 (body
+    lines alternate left/right halves; when doc_id % 6 = 0 the title crosses
+    the midline), 700 x 700 when doc_id % 3 = 1 (all left), else 500 x 700.
+    block_no is the block's place on its page; (page_no, block_no) orders a
+    report.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pua = d.where(F.col("source") == PUA_SOURCE).select(
+        "doc_id",
+        F.concat(F.col("source"), F.lit("-pua")).alias("source"),
+        F.translate(F.regexp_replace("text", "[^A-Za-z\n]", ""), LETTERS, PUA_LETTERS).alias("text"),
+    )
+    d = d.unionByName(pua)
+    lines = d.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line"))
+    n_lines = d.select("source", "doc_id", F.size(F.split("text", "\n")).alias("n"))
+    first = lines.where(F.col("li") == 0).select("source", "doc_id", F.substring("line", 1, 40).alias("t"))
+
+    def span(df, bi, text, font, size, x0, x1, span_no=F.lit(0)):
+        return df.select(
+            F.col("source").alias("report"), F.col("doc_id").alias("page_no"), bi.cast("bigint").alias("block_no"),
+            F.lit(0).cast("bigint").alias("line_no"), span_no.cast("bigint").alias("span_no"), text.alias("text"),
+            F.lit(font).alias("font"), F.lit(size).alias("size"), F.lit(0).alias("color"),
+            x0.cast("double").alias("x0"), x1.cast("double").alias("x1"),
+        )
+
+    doc = F.col("doc_id")
+    wide = doc % 3 == 0
+    left0, left1 = F.lit(50.0), F.when(wide, 450.0).when(doc % 3 == 1, 300.0).otherwise(450.0)
+    header = span(n_lines, F.lit(0), F.concat(F.lit("Annual report "), F.col("source")), HEADER_FONT, HEADER_SIZE, left0, left1)
+    tx0 = F.when(doc % 6 == 0, 300.0).otherwise(left0)
+    tx1 = F.when(doc % 6 == 0, 700.0).otherwise(left1)
+    title = span(first, F.lit(1), F.col("t"), TITLE_FONT, TITLE_SIZE, tx0, tx1)
+    right = wide & (F.col("li") % 2 == 1)
+    bx0 = F.when(right, 550.0).otherwise(left0)
+    bx1 = F.when(right, 950.0).otherwise(left1)
+    mixed = ((F.col("li") + 1) % 7 == 0) & (F.length("line") > 10)
+    plain = span(lines.where(~mixed), F.col("li") + 2, F.col("line"), BODY_FONT, BODY_SIZE, bx0, bx1)
+    mx = lines.where(mixed)
+    mid = (bx0 + bx1) / 2
+    bold = span(mx, F.col("li") + 2, F.substring("line", 1, 10), BOLD_FONT, BODY_SIZE, bx0, mid)
+    rest = span(mx, F.col("li") + 2, F.expr("substring(line, 11)"), BODY_FONT, BODY_SIZE, mid, bx1, F.lit(1))
+    pno = span(
+        n_lines, F.col("n") + 2, doc.cast("string"), BODY_FONT, PAGENO_SIZE,
+        F.when(wide, 550.0).otherwise(left0), F.when(wide, 600.0).otherwise(100.0),
+    )
+    s = header.unionByName(title).unionByName(plain).unionByName(bold).unionByName(rest).unionByName(pno)
+    w, h = _page_geometry(F.col("page_no"))
+    y0 = 40.0 + 12.0 * F.col("block_no")
+    return s.select(
+        "report", "page_no", w.alias("page_w"), h.alias("page_h"), "block_no", "line_no", "span_no", "text", "font",
+        "size", "color", "x0", y0.alias("y0"), "x1", (y0 + F.col("size")).alias("y1"),
+    )
+
+
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the document corpus, including ``empty``: one page whose only
+    block is an image (no text lines), taken from the smallest doc_id."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    pua = d.where(F.col("source") == PUA_SOURCE).select("doc_id", F.concat("source", F.lit("-pua")).alias("source"))
+    empty = d.groupBy().agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("empty").alias("source"))
+    p = d.unionByName(pua).unionByName(empty)
+    w, h = _page_geometry(F.col("doc_id"))
+    return p.select(F.col("source").alias("report"), F.col("doc_id").alias("page_no"), w.alias("page_w"), h.alias("page_h"))
