@@ -354,3 +354,313 @@ SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_letters,
        round(a.s2 - 2 * a.n + a.n * (SELECT sum(f) FROM freq), 6) AS chi2
 FROM documents d LEFT JOIN agg a USING (doc_id)"""
 )
+
+# ------------------------------------------------------------ step 5/6: documents
+
+from arlens.functions.text import PY_SPACE as _PYS  # noqa: E402
+from arlens.operators.html import CSS as _CSS, HTML_TAIL as _TAIL  # noqa: E402
+from arlens.sources.fixtures import LETTERS as _LET, PUA_LETTERS as _PUA  # noqa: E402
+
+_STRIP = f"'^{_PYS}+|{_PYS}+$'"
+
+
+def _pystrip(x: str) -> str:
+    return f"regexp_replace({x}, {_STRIP}, '', 'g')"
+
+
+def _fk(font: str, size: str, color: str) -> str:
+    return (f"{font} || ':' || (CASE WHEN {size} = floor({size}) THEN CAST(CAST(floor({size}) AS BIGINT) AS VARCHAR) || '.0' "
+            f"ELSE CAST({size} AS VARCHAR) END) || ':' || CAST({color} AS VARCHAR)")
+
+
+def _styled(t: str, f: str) -> str:
+    b = f"(CASE WHEN contains({f}, 'Bold') THEN '<b>' || {t} || '</b>' ELSE {t} END)"
+    return f"(CASE WHEN contains({f}, 'Italic') THEN '<i>' || {b} || '</i>' ELSE {b} END)"
+
+
+FIX_DOCS = f"""
+dd AS (
+  SELECT doc_id, source, text FROM documents
+  UNION ALL
+  SELECT doc_id, source || '-pua', translate(regexp_replace(text, '[^A-Za-z\\n]', '', 'g'), '{_LET}', '{_PUA}')
+  FROM documents WHERE source = 'src5'
+),
+dl AS (
+  SELECT source, doc_id, unnest(range(len(parts))) AS li, unnest(parts) AS line, len(parts) AS n
+  FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM dd)
+),
+dn AS (SELECT DISTINCT source, doc_id, n FROM dl),
+dgeo AS (
+  SELECT source, doc_id, n, doc_id % 3 = 0 AS wide,
+         CASE WHEN doc_id % 3 = 0 THEN 1000.0 WHEN doc_id % 3 = 1 THEN 700.0 ELSE 500.0 END AS page_w,
+         CASE WHEN doc_id % 3 = 1 THEN 300.0 ELSE 450.0 END AS l1
+  FROM dn
+),
+dsp0 AS (
+  SELECT source AS report, doc_id AS page_no, 0 AS block_no, 0 AS span_no, 'Annual report ' || source AS text,
+         'Hd-Italic' AS font, 8.0 AS size, 50.0 AS x0, l1 AS x1 FROM dgeo
+  UNION ALL
+  SELECT g.source, g.doc_id, 1, 0, substring(l.line, 1, 40), 'Title-Bold', 14.0,
+         CASE WHEN g.doc_id % 6 = 0 THEN 300.0 ELSE 50.0 END, CASE WHEN g.doc_id % 6 = 0 THEN 700.0 ELSE g.l1 END
+  FROM dgeo g JOIN dl l ON l.doc_id = g.doc_id AND l.source = g.source AND l.li = 0
+  UNION ALL
+  SELECT g.source, g.doc_id, l.li + 2, 0, l.line, 'Body', 10.0,
+         CASE WHEN g.wide AND l.li % 2 = 1 THEN 550.0 ELSE 50.0 END, CASE WHEN g.wide AND l.li % 2 = 1 THEN 950.0 ELSE g.l1 END
+  FROM dgeo g JOIN dl l ON l.doc_id = g.doc_id AND l.source = g.source
+  WHERE NOT ((l.li + 1) % 7 = 0 AND length(l.line) > 10)
+  UNION ALL
+  SELECT g.source, g.doc_id, l.li + 2, 0, substring(l.line, 1, 10), 'Body-Bold', 10.0,
+         CASE WHEN g.wide AND l.li % 2 = 1 THEN 550.0 ELSE 50.0 END,
+         CASE WHEN g.wide AND l.li % 2 = 1 THEN 750.0 ELSE (50.0 + g.l1) / 2 END
+  FROM dgeo g JOIN dl l ON l.doc_id = g.doc_id AND l.source = g.source
+  WHERE (l.li + 1) % 7 = 0 AND length(l.line) > 10
+  UNION ALL
+  SELECT g.source, g.doc_id, l.li + 2, 1, substring(l.line, 11), 'Body', 10.0,
+         CASE WHEN g.wide AND l.li % 2 = 1 THEN 750.0 ELSE (50.0 + g.l1) / 2 END,
+         CASE WHEN g.wide AND l.li % 2 = 1 THEN 950.0 ELSE g.l1 END
+  FROM dgeo g JOIN dl l ON l.doc_id = g.doc_id AND l.source = g.source
+  WHERE (l.li + 1) % 7 = 0 AND length(l.line) > 10
+  UNION ALL
+  SELECT source, doc_id, n + 2, 0, CAST(doc_id AS VARCHAR), 'Body', 8.0,
+         CASE WHEN wide THEN 550.0 ELSE 50.0 END, CASE WHEN wide THEN 600.0 ELSE 100.0 END FROM dgeo
+),
+dsp AS (
+  SELECT report, page_no, CASE WHEN page_no % 3 = 0 THEN 1000.0 WHEN page_no % 3 = 1 THEN 700.0 ELSE 500.0 END AS page_w,
+         700.0 AS page_h, block_no, 0 AS line_no, span_no, text, font, size, 0 AS color, x0, x1
+  FROM dsp0
+),
+dpages AS (
+  SELECT source AS report, doc_id AS page_no FROM documents
+  UNION ALL SELECT source || '-pua', doc_id FROM documents WHERE source = 'src5'
+  UNION ALL SELECT 'empty', min(doc_id) FROM documents
+)"""
+
+FIX_DOCFLOW = f"""
+bx AS (
+  SELECT *, min(x0) OVER (PARTITION BY report, page_no, block_no, line_no) AS lx0,
+         max(x1) OVER (PARTITION BY report, page_no, block_no, line_no) AS lx1,
+         min(x0) OVER (PARTITION BY report, page_no, block_no) AS bx0,
+         max(x1) OVER (PARTITION BY report, page_no, block_no) AS bx1
+  FROM dsp
+),
+pg AS (
+  SELECT report, page_no,
+         bool_or(bx0 < page_w / 2 AND page_w / 2 < bx1 AND lx0 < page_w / 2 AND page_w / 2 < lx1
+                 AND x0 < page_w / 2 AND page_w / 2 < x1) AS blocked
+  FROM bx GROUP BY report, page_no
+),
+sp AS (
+  SELECT b.*, CASE WHEN b.page_w >= b.page_h AND NOT p.blocked AND b.bx0 >= b.page_w / 2 THEN 1 ELSE 0 END AS half,
+         b.page_w >= b.page_h AND NOT p.blocked AS split
+  FROM bx b JOIN pg p USING (report, page_no)
+),
+sp2 AS (
+  SELECT report, page_no * 2 + half AS page_key, block_no, line_no, span_no, text, font, size, color,
+         CASE WHEN split THEN page_w / 2 ELSE page_w END AS page_w,
+         x0 - half * page_w / 2 AS x0, x1 - half * page_w / 2 AS x1
+  FROM sp
+),
+blk AS (
+  SELECT report, page_key, block_no,
+         coalesce(string_agg(CASE WHEN length({_pystrip('text')}) > 0
+                                   AND NOT regexp_matches({_pystrip('text')}, '^\\s*[+-]?\\d+\\s*$')
+                              THEN font || (CASE WHEN size = floor(size) THEN CAST(CAST(floor(size) AS BIGINT) AS VARCHAR) || '.0'
+                                            ELSE CAST(size AS VARCHAR) END) || ':' || text END, ';'
+                              ORDER BY line_no, span_no), '') AS block_key,
+         count(DISTINCT line_no) AS n_lines,
+         sum(length(text)) + count(DISTINCT line_no) AS text_len,
+         sum(length(regexp_replace(text, '[^\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}]', '', 'g'))) AS n_private
+  FROM sp2 GROUP BY report, page_key, block_no
+),
+rep_keys AS (
+  SELECT report, block_key, count(*) AS n FROM blk WHERE n_lines BETWEEN 1 AND 5
+  GROUP BY report, block_key HAVING count(*) > 10
+),
+kb AS (SELECT * FROM blk b WHERE NOT EXISTS (SELECT 1 FROM rep_keys r WHERE r.report = b.report AND r.block_key = b.block_key)),
+dstat AS (
+  SELECT p.report, coalesce(k.n_blocks, 0) AS n_blocks, coalesce(k.n_chars, 0) AS n_chars,
+         coalesce(k.n_private, 0) AS n_private,
+         CASE WHEN coalesce(k.n_chars, 0) > 0 THEN k.n_private / k.n_chars END AS private_share
+  FROM (SELECT DISTINCT report FROM dpages) p
+  LEFT JOIN (SELECT report, count(*) AS n_blocks, sum(text_len) AS n_chars, sum(n_private) AS n_private FROM kb GROUP BY report) k
+  USING (report)
+),
+dstat2 AS (
+  SELECT *, CASE WHEN n_chars = 0 THEN 'no content' WHEN private_share > 0.9 THEN 'unreadable' ELSE 'ok' END AS status FROM dstat
+),
+kbo AS (SELECT kb.* FROM kb JOIN dstat2 s USING (report) WHERE s.status = 'ok'),
+ks AS (
+  SELECT s.*, {_fk('s.font', 's.size', 's.color')} AS font_key
+  FROM sp2 s JOIN kbo k USING (report, page_key, block_no)
+),
+kbend AS (
+  SELECT report, page_key, block_no,
+         sum(text_len) OVER (PARTITION BY report ORDER BY page_key, block_no ROWS UNBOUNDED PRECEDING) AS end_off
+  FROM kbo
+),
+lk AS (
+  SELECT report, page_key, block_no, line_no, count(DISTINCT font_key) AS nk FROM ks GROUP BY ALL
+),
+fent AS (
+  SELECT s.report, s.font_key, e.end_off + sum(length(s.text)) OVER (PARTITION BY s.report, s.page_key, s.block_no, s.line_no
+                                                                      ORDER BY s.span_no ROWS UNBOUNDED PRECEDING) AS pos,
+         {_pystrip('s.text')} AS text, s.page_key, s.block_no, s.line_no, s.span_no
+  FROM ks s JOIN lk USING (report, page_key, block_no, line_no) JOIN kbend e USING (report, page_key, block_no)
+  WHERE lk.nk > 1
+  UNION ALL
+  SELECT s.report, any_value(s.font_key), any_value(e.end_off),
+         {_pystrip("string_agg(s.text, '' ORDER BY s.span_no)")}, s.page_key, s.block_no, s.line_no, min(s.span_no)
+  FROM ks s JOIN lk USING (report, page_key, block_no, line_no) JOIN kbend e USING (report, page_key, block_no)
+  WHERE lk.nk = 1
+  GROUP BY s.report, s.page_key, s.block_no, s.line_no
+),
+fst0 AS (
+  SELECT report, font_key, count(*) AS n_entries, sum(length(text)) AS text_len, count(DISTINCT text) AS n_distinct,
+         avg(length(text)) AS mean_len, min(pos) AS first_pos, max(pos) AS last_pos,
+         min((page_key, block_no, line_no, span_no)) AS first_ord
+  FROM fent GROUP BY report, font_key
+),
+fst AS (
+  SELECT *, text_len / sum(text_len) OVER (PARTITION BY report) AS share,
+         first_pos / sum(text_len) OVER (PARTITION BY report) AS start_,
+         last_pos / sum(text_len) OVER (PARTITION BY report) AS end_
+  FROM fst0
+),
+bodyf AS (
+  SELECT report, font_key AS body_font FROM (
+    SELECT report, font_key, row_number() OVER (PARTITION BY report ORDER BY n_entries DESC, first_ord) AS rn FROM fst)
+  WHERE rn = 1
+),
+hc AS (
+  SELECT *, end_ - start_ AS ext FROM fst
+  WHERE share < 0.05 AND n_distinct > 4 AND mean_len > 10 AND mean_len < 500
+),
+hlev AS (
+  SELECT report, max(CASE WHEN ext > 0.8 THEN 0.8 WHEN ext > 0.6 THEN 0.6 WHEN ext > 0.4 THEN 0.4 WHEN ext > 0.2 THEN 0.2 END) AS lv
+  FROM hc GROUP BY report
+),
+headf AS (
+  SELECT r.report, coalesce(h.font_key, '') AS heading_font
+  FROM (SELECT DISTINCT report FROM fst) r
+  LEFT JOIN (
+    SELECT report, font_key FROM (
+      SELECT hc.report, hc.font_key,
+             row_number() OVER (PARTITION BY hc.report ORDER BY n_distinct, n_entries DESC, first_ord) AS rn
+      FROM hc JOIN hlev USING (report) WHERE hc.ext > hlev.lv)
+    WHERE rn = 1
+  ) h USING (report)
+),
+kplain AS (
+  SELECT report, page_key, block_no,
+         coalesce(sum(1 + sum(length(text) + 2)) OVER (PARTITION BY report ORDER BY page_key, block_no
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS plain_before
+  FROM ks GROUP BY report, page_key, block_no
+),
+hcand AS (
+  SELECT s.report, s.page_key, s.block_no, s.line_no, s.span_no, p.plain_before,
+         replace(replace(replace(replace({_pystrip('lower(' + _styled('s.text', 's.font') + ')')},
+                 ' cont', ''), ' continued', ''), ' forts.', ''), ' fortsettelse', '') AS head_key,
+         row_number() OVER (PARTITION BY s.report ORDER BY s.page_key, s.block_no, s.line_no, s.span_no) AS rn
+  FROM ks s JOIN headf h ON h.report = s.report AND s.font_key = h.heading_font
+  JOIN kplain p ON p.report = s.report AND p.page_key = s.page_key AND p.block_no = s.block_no
+),
+hrec AS (
+  SELECT report, rn, plain_before AS last, [head_key] AS used, TRUE AS accepted FROM hcand WHERE rn = 1
+  UNION ALL
+  SELECT c.report, c.rn,
+         CASE WHEN c.plain_before - r.last < 1000 OR list_contains(r.used, c.head_key) THEN r.last ELSE c.plain_before END,
+         CASE WHEN c.plain_before - r.last < 1000 OR list_contains(r.used, c.head_key) THEN r.used
+              ELSE list_append(r.used, c.head_key) END,
+         NOT (c.plain_before - r.last < 1000 OR list_contains(r.used, c.head_key))
+  FROM hrec r JOIN hcand c ON c.report = r.report AND c.rn = r.rn + 1
+),
+hacc AS (SELECT c.*, r.accepted FROM hcand c JOIN hrec r USING (report, rn)),
+bpieces AS (
+  SELECT s.report, s.page_key, s.block_no, s.line_no, s.span_no,
+         CASE WHEN coalesce(a.accepted, FALSE) THEN '<h1>' || {_styled('s.text', 's.font')} || '</h1>' || chr(10)
+              WHEN s.span_no < max(CASE WHEN a.accepted THEN s.span_no END) OVER (PARTITION BY s.report, s.page_key, s.block_no, s.line_no)
+                THEN NULL
+              ELSE ' ' || {_styled('s.text', 's.font')} || ' ' END AS p
+  FROM ks s LEFT JOIN hacc a USING (report, page_key, block_no, line_no, span_no)
+),
+bhtml0 AS (
+  SELECT report, page_key, block_no, chr(10) || '<p>' || coalesce(string_agg(p, '' ORDER BY line_no, span_no), '') AS h
+  FROM bpieces GROUP BY report, page_key, block_no
+),
+bhtml AS (SELECT report, page_key, block_no, CASE WHEN contains(h, '</p>') THEN h ELSE h || '</p>' END AS html FROM bhtml0),
+bparts AS (
+  SELECT report, page_key, block_no, unnest(range(len(parts))) AS j, unnest(parts) AS part,
+         coalesce(sum(len(parts) - 1) OVER (PARTITION BY report ORDER BY page_key, block_no
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h1_before
+  FROM (SELECT *, string_split(html, '<h1>') AS parts FROM bhtml)
+),
+dsec0 AS (
+  SELECT report, h1_before + j AS i,
+         regexp_replace(regexp_replace(string_agg(part, '' ORDER BY page_key, block_no, j), '\\r+\\n', chr(10), 'g'),
+                        '\\n\\n\\n+', chr(10) || chr(10), 'g') AS raw
+  FROM bparts GROUP BY report, h1_before + j
+),
+dsec AS (SELECT report, i, CASE WHEN contains(raw, '</h1>') THEN '<h1>' || raw ELSE raw END AS html FROM dsec0)"""
+
+DOC_CTES = (FIX_DOCS, FIX_DOCFLOW)
+
+ORACLES["spans_flatten"] = with_(FIX_DOCS) + """
+SELECT report, page_no, block_no::BIGINT AS block_no, line_no::BIGINT AS line_no, span_no::BIGINT AS span_no,
+       text, font, round(size, 6) AS size FROM dsp"""
+
+ORACLES["page_split"] = with_(*DOC_CTES) + """
+SELECT report, page_key::BIGINT AS page_key, block_no::BIGINT AS block_no, line_no::BIGINT AS line_no,
+       span_no::BIGINT AS span_no, round(page_w, 6) AS page_w, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM sp2"""
+
+ORACLES["boilerplate_keys"] = with_(*DOC_CTES) + "SELECT report, block_key, n FROM rep_keys"
+
+ORACLES["boilerplate_remove"] = with_(*DOC_CTES) + """
+SELECT report, page_key::BIGINT AS page_key, block_no::BIGINT AS block_no, n_lines::BIGINT AS n_lines,
+       text_len::BIGINT AS text_len FROM kb"""
+
+ORACLES["document_text"] = with_(*DOC_CTES) + """
+SELECT report, n_blocks::BIGINT AS n_blocks, n_chars::BIGINT AS n_chars FROM dstat2"""
+
+ORACLES["unreadable_share"] = with_(*DOC_CTES) + """
+SELECT report, n_chars::BIGINT AS n_chars, n_private::BIGINT AS n_private, round(private_share, 6) AS private_share FROM dstat2"""
+
+ORACLES["document_status"] = with_(*DOC_CTES) + "SELECT report, status FROM dstat2"
+
+ORACLES["font_entries"] = with_(*DOC_CTES) + "SELECT report, font_key, pos::BIGINT AS pos, text FROM fent"
+
+ORACLES["font_stats"] = with_(*DOC_CTES) + """
+SELECT report, font_key, n_entries::BIGINT AS n_entries, text_len::BIGINT AS text_len, n_distinct::BIGINT AS n_distinct,
+       round(mean_len, 6) AS mean_len, round(share, 6) AS share, round(start_, 6) AS start, round(end_, 6) AS "end"
+FROM fst"""
+
+ORACLES["body_font"] = with_(*DOC_CTES) + "SELECT report, body_font FROM bodyf"
+
+ORACLES["heading_font"] = with_(*DOC_CTES) + "SELECT report, heading_font FROM headf"
+
+ORACLES["heading_accept"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
+SELECT report, page_key::BIGINT AS page_key, block_no::BIGINT AS block_no, line_no::BIGINT AS line_no,
+       span_no::BIGINT AS span_no, plain_before::BIGINT AS plain_before, head_key, accepted FROM hacc"""
+
+ORACLES["html_blocks"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
+SELECT report, page_key::BIGINT AS page_key, block_no::BIGINT AS block_no, html FROM bhtml"""
+
+ORACLES["document_sections"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
+SELECT report, i::BIGINT AS i, length(html)::BIGINT AS n_chars, md5(html) AS md5 FROM dsec"""
+
+ORACLES["html_document"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
+SELECT report, length(page)::BIGINT AS n_chars, md5(page) AS md5 FROM (
+  SELECT report, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset=''utf-8''><title>'
+         || report || '</title>' || chr(10) || '<style>' || chr(10) || $css$""" + _CSS + """$css$ || chr(10) || '</style>'
+         || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || string_agg(html, '' ORDER BY i) || $tail$""" + _TAIL + """$tail$ AS page
+  FROM dsec GROUP BY report)"""
+
+ORACLES["sections"] = r"""
+WITH src AS (
+  SELECT CAST(page_id AS VARCHAR) AS doc, html FROM pages
+  UNION ALL
+  SELECT 'host:' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), string_agg(html, '' ORDER BY page_id)
+  FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
+), parts AS (
+  SELECT doc, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM (SELECT doc, string_split(html, '<h1>') AS ps FROM src)
+), s AS (SELECT doc, i, CASE WHEN contains(part, '</h1>') THEN '<h1>' || part ELSE part END AS html FROM parts)
+SELECT doc, i::BIGINT AS i, length(html)::BIGINT AS n_chars, md5(html) AS md5 FROM s"""
