@@ -664,3 +664,82 @@ WITH src AS (
   SELECT doc, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM (SELECT doc, string_split(html, '<h1>') AS ps FROM src)
 ), s AS (SELECT doc, i, CASE WHEN contains(part, '</h1>') THEN '<h1>' || part ELSE part END AS html FROM parts)
 SELECT doc, i::BIGINT AS i, length(html)::BIGINT AS n_chars, md5(html) AS md5 FROM s"""
+
+# ------------------------------------------------------------ step 8: scoring and the result row
+
+
+def _grade_sql(src: str, resp: str) -> str:
+    """S13 branches over a response column, as (grade, answer) select items."""
+    return f"""
+  CASE WHEN strpos({resp}, ';') > 0 THEN
+         (CASE WHEN regexp_matches(split_part({resp}, ';', 1), '^\\s*[+-]?\\d+\\s*$')
+               THEN TRY_CAST(trim(split_part({resp}, ';', 1)) AS INTEGER) END)
+       WHEN regexp_extract(substring({resp}, 1, 40), '\\b(\\d{{1,2}})\\b', 1) <> ''
+         THEN TRY_CAST(regexp_extract(substring({resp}, 1, 40), '\\b(\\d{{1,2}})\\b', 1) AS INTEGER) END AS grade,
+  CASE WHEN strpos({resp}, ';') > 0 THEN
+         (CASE WHEN split_part({resp}, ';', 1) = 'None' OR regexp_matches(split_part({resp}, ';', 1), '^\\s*[+-]?\\d+\\s*$')
+               THEN substring({resp}, strpos({resp}, ';') + 1) ELSE {resp} END)
+       WHEN regexp_extract(substring({resp}, 1, 40), '\\b(\\d{{1,2}})\\b', 1) <> ''
+         THEN substring({resp}, strpos({resp}, CAST(TRY_CAST(regexp_extract(substring({resp}, 1, 40), '\\b(\\d{{1,2}})\\b', 1) AS INTEGER) AS VARCHAR)) + 2)
+       WHEN contains(substring({resp}, 1, 10), 'None') THEN substring({resp}, 6)
+       ELSE {resp} END AS answer
+  FROM {src}"""
+
+
+FIX_SCORING = r"""
+sprompt AS (
+  SELECT report, i,
+         '# Section ' || CAST(i AS VARCHAR) || ':' ||
+           (CASE WHEN contains(html, '<h1>') THEN regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) ELSE '' END) AS heading,
+         'Here is section ' || CAST(i + 1 AS VARCHAR) || ':' || chr(10) || substring(html, 1, 120000) AS prompt,
+         substring(html, 1, 120000) AS body
+  FROM dsec WHERE html <> ''
+),
+ssum AS (
+  SELECT report, i, heading,
+         substring(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 300) AS res
+  FROM sprompt
+),
+sconc AS (
+  SELECT report, summary,
+         CAST(least((length(summary) - length(replace(summary, '# Section ', ''))) // 10, 10) AS VARCHAR) || '; '
+           || substring(summary, 1, 200) AS resp
+  FROM (SELECT report, string_agg(heading || chr(10) || chr(10) || res || chr(10) || chr(10), '' ORDER BY i) AS summary
+        FROM ssum WHERE res IS NOT NULL GROUP BY report)
+)"""
+
+_DOCS_SCORED = "WITH RECURSIVE " + with_(*DOC_CTES, FIX_SCORING)[5:]
+
+ORACLES["section_prompts"] = _DOCS_SCORED + """
+SELECT report, i::BIGINT AS i, heading, length(prompt)::BIGINT AS n_chars, md5(prompt) AS md5 FROM sprompt"""
+
+ORACLES["section_summaries"] = _DOCS_SCORED + "SELECT report, i::BIGINT AS i, heading, res FROM ssum"
+
+ORACLES["summary_concat"] = _DOCS_SCORED + """
+SELECT report, md5(summary) AS summary_md5, length(summary)::BIGINT AS n_chars,""" + _grade_sql("sconc", "resp")
+
+_RES_STATS = ", ".join(
+    f"max(CASE WHEN horizon = {h} THEN {c} END) AS {c}_{h}"
+    for h in (1, 2) for c in ["pval_alpha", "pval_beta", "alpha", "beta", "t_alpha", "t_beta"]
+)
+
+ORACLES["report_result"] = (
+    "WITH RECURSIVE " + with_(*REPORT_CTES, *_gs_ctes(True))[5:].rstrip("\n") + _ols_select(True) + ",\n"
+    + ",".join(c.strip("\n") for c in (FIX_DOCS, FIX_DOCFLOW, FIX_SCORING)) + f""",
+st4 AS (
+  SELECT *, {_tp('t_alpha', 'df')} AS pval_alpha, {_tp('t_beta', 'df')} AS pval_beta FROM st3
+),
+wide AS (SELECT path, {_RES_STATS} FROM st4 GROUP BY path),
+gr AS (SELECT report AS doc, {_grade_sql("sconc", "resp").strip().split(" AS grade,")[0]} AS grade FROM sconc),
+base AS (
+  SELECT r.path, r.doc, r.isin, r.isin_db, n.name AS wname, w.*, coalesce(w.alpha_2 IS NOT NULL, FALSE) AS ok
+  FROM res r LEFT JOIN wide w USING (path) LEFT JOIN (SELECT path, name FROM prof2 WHERE horizon = 1) n USING (path)
+)
+SELECT b.path, b.isin AS "ISIN", b.isin_db AS "ISIN_db", CASE WHEN ok THEN wname END AS "Name",
+""" + ",\n".join(
+        f"       round(CASE WHEN ok THEN {c}_{h} END, {8 if c.startswith('pval') else 6}) AS {c}_{h}"
+        for h in (1, 2) for c in ["pval_alpha", "pval_beta", "alpha", "beta", "t_alpha", "t_beta"]
+    ) + """,
+       CASE WHEN ok AND pval_alpha_2 IS NOT NULL THEN g.grade END::INTEGER AS "Answer"
+FROM base b LEFT JOIN gr g ON g.doc = b.doc"""
+)

@@ -321,3 +321,41 @@ def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = document.sections(document.fixture_plan(spark, sf_dir))
     pg = H.html_page(s)
     return pg.select("report", F.length("page").cast("bigint").alias("n_chars"), F.md5("page").alias("md5"))
+
+
+# ------------------------------------------------------------ step 8: scoring and the result row
+
+from arlens.plans import result as R  # noqa: E402
+
+
+def _doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document.sections(document.fixture_plan(spark, sf_dir))
+
+
+@q
+def section_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt per non-empty section (capped at 120,000 chars)."""
+    p = scoring.section_prompts(_doc_sections(spark, sf_dir))
+    return p.select("report", "i", "heading", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("md5"))
+
+
+@q
+def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: every section summarised by the (offline, extractive) scorer."""
+    return scoring.summarize_sections(_doc_sections(spark, sf_dir))
+
+
+@q
+def summary_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E20/L2 + L3: per report the concatenated summary, the conclusion and its grade."""
+    c = scoring.conclude(scoring.summarize_sections(_doc_sections(spark, sf_dir)))
+    return c.select("report", F.md5("summary").alias("summary_md5"), F.length("summary").cast("bigint").alias("n_chars"),
+                    "grade", "answer")
+
+
+@q
+def report_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16-column result row of every report (plus its path)."""
+    r = R.report_result(spark, sf_dir)
+    return r.select("path", "ISIN", "ISIN_db", "Name",
+                    *[(r8 if c.startswith("pval") else r6)(c).alias(c) for c in R.RESULT_COLS[3:15]], "Answer")
