@@ -743,3 +743,186 @@ SELECT b.path, b.isin AS "ISIN", b.isin_db AS "ISIN_db", CASE WHEN ok THEN wname
        CASE WHEN ok AND pval_alpha_2 IS NOT NULL THEN g.grade END::INTEGER AS "Answer"
 FROM base b LEFT JOIN gr g ON g.doc = b.doc"""
 )
+
+# ------------------------------------------------------------ step 7: tables
+
+FIX_TABLES = f"""
+tord AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3),
+tcnt AS (SELECT l_orderkey AS page_no, count(*) AS n_items FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM tord) GROUP BY l_orderkey),
+titems AS (
+  SELECT l_orderkey AS page_no, l_quantity, l_extendedprice, l_discount,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS n
+  FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM tord)
+),
+tcells AS (
+  SELECT page_no, n + 2 AS rw, 0 AS col, 'Item ' || CAST(n AS VARCHAR) AS text FROM titems
+  UNION ALL SELECT page_no, n + 2, 1, CASE WHEN page_no % 20 = 0 THEN 'qty' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END FROM titems
+  UNION ALL SELECT page_no, n + 2, 2, CASE WHEN page_no % 20 = 0 THEN 'price' ELSE format('{{:,.2f}}', l_extendedprice) END FROM titems
+  UNION ALL SELECT page_no, n + 2, 3, CASE WHEN page_no % 20 = 0 THEN 'disc' WHEN page_no % 5 = 0 AND n = 1 THEN ''
+                                           ELSE format('{{:.2f}}', l_discount) END FROM titems
+  UNION ALL SELECT page_no, 0, 0, 'Lines' FROM tcnt
+  UNION ALL SELECT page_no, 1, 0, 'Order lines ' || CAST(page_no AS VARCHAR) FROM tcnt
+  UNION ALL SELECT page_no, 2, c, h FROM tcnt CROSS JOIN (VALUES (0, 'Line'), (1, 'Quantity'), (2, 'Price'), (3, 'Discount')) hd(c, h)
+  UNION ALL SELECT page_no, n_items + 3, 0, 'End of page' FROM tcnt
+),
+tsp AS (
+  SELECT 'T' || CAST(page_no % 20 AS VARCHAR) AS report, page_no, rw AS block_no, col AS line_no, 0 AS span_no, text,
+         CASE WHEN col = 0 THEN 20.0 ELSE 150.0 + 100.0 * col - 5.0 * length(text) END AS x0,
+         100.0 + 20.0 * rw AS y0,
+         CASE WHEN col = 0 THEN 20.0 + 5.0 * length(text) ELSE 150.0 + 100.0 * col END AS x1,
+         110.0 + 20.0 * rw AS y1
+  FROM tcells
+),
+tx AS (
+  SELECT *, row_number() OVER (PARTITION BY report, page_no ORDER BY block_no, line_no, span_no) - 1 AS idx,
+         regexp_matches(regexp_replace(text, '[, $()%]', '', 'g'), '{_NUM}') AS isnum
+  FROM tsp
+),
+tb AS (
+  SELECT report, page_no, count(*) AS n, min(CASE WHEN isnum THEN idx END) AS f, max(CASE WHEN isnum THEN idx END) AS l
+  FROM tx GROUP BY report, page_no
+),
+tex AS (
+  SELECT tx.* FROM tx JOIN tb USING (report, page_no)
+  WHERE f IS NOT NULL AND f <= l - 2 AND idx >= greatest(1, f - 6) AND idx < least(l + 5, n)
+),
+tax AS (
+  SELECT report, page_no, idx, 'x' AS axis, x0 AS a, x1 AS b FROM tex
+  UNION ALL SELECT report, page_no, idx, 'y', y0, y1 FROM tex
+),
+taxp AS (SELECT *, row_number() OVER (PARTITION BY report, page_no, axis ORDER BY a, idx) - 1 AS pos FROM tax),
+tcov1 AS (
+  SELECT p.report, p.page_no, p.axis, p.idx, p.pos, p.a, count(*) AS c1
+  FROM taxp p JOIN taxp q ON q.report = p.report AND q.page_no = p.page_no AND q.axis = p.axis AND q.pos <= p.pos AND q.b >= p.a
+  GROUP BY p.report, p.page_no, p.axis, p.idx, p.pos, p.a
+),
+tcut AS (
+  SELECT report, page_no, axis, min(pos) AS cut FROM (
+    SELECT *, lag(c1) OVER (PARTITION BY report, page_no, axis ORDER BY pos) AS prev FROM tcov1)
+  WHERE pos >= 2 AND c1 < prev GROUP BY report, page_no, axis
+),
+tcov2 AS (
+  SELECT p.report, p.page_no, p.axis, p.pos, p.a, count(*) AS c2
+  FROM taxp p LEFT JOIN tcut c ON c.report = p.report AND c.page_no = p.page_no AND c.axis = p.axis
+  JOIN taxp q ON q.report = p.report AND q.page_no = p.page_no AND q.axis = p.axis AND q.pos <= p.pos AND q.b >= p.a
+       AND (c.cut IS NULL OR p.pos < c.cut OR q.pos >= c.cut)
+  GROUP BY p.report, p.page_no, p.axis, p.pos, p.a
+),
+tnew AS (
+  SELECT *, CASE WHEN pos > 0 AND c2 - coalesce(lag(c2) OVER (PARTITION BY report, page_no, axis ORDER BY pos), 0) <= 0
+                 THEN 1 ELSE 0 END AS brk
+  FROM tcov2
+),
+tgrp0 AS (SELECT *, sum(brk) OVER (PARTITION BY report, page_no, axis ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM tnew),
+tgrp AS (SELECT report, page_no, axis, a AS coord, max(grp) AS grp FROM tgrp0 GROUP BY report, page_no, axis, a),
+tcell0 AS (
+  SELECT e.report, e.page_no, gy.grp AS gy, gx.grp AS gx,
+         arg_max(translate(e.text, chr(9) || chr(10), ''), e.idx) AS raw, arg_max(e.block_no, e.idx) AS block_no
+  FROM tex e
+  JOIN tgrp gx ON gx.report = e.report AND gx.page_no = e.page_no AND gx.axis = 'x' AND gx.coord = e.x0
+  JOIN tgrp gy ON gy.report = e.report AND gy.page_no = e.page_no AND gy.axis = 'y' AND gy.coord = e.y0
+  GROUP BY e.report, e.page_no, gy.grp, gx.grp
+),
+tcell1 AS (SELECT *, CASE WHEN raw IN ('', ' ', '  ') THEN NULL ELSE raw END AS text FROM tcell0),
+tcolok AS (SELECT report, page_no, gx FROM tcell1 GROUP BY ALL HAVING count(text) > 0),
+trowok AS (SELECT c.report, c.page_no, c.gy FROM tcell1 c JOIN tcolok USING (report, page_no, gx) GROUP BY ALL HAVING count(c.text) > 0),
+tcells2 AS (
+  SELECT c.report, c.page_no,
+         dense_rank() OVER (PARTITION BY c.report, c.page_no ORDER BY c.gy) - 1 AS rw,
+         dense_rank() OVER (PARTITION BY c.report, c.page_no ORDER BY c.gx) - 1 AS col, c.text, c.block_no
+  FROM tcell1 c JOIN tcolok USING (report, page_no, gx) JOIN trowok USING (report, page_no, gy)
+),
+tdims AS (
+  SELECT report, page_no, max(col) AS max_col,
+         min(CASE WHEN col > 0 AND text IS NOT NULL THEN rw END) AS a,
+         max(CASE WHEN col > 0 AND text IS NOT NULL THEN rw END) + 1 AS b
+  FROM tcells2 GROUP BY report, page_no
+),
+tdet0 AS (
+  SELECT c.report, c.page_no, d.max_col, d.a, d.b,
+         count(*) FILTER (WHERE c.rw >= d.a AND c.rw < d.b AND c.col > 0
+                          AND regexp_matches(regexp_replace(c.text, '[, $()%]', '', 'g'), '{_NUM}')) AS n_num,
+         max(CASE WHEN c.rw = d.a - 1 AND c.col = 0 THEN c.text END) AS h,
+         min(CASE WHEN c.rw >= d.a AND c.rw < d.b THEN c.block_no END) AS block_a,
+         max(CASE WHEN c.rw >= d.a AND c.rw < d.b THEN c.block_no END) AS block_b
+  FROM tcells2 c JOIN tdims d USING (report, page_no) WHERE d.a IS NOT NULL
+  GROUP BY c.report, c.page_no, d.max_col, d.a, d.b
+),
+tdet AS (
+  SELECT report, page_no, a, b, max_col + 1 AS n_cols, CASE WHEN a = 0 THEN '' ELSE h END AS heading, block_a, block_b,
+         n_num / ((b - a) * max_col) AS numeric_share
+  FROM tdet0 WHERE max_col > 0 AND n_num / ((b - a) * max_col) > 0.2
+),
+tw AS (
+  SELECT c.report, c.page_no, c.col, max(length(coalesce(c.text, ''))) + 2 AS w
+  FROM tcells2 c JOIN tdet d USING (report, page_no) WHERE c.rw >= d.a AND c.rw < d.b GROUP BY ALL
+),
+tgrid AS (
+  SELECT d.report, d.page_no, d.a, r.rw, k.col
+  FROM tdet d
+  JOIN (SELECT DISTINCT report, page_no, rw FROM tcells2) r ON r.report = d.report AND r.page_no = d.page_no AND r.rw >= d.a AND r.rw < d.b
+  JOIN (SELECT report, page_no, unnest(range(n_cols)) AS col FROM tdet) k ON k.report = d.report AND k.page_no = d.page_no
+),
+tline AS (
+  SELECT g.report, g.page_no, g.rw, any_value(g.a) AS a,
+         '|' || string_agg(' ' || CASE WHEN g.col = 0 THEN rpad(coalesce(c.text, ''), CAST(w.w - 1 AS INTEGER), ' ')
+                                       ELSE lpad(coalesce(c.text, ''), CAST(w.w - 1 AS INTEGER), ' ') END || '|', '' ORDER BY g.col)
+           || chr(10) AS line,
+         '|' || string_agg(' ' || repeat('-', CAST(w.w - 2 AS INTEGER)) || ' |', '' ORDER BY g.col) || chr(10) AS rule_
+  FROM tgrid g
+  LEFT JOIN tcells2 c ON c.report = g.report AND c.page_no = g.page_no AND c.rw = g.rw AND c.col = g.col
+  JOIN tw w ON w.report = g.report AND w.page_no = g.page_no AND w.col = g.col
+  GROUP BY g.report, g.page_no, g.rw
+),
+tmd AS (
+  SELECT report, page_no, string_agg(CASE WHEN rw = a THEN line || rule_ ELSE line END, '' ORDER BY rw) AS markdown
+  FROM tline GROUP BY report, page_no
+)"""
+
+_TAB = with_(FIX_TABLES)
+
+ORACLES["numeric_cells"] = _TAB + f"""
+, lines AS (
+  SELECT report, page_no, block_no, line_no, string_agg(' ' || text || ' ', '' ORDER BY span_no) AS plain FROM tsp GROUP BY ALL
+)
+SELECT report, page_no, block_no::BIGINT AS block_no, count(*)::BIGINT AS n_cells,
+       count(*) FILTER (WHERE line_no > (SELECT min(l2.line_no) FROM lines l2 WHERE l2.report = lines.report
+                                          AND l2.page_no = lines.page_no AND l2.block_no = lines.block_no)
+                        AND regexp_matches(regexp_replace(plain, '[, ]', '', 'g'), '{_NUM}'))::BIGINT AS n_numeric
+FROM lines GROUP BY report, page_no, block_no"""
+
+ORACLES["table_extent"] = _TAB + "SELECT report, page_no, idx::BIGINT AS idx, text FROM tex"
+
+ORACLES["interval_cover"] = _TAB + "SELECT report, page_no, axis, idx::BIGINT AS idx, c1::BIGINT AS cover FROM tcov1"
+
+ORACLES["interval_groups"] = _TAB + "SELECT report, page_no, axis, round(coord, 6) AS coord, grp::BIGINT AS grp FROM tgrp"
+
+ORACLES["table_cells"] = _TAB + """
+SELECT report, page_no, rw::BIGINT AS "row", col::BIGINT AS col, text, block_no::BIGINT AS block_no FROM tcells2"""
+
+ORACLES["table_detect"] = _TAB + """
+SELECT report, page_no, a::BIGINT AS a, b::BIGINT AS b, n_cols::BIGINT AS n_cols, heading,
+       block_a::BIGINT AS block_a, block_b::BIGINT AS block_b, round(numeric_share, 6) AS numeric_share FROM tdet"""
+
+ORACLES["table_markdown"] = _TAB + """
+SELECT report, page_no, length(markdown)::BIGINT AS n_chars, md5(markdown) AS md5 FROM tmd"""
+
+ORACLES["table_insert"] = _TAB + """
+, tnum AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY page_no) - 1 AS table_no FROM tdet),
+thtml AS (
+  SELECT t.report, t.page_no, t.block_a, t.block_b,
+         chr(10) || '<b>Table ' || CAST(t.table_no AS VARCHAR) || ': ' || coalesce(t.heading, 'None') || '</b>' || chr(10) || chr(10)
+         || chr(10) || '<div class="markdown-table">' || chr(10) || m.markdown || chr(10) || '</div>' || chr(10) AS th
+  FROM tnum t JOIN tmd m USING (report, page_no)
+),
+blk AS (
+  SELECT report, page_no, block_no, chr(10) || '<p>' || string_agg(' ' || text || ' ', '' ORDER BY line_no, span_no) || '</p>' AS html
+  FROM tsp GROUP BY report, page_no, block_no
+),
+ins AS (
+  SELECT b.report, b.page_no, b.block_no, CASE WHEN b.block_no = t.block_a THEN t.th ELSE b.html END AS html
+  FROM blk b LEFT JOIN thtml t USING (report, page_no)
+  WHERE t.block_a IS NULL OR NOT (b.block_no > t.block_a AND b.block_no < t.block_b)
+)
+SELECT report, page_no, length(pg)::BIGINT AS n_chars, md5(pg) AS md5
+FROM (SELECT report, page_no, string_agg(html, '' ORDER BY block_no) AS pg FROM ins GROUP BY report, page_no)"""

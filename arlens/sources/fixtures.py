@@ -6,7 +6,7 @@ tables and DuckDB can build the same rows for the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arlens.sources.tables import read
@@ -221,3 +221,55 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = d.unionByName(pua).unionByName(empty)
     w, h = _page_geometry(F.col("doc_id"))
     return p.select(F.col("source").alias("report"), F.col("doc_id").alias("page_no"), w.alias("page_w"), h.alias("page_h"))
+
+
+def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per order with at least 3 line items, laid out as a table.
+
+    report = 'T' + (l_orderkey % 20), page_no = l_orderkey.  One block per row
+    (block_no = row, one line per cell, line_no = column): ``Lines``,
+    ``Order lines {key}``, the header ``Line | Quantity | Price | Discount``,
+    one row per item ``Item n | quantity | price | discount`` (n in line
+    number order, price with thousands commas) and ``End of page``.  Column 0
+    is left aligned at x 20, column k >= 1 right aligned at 150 + 100 k; rows
+    are 20 apart.  Report ``T0`` has words in place of the numbers; on every
+    5th page the first item's discount is blank.
+    """
+    li = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"
+    )
+    cnt = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items")).where(F.col("n_items") >= 3)
+    li = li.join(cnt, "l_orderkey", "left_semi")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    key = F.col("l_orderkey")
+    words = key % 20 == 0
+    items = li.select(
+        key.alias("page_no"), (F.row_number().over(w) + 2).alias("row"),
+        F.concat(F.lit("Item "), F.row_number().over(w).cast("string")).alias("c0"),
+        F.when(words, F.lit("qty")).otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("c1"),
+        F.when(words, F.lit("price")).otherwise(F.format_number("l_extendedprice", 2)).alias("c2"),
+        F.when(words, F.lit("disc"))
+        .when((key % 5 == 0) & (F.row_number().over(w) == 1), F.lit(""))
+        .otherwise(F.format_number("l_discount", 2)).alias("c3"),
+    )
+    pages = cnt.select(key.alias("page_no"), "n_items")
+    cells = (
+        items.select("page_no", "row", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("col", "text"))
+        .unionByName(pages.select("page_no", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("Lines").alias("text")))
+        .unionByName(pages.select("page_no", F.lit(1).alias("row"), F.lit(0).alias("col"),
+                                  F.concat(F.lit("Order lines "), F.col("page_no").cast("string")).alias("text")))
+        .unionByName(pages.select("page_no", F.lit(2).alias("row"),
+                                  F.posexplode(F.array(*[F.lit(h) for h in ["Line", "Quantity", "Price", "Discount"]])).alias("col", "text")))
+        .unionByName(pages.select("page_no", (F.col("n_items") + 3).alias("row"), F.lit(0).alias("col"), F.lit("End of page").alias("text")))
+    )
+    width = 5.0 * F.length("text")
+    x1 = F.when(F.col("col") == 0, 20.0 + width).otherwise(150.0 + 100.0 * F.col("col"))
+    x0 = F.when(F.col("col") == 0, F.lit(20.0)).otherwise(150.0 + 100.0 * F.col("col") - width)
+    y0 = 100.0 + 20.0 * F.col("row")
+    return cells.select(
+        F.concat(F.lit("T"), (F.col("page_no") % 20).cast("string")).alias("report"),
+        F.col("page_no").cast("bigint").alias("page_no"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"),
+        F.col("row").cast("bigint").alias("block_no"), F.col("col").cast("bigint").alias("line_no"),
+        F.lit(0).cast("bigint").alias("span_no"), "text", F.lit("Body").alias("font"), F.lit(10.0).alias("size"),
+        F.lit(0).alias("color"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 10.0).alias("y1"),
+    )
