@@ -723,7 +723,7 @@ _RES_STATS = ", ".join(
     for h in (1, 2) for c in ["pval_alpha", "pval_beta", "alpha", "beta", "t_alpha", "t_beta"]
 )
 
-ORACLES["report_result"] = (
+_RR_CTES = (
     "WITH RECURSIVE " + with_(*REPORT_CTES, *_gs_ctes(True))[5:].rstrip("\n") + _ols_select(True) + ",\n"
     + ",".join(c.strip("\n") for c in (FIX_DOCS, FIX_DOCFLOW, FIX_SCORING)) + f""",
 st4 AS (
@@ -743,6 +743,9 @@ SELECT b.path, b.isin AS "ISIN", b.isin_db AS "ISIN_db", CASE WHEN ok THEN wname
        CASE WHEN ok AND pval_alpha_2 IS NOT NULL THEN g.grade END::INTEGER AS "Answer"
 FROM base b LEFT JOIN gr g ON g.doc = b.doc"""
 )
+_RR_CTES, _RR_SELECT = _RR_CTES.split("\nSELECT b.path, b.isin", 1)
+_RR_SELECT = "SELECT b.path, b.isin" + _RR_SELECT
+ORACLES["report_result"] = _RR_CTES + "\n" + _RR_SELECT
 
 # ------------------------------------------------------------ step 7: tables
 
@@ -926,3 +929,29 @@ ins AS (
 )
 SELECT report, page_no, length(pg)::BIGINT AS n_chars, md5(pg) AS md5
 FROM (SELECT report, page_no, string_agg(html, '' ORDER BY block_no) AS pg FROM ins GROUP BY report, page_no)"""
+
+
+# ------------------------------------------------------------ step 3: sinks and incremental
+
+_RR = _RR_CTES + ",\nrr AS (" + _RR_SELECT + "),\nrry AS (SELECT *, TRY_CAST(string_split(string_split(path, '\\')[-1], '_')[1] AS INTEGER) AS year FROM rr)\n"
+
+ORACLES["ledger_roundtrip"] = ORACLES["report_result"]
+
+ORACLES["result_insert_absent"] = _RR + """
+SELECT path, "ISIN", "ISIN_db", "Name", alpha_2, "Answer" FROM (
+  SELECT *, row_number() OVER (PARTITION BY "ISIN" ORDER BY year, path) AS rn FROM rry) WHERE rn = 1"""
+
+ORACLES["result_key_exists"] = _RR + """
+SELECT path, "ISIN", "ISIN" IN (SELECT "ISIN" FROM rry WHERE year <= 1997) AS "exists" FROM rry"""
+
+_TYPES = ["string"] * 3 + ["double"] * 12 + ["int"]
+_COLS = ["ISIN", "ISIN_db", "Name"] + [f"{c}_{h}" for h in (1, 2) for c in
+                                       ["pval_alpha", "pval_beta", "alpha", "beta", "t_alpha", "t_beta"]] + ["Answer"]
+ORACLES["result_schema"] = _RR + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS ordinal, '{c}' AS column_name, '{t}' AS data_type, count(\"{c}\")::BIGINT AS n_nonnull FROM rr"
+    for i, (c, t) in enumerate(zip(_COLS, _TYPES))) + ")"
+
+ORACLES["key_uniqueness"] = _RR + """
+SELECT "ISIN", count(*)::BIGINT AS n FROM rr GROUP BY "ISIN" HAVING count(*) > 1"""
+
+ORACLES["incremental_skip"] = ORACLES["document_sections"]

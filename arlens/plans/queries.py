@@ -445,3 +445,88 @@ def table_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pg = ins.groupBy("report", "page_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "html"))).alias("_b"))
     page = F.array_join(F.transform("_b", lambda x: x["html"]), "")
     return pg.select("report", "page_no", F.length(page).cast("bigint").alias("n_chars"), F.md5(page).alias("md5"))
+
+
+# ------------------------------------------------------------ step 3: sinks and incremental
+
+from arlens.sources.ledger import read_ledger, write_ledger  # noqa: E402
+from arlens.streaming import incremental as INC  # noqa: E402
+
+_RESULT_ROUND = {c: (8 if c.startswith("pval") else 6) for c in R.RESULT_COLS[3:15]}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, _RESULT_ROUND[c]).alias(c) if c in _RESULT_ROUND else F.col(c) for c in df.columns])
+
+
+def _stored_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Result rows of the reports up to 1997, stored by an earlier insert-if-absent run."""
+    from arlens.plans.joins import materialize
+
+    res = materialize(R.report_result(spark, sf_dir).withColumn("year", report.report_identity_year("path")))
+    path = INC.storage_path(spark, "results")
+    INC.append_absent(spark, path, res.where(F.col("year") <= 1997), ["ISIN"], ["year", "path"])
+    return res, path
+
+
+@q
+def ledger_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows written to the ';' ledger and read back typed."""
+    res = R.report_result(spark, sf_dir)
+    cols = ["path"] + R.RESULT_COLS
+    path = INC.storage_path(spark, "ledger")
+    write_ledger(res, path, cols)
+    back = read_ledger(spark, path, res.select(*cols).schema)
+    return _rounded(back)
+
+
+@q
+def result_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored table after a second insert-if-absent run over all reports."""
+    res, path = _stored_results(spark, sf_dir)
+    INC.append_absent(spark, path, res, ["ISIN"], ["year", "path"])
+    return _rounded(spark.read.parquet(path).select("path", "ISIN", "ISIN_db", "Name", "alpha_2", "Answer"))
+
+
+@q
+def result_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every report, whether its ISIN is already stored."""
+    res, path = _stored_results(spark, sf_dir)
+    return INC.key_exists(res.select("path", "ISIN"), spark.read.parquet(path), ["ISIN"])
+
+
+@q
+def result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result table's columns (ordinal, name, type) with the
+    number of non-null values stored in each."""
+    res = R.report_result(spark, sf_dir).select(*R.RESULT_COLS)
+    counts = res.select(*[F.count(c).alias(c) for c in R.RESULT_COLS])
+    meta = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(res.schema.fields)]
+    stack = "stack({}, {}) as (ordinal, column_name, data_type, n_nonnull)".format(
+        len(meta), ", ".join(f"{i}, '{n}', '{t}', `{n}`" for i, n, t in meta))
+    return counts.selectExpr(stack).select(F.col("ordinal").cast("int"), "column_name", "data_type",
+                                           F.col("n_nonnull").cast("bigint"))
+
+
+@q
+def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the result rows that occur more than once (the primary-key check)."""
+    res = R.report_result(spark, sf_dir)
+    return res.groupBy("ISIN").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+@q
+def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections stored for some reports are reused; only the
+    missing reports run through the document pipeline, then both are read."""
+    spans = fixtures.doc_spans(spark, sf_dir)
+    pages = fixtures.doc_pages(spark, sf_dir)
+    path = INC.storage_path(spark, "sections")
+    first = document.plan(spans.where(F.col("report").isin([f"src{i}" for i in range(10)])), pages)
+    document.sections(first).write.mode("append").parquet(path)
+    done = spark.read.parquet(path)
+    todo = INC.missing(spans, done.select("report"), ["report"])
+    document.sections(document.plan(todo, INC.missing(pages, done.select("report"), ["report"]))).write.mode(
+        "append").parquet(path)
+    s = spark.read.parquet(path)
+    return s.select("report", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
