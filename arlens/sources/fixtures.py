@@ -175,12 +175,14 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_lines = d.select("source", "doc_id", F.size(F.split("text", "\n")).alias("n"))
     first = lines.where(F.col("li") == 0).select("source", "doc_id", F.substring("line", 1, 40).alias("t"))
 
-    def span(df, bi, text, font, size, x0, x1, span_no=F.lit(0)):
+    def span(df, bi, text, font, size, x0, x1, span_no=F.lit(0), lx0=None, lx1=None):
         return df.select(
             F.col("source").alias("report"), F.col("doc_id").alias("page_no"), bi.cast("bigint").alias("block_no"),
             F.lit(0).cast("bigint").alias("line_no"), span_no.cast("bigint").alias("span_no"), text.alias("text"),
             F.lit(font).alias("font"), F.lit(size).alias("size"), F.lit(0).alias("color"),
             x0.cast("double").alias("x0"), x1.cast("double").alias("x1"),
+            (x0 if lx0 is None else lx0).cast("double").alias("line_x0"),
+            (x1 if lx1 is None else lx1).cast("double").alias("line_x1"),
         )
 
     doc = F.col("doc_id")
@@ -197,8 +199,8 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = span(lines.where(~mixed), F.col("li") + 2, F.col("line"), BODY_FONT, BODY_SIZE, bx0, bx1)
     mx = lines.where(mixed)
     mid = (bx0 + bx1) / 2
-    bold = span(mx, F.col("li") + 2, F.substring("line", 1, 10), BOLD_FONT, BODY_SIZE, bx0, mid)
-    rest = span(mx, F.col("li") + 2, F.expr("substring(line, 11)"), BODY_FONT, BODY_SIZE, mid, bx1, F.lit(1))
+    bold = span(mx, F.col("li") + 2, F.substring("line", 1, 10), BOLD_FONT, BODY_SIZE, bx0, mid, lx0=bx0, lx1=bx1)
+    rest = span(mx, F.col("li") + 2, F.expr("substring(line, 11)"), BODY_FONT, BODY_SIZE, mid, bx1, F.lit(1), bx0, bx1)
     pno = span(
         n_lines, F.col("n") + 2, doc.cast("string"), BODY_FONT, PAGENO_SIZE,
         F.when(wide, 550.0).otherwise(left0), F.when(wide, 600.0).otherwise(100.0),
@@ -206,9 +208,11 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = header.unionByName(title).unionByName(plain).unionByName(bold).unionByName(rest).unionByName(pno)
     w, h = _page_geometry(F.col("page_no"))
     y0 = 40.0 + 12.0 * F.col("block_no")
+    # One line per block: the block's horizontal extent is its line's.
     return s.select(
         "report", "page_no", w.alias("page_w"), h.alias("page_h"), "block_no", "line_no", "span_no", "text", "font",
         "size", "color", "x0", y0.alias("y0"), "x1", (y0 + F.col("size")).alias("y1"),
+        "line_x0", "line_x1", F.col("line_x0").alias("block_x0"), F.col("line_x1").alias("block_x1"),
     )
 
 
