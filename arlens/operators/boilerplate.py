@@ -23,10 +23,9 @@ def blocks(spans: DataFrame) -> DataFrame:
     piece = F.when((F.length(st) > 0) & not_int(st), F.concat(F.col("font"), py_float_str(F.col("size")), F.lit(":"), F.col("text")))
     g = spans.groupBy(*BLOCK).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "span_no", piece.alias("p")))).alias("_ps"),
-        F.countDistinct("line_no").alias("n_lines"),
         F.sum(F.length("text")).alias("_len"),
         F.sum(private_use_count(F.col("text"))).alias("n_private"),
-    )
+    ).withColumn("n_lines", F.size(F.array_distinct(F.transform("_ps", lambda x: x["line_no"]))))
     return g.select(
         *BLOCK,
         F.array_join(F.transform("_ps", lambda x: x["p"]), ";").alias("block_key"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arlens.operators import boilerplate, fonts, headings, html, layout
-from arlens.plans.joins import materialize
+from arlens.plans.joins import materialize, stored_input
 from arlens.sources import fixtures
 
 BLOCK = ["report", "page_key", "block_no"]
@@ -34,10 +34,10 @@ def plan(spans: DataFrame, pages: DataFrame) -> DocPlan:
     sp = materialize(layout.page_split(spans))
     blk = boilerplate.blocks(sp)
     rep = boilerplate.repeated_keys(blk)
-    kb = boilerplate.remove_repeated(blk, rep)
+    kb = materialize(boilerplate.remove_repeated(blk, rep))
     status = boilerplate.document_status(kb, pages)
     ok = status.where(F.col("status") == "ok").select("report")
-    kb_ok = kb.join(ok, "report", "left_semi")
+    kb_ok = materialize(kb.join(ok, "report", "left_semi"))
     ks = materialize(sp.join(kb_ok.select(*BLOCK), BLOCK, "left_semi"))
     ent = fonts.font_entries(ks, kb_ok)
     st = fonts.font_stats(ent)
@@ -45,7 +45,8 @@ def plan(spans: DataFrame, pages: DataFrame) -> DocPlan:
 
 
 def fixture_plan(spark: SparkSession, sf_dir: str) -> DocPlan:
-    return plan(fixtures.doc_spans(spark, sf_dir), fixtures.doc_pages(spark, sf_dir))
+    spans = stored_input(spark, sf_dir, "doc_spans", fixtures.doc_spans)
+    return plan(spans, fixtures.doc_pages(spark, sf_dir))
 
 
 def accepted(p: DocPlan) -> DataFrame:

@@ -39,3 +39,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_INPUTS: dict = {}
+
+
+def stored_input(spark, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived test input, materialised once per session and data folder.
+
+    Stands in for a stored table: in production these inputs (equity rows,
+    document spans, table pages) are tables that queries read; only the test
+    fixtures derive them, so deriving them again per query would time the
+    fixture instead of the operator.
+    """
+    key = (id(spark), sf_dir, name)
+    if key not in _INPUTS:
+        _INPUTS[key] = materialize(build(spark, sf_dir))
+    return _INPUTS[key]

@@ -367,7 +367,9 @@ from arlens.operators import tables as TB  # noqa: E402
 
 
 def _tspans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.table_spans(spark, sf_dir)
+    from arlens.plans.joins import stored_input
+
+    return stored_input(spark, sf_dir, "table_spans", fixtures.table_spans)
 
 
 @q
