@@ -65,13 +65,16 @@ def section_pieces(blocks_html: DataFrame) -> DataFrame:
     ).select("report", "page_key", "block_no", "j", (F.col("h1_before") + F.col("j")).alias("i"), "part")
 
 
-def sections_from_pieces(pieces: DataFrame) -> DataFrame:
-    """Sections (report, i, html): pieces joined in order, S10 applied, the
-    ``<h1>`` tag restored when the section holds ``</h1>`` (unclosed loses it)."""
+def sections_from_pieces(pieces: DataFrame, clean: bool = True) -> DataFrame:
+    """Sections (report, i, html): pieces joined in order, S10 applied (when
+    ``clean``), the ``<h1>`` tag restored when the section holds ``</h1>``
+    (unclosed loses it).  Each section is assembled from its own pieces only,
+    so no row ever holds more than one section."""
     g = pieces.groupBy("report", "i").agg(
         F.array_sort(F.collect_list(F.struct("page_key", "block_no", "j", "part"))).alias("_ps")
     )
-    raw = clean_newlines(F.array_join(F.transform("_ps", lambda x: x["part"]), ""))
+    joined = F.array_join(F.transform("_ps", lambda x: x["part"]), "")
+    raw = clean_newlines(joined) if clean else joined
     return g.select(
         "report", F.col("i").cast("bigint").alias("i"),
         F.when(raw.contains("</h1>"), F.concat(F.lit("<h1>"), raw)).otherwise(raw).alias("html"),

@@ -152,12 +152,18 @@ def is_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     toks = F.filter(F.split(F.col("text"), TOKEN_SPLIT), lambda t: t != "")
+    d = d.select("doc_id", toks.alias("toks"))
+    # Only tokens with a digit or the letters of nan/inf can be numbers: a
+    # cheap translate/contains test keeps the regexes off ordinary words.
+    maybe = F.filter("toks", lambda t: (F.translate(t, "0123456789", "") != t)
+                     | F.lower(t).contains("nan") | F.lower(t).contains("inf"))
+    d = d.select("doc_id", F.size("toks").alias("n"), maybe.alias("c"))
     return d.select(
         "doc_id",
-        F.size(toks).cast("bigint").alias("n_tokens"),
-        F.size(F.filter(toks, lambda t: T.is_number_table(t))).cast("bigint").alias("n_number_table"),
-        F.size(F.filter(toks, lambda t: T.is_number_row(t))).cast("bigint").alias("n_number_row"),
-        F.size(F.filter(toks, lambda t: ~T.not_int(t))).cast("bigint").alias("n_integer"),
+        F.col("n").cast("bigint").alias("n_tokens"),
+        F.size(F.filter("c", lambda t: T.is_number_table(t))).cast("bigint").alias("n_number_table"),
+        F.size(F.filter("c", lambda t: T.is_number_row(t))).cast("bigint").alias("n_number_row"),
+        F.size(F.filter("c", lambda t: ~T.not_int(t))).cast("bigint").alias("n_integer"),
     )
 
 
@@ -295,16 +301,16 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12 on raw web pages: every page's html split at <h1>, plus the pages of
     each host joined in page_id order."""
-    pg = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"), "html")
+    pages = read(spark, sf_dir, "pages")
+    pg = pages.select(F.col("page_id").cast("string").alias("doc"), "html")
+    per_page = H.split_sections(pg, "doc", "html")
+    # Sections of a whole host: pages in page_id order, split per page and
+    # assembled per section (never one string per host).
     host = F.regexp_extract(F.col("url"), "^[a-z]+://([^/?#]+)", 1)
-    byhost = (
-        read(spark, sf_dir, "pages")
-        .groupBy(host.alias("host"))
-        .agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("_p"))
-        .select(F.concat(F.lit("host:"), F.col("host")).alias("doc"),
-                F.array_join(F.transform("_p", lambda x: x["html"]), "").alias("html"))
-    )
-    s = H.split_sections(pg.unionByName(byhost), "doc", "html")
+    blocks = pages.select(F.concat(F.lit("host:"), host).alias("report"), F.col("page_id").alias("page_key"),
+                          F.lit(0).cast("bigint").alias("block_no"), "html")
+    byhost = H.sections_from_pieces(H.section_pieces(blocks), clean=False).withColumnRenamed("report", "doc")
+    s = per_page.unionByName(byhost)
     return s.select("doc", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
 
 
