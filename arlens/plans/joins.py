@@ -27,18 +27,28 @@ def broadcast_if_bounded(small: DataFrame, bound_rows: int) -> DataFrame:
     return small
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, as_table: bool = False) -> DataFrame:
     """Cut the lineage of a frame that later steps read several times.
 
-    A reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``
-    (set only when unset, as in local tests): the data survives executor loss
-    and the optimizer plans the later steps over a scan instead of a copy of
-    the whole upstream plan per reference.
+    Both forms write into the shared folder named by ``spark.checkpoint.dir``
+    (set only when unset, as in local tests), so the data survives executor
+    loss and later steps are planned over a scan instead of a copy of the
+    whole upstream plan per reference.  ``as_table`` writes a parquet table
+    and reads it back, so the scan prunes columns and pushes filters (used for
+    inputs that many queries read); otherwise a reliable ``checkpoint()``
+    (used inside one pipeline, where every column is consumed).
     """
+    import uuid
+
     from arlens.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark)
+    if not as_table:
+        return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _INPUTS: dict = {}
@@ -54,5 +64,5 @@ def stored_input(spark, sf_dir: str, name: str, build) -> DataFrame:
     """
     key = (id(spark), sf_dir, name)
     if key not in _INPUTS:
-        _INPUTS[key] = materialize(build(spark, sf_dir))
+        _INPUTS[key] = materialize(build(spark, sf_dir), as_table=True)
     return _INPUTS[key]
