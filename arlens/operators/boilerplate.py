@@ -14,7 +14,7 @@ MIN_LINES, MAX_LINES, REPEAT_LIMIT = 1, 5, 10
 
 def blocks(spans: DataFrame) -> DataFrame:
     """One row per block: key (S6), line count, text length of ``getline`` (E10),
-    private-use count (E11).
+    plain length of ``analyze_block`` (F2: 1 + sum(len + 2)), private-use count (E11).
 
     S6: ``font + size + ':' + text`` of every span whose stripped text is
     non-empty and not an integer, in line/span order, joined by ``;``.
@@ -24,6 +24,7 @@ def blocks(spans: DataFrame) -> DataFrame:
     g = spans.groupBy(*BLOCK).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "span_no", piece.alias("p")))).alias("_ps"),
         F.sum(F.length("text")).alias("_len"),
+        F.count(F.lit(1)).alias("_n"),
         F.sum(private_use_count(F.col("text"))).alias("n_private"),
     ).withColumn("n_lines", F.size(F.array_distinct(F.transform("_ps", lambda x: x["line_no"]))))
     return g.select(
@@ -31,6 +32,7 @@ def blocks(spans: DataFrame) -> DataFrame:
         F.array_join(F.transform("_ps", lambda x: x["p"]), ";").alias("block_key"),
         F.col("n_lines").cast("bigint").alias("n_lines"),
         (F.col("_len") + F.col("n_lines")).cast("bigint").alias("text_len"),
+        (F.col("_len") + 2 * F.col("_n") + 1).cast("bigint").alias("plain_len"),
         F.col("n_private").cast("bigint").alias("n_private"),
     )
 

@@ -22,19 +22,17 @@ MIN_GAP = 1000
 ORD = ["page_key", "block_no", "line_no", "span_no"]
 
 
-def plain_offsets(kept_spans: DataFrame) -> DataFrame:
-    """plain-text length before each block; a block adds 1 + sum(len(text) + 2)."""
-    blk = kept_spans.groupBy("report", "page_key", "block_no").agg(
-        (F.lit(1) + F.sum(F.length("text") + 2)).alias("plain_len")
-    )
-    return running_sum(blk, ["report"], "page_key", ["block_no"], "plain_len", "plain_before", inclusive=False)
+def plain_offsets(kept_blocks: DataFrame) -> DataFrame:
+    """plain-text length before each block (``plain_len`` per block, see
+    ``boilerplate.blocks``: 1 + sum(len(text) + 2))."""
+    return running_sum(kept_blocks, ["report"], "page_key", ["block_no"], "plain_len", "plain_before", inclusive=False)
 
 
-def heading_candidates(kept_spans: DataFrame, heading: DataFrame) -> DataFrame:
+def heading_candidates(kept_spans: DataFrame, heading: DataFrame, kept_blocks: DataFrame) -> DataFrame:
     """Spans in the report's heading font with their block's plain offset and key."""
     s = kept_spans.withColumn("font_key", font_key(F.col("font"), F.col("size"), F.col("color")))
     c = s.join(heading, "report").where(F.col("font_key") == F.col("heading_font"))
-    off = plain_offsets(kept_spans).select("report", "page_key", "block_no", "plain_before")
+    off = plain_offsets(kept_blocks).select("report", "page_key", "block_no", "plain_before")
     c = c.join(off, ["report", "page_key", "block_no"])
     return c.select(
         "report", *ORD, "plain_before", "text", "font",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arlens.functions.text import clean_newlines, page_title, styled
@@ -29,25 +29,25 @@ def block_html(kept_spans: DataFrame, accepted: DataFrame) -> DataFrame:
 
     Each span is `` styled `` (S8); an accepted heading span replaces what its
     line had so far by ``<h1>styled</h1>\\n``.  The block is ``\\n<p>`` + lines,
-    closed with ``</p>`` unless its text already holds one.
+    closed with ``</p>`` unless its text already holds one.  A block has at
+    most one accepted heading (the 1000-character gap), so the heading is
+    joined on the block key and the same partitioning serves the per-block
+    aggregation: no per-line window.
     """
-    acc = accepted.where("accepted").select("report", *ORD, F.lit(True).alias("acc"))
-    s = kept_spans.join(acc, ["report", *ORD], "left")
-    wl = Window.partitionBy("report", "page_key", "block_no", "line_no")
-    s = s.withColumn("_h", F.max(F.when(F.col("acc"), F.col("span_no"))).over(wl))
+    blk = ["report", "page_key", "block_no"]
+    acc = accepted.where("accepted").select(*blk, F.col("line_no").alias("_hl"), F.col("span_no").alias("_hs"))
+    s = kept_spans.join(acc, blk, "left")
+    in_line = F.col("_hl").isNotNull() & (F.col("line_no") == F.col("_hl"))
     st = styled(F.col("text"), F.col("font"))
     piece = (
-        F.when(F.col("acc"), F.concat(F.lit("<h1>"), st, F.lit("</h1>\n")))
-        .when(F.col("_h").isNotNull() & (F.col("span_no") < F.col("_h")), F.lit(None))
+        F.when(in_line & (F.col("span_no") == F.col("_hs")), F.concat(F.lit("<h1>"), st, F.lit("</h1>\n")))
+        .when(in_line & (F.col("span_no") < F.col("_hs")), F.lit(None))
         .otherwise(F.concat(F.lit(" "), st, F.lit(" ")))
     )
-    g = s.groupBy("report", "page_key", "block_no").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "span_no", piece.alias("p")))).alias("_ps")
-    )
+    g = s.groupBy(*blk).agg(F.array_sort(F.collect_list(F.struct("line_no", "span_no", piece.alias("p")))).alias("_ps"))
     body = F.concat(F.lit("\n<p>"), F.array_join(F.transform("_ps", lambda x: x["p"]), ""))
     return g.select(
-        "report", "page_key", "block_no",
-        F.when(body.contains("</p>"), body).otherwise(F.concat(body, F.lit("</p>"))).alias("html"),
+        *blk, F.when(body.contains("</p>"), body).otherwise(F.concat(body, F.lit("</p>"))).alias("html"),
     )
 
 

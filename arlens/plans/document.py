@@ -24,6 +24,7 @@ class DocPlan:
     kept_blocks: DataFrame
     status: DataFrame
     kept_spans: DataFrame  # spans of kept blocks of readable reports
+    kept_ok: DataFrame  # kept blocks of readable reports
     entries: DataFrame
     stats: DataFrame
     body: DataFrame
@@ -41,7 +42,7 @@ def plan(spans: DataFrame, pages: DataFrame) -> DocPlan:
     ks = materialize(sp.join(kb_ok.select(*BLOCK), BLOCK, "left_semi"))
     ent = fonts.font_entries(ks, kb_ok)
     st = fonts.font_stats(ent)
-    return DocPlan(sp, blk, rep, kb, status, ks, ent, st, fonts.body_font(st), fonts.heading_font(st))
+    return DocPlan(sp, blk, rep, kb, status, ks, kb_ok, ent, st, fonts.body_font(st), fonts.heading_font(st))
 
 
 def fixture_plan(spark: SparkSession, sf_dir: str) -> DocPlan:
@@ -50,7 +51,7 @@ def fixture_plan(spark: SparkSession, sf_dir: str) -> DocPlan:
 
 
 def accepted(p: DocPlan) -> DataFrame:
-    return headings.accept_headings(headings.heading_candidates(p.kept_spans, p.heading))
+    return headings.accept_headings(headings.heading_candidates(p.kept_spans, p.heading, p.kept_ok))
 
 
 def block_html(p: DocPlan) -> DataFrame:
@@ -58,5 +59,7 @@ def block_html(p: DocPlan) -> DataFrame:
 
 
 def sections(p: DocPlan, blocks_html: DataFrame | None = None) -> DataFrame:
-    bh = blocks_html if blocks_html is not None else block_html(p)
+    # The block html is read twice by the running <h1> count (page totals and
+    # the join back), so it is materialised first.
+    bh = materialize(blocks_html if blocks_html is not None else block_html(p))
     return html.sections_from_pieces(html.section_pieces(bh))
