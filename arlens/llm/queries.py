@@ -6,10 +6,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import bands, packing, secrets, sharding
+from arlens.llm import bands, packing, quality, secrets, sharding, toxicity
 from arlens.llm.common import table
 
 
+def _fold(mod: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op1_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; fold 2 of 4 is held out of the fit."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(_fold(4) != 2).select("doc_id", F.col("quality").alias("label")))
+    scored = docs.select("doc_id", (_fold(4) == 2).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.KEEP).cast("int"))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of the rules, the compression figures and the verdict."""
     docs = table(spark, sf_dir, "documents")
@@ -22,6 +34,14 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; fold 0 of 5 is held out of the fit."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label")))
+    scored = docs.select("doc_id", (_fold(5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each packed piece of a document."""
     pieces = packing.pack(table(spark, sf_dir, "documents"))
@@ -47,5 +67,5 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_compression_bands, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters)}
 ORACLE_SQL: dict[str, str] = {}
