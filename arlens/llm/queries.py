@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import bands, packing, quality, secrets, sharding, toxicity
+from arlens.llm import bands, decontam, editcount, packing, quality, secrets, sharding, toxicity
 from arlens.llm.common import table
 
 
@@ -34,6 +34,17 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after an edit taken from its own
+    columns: a note of language and source replaces part of the middle."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    start = F.floor(F.length(text) / 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), start.alias("start"), (start + F.col("doc_id") % 40).alias("end"), F.concat_ws(" ", F.lit(" note:"), "lang", "source").alias("new"))
+    treed = docs.withColumn("tree", editcount.token_tree(F.col("text")))
+    edited = treed.withColumn("after", editcount.apply_edit(F.col("text"), F.col("tree"), F.col("start"), F.col("end"), F.col("new")))
+    return edited.select("doc_id", editcount.count(F.col("tree")).alias("n_tokens"), editcount.count(F.col("after")).alias("n_tokens_after"), F.col("after.encoded").alias("chars_encoded"), F.length("after.text").cast("long").alias("n_chars_after"))
+
+
 def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; fold 0 of 5 is held out of the fit."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -67,5 +78,11 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters)}
+def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item that a document holds."""
+    found = decontam.leaks(F.col("text"), table(spark, sf_dir, "benchmark"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found))
+
+
+QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}
 ORACLE_SQL: dict[str, str] = {}
