@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import bands, decontam, editcount, packing, quality, secrets, sharding, toxicity
+from arlens.llm import bands, decontam, editcount, packing, parity, quality, secrets, sharding, toxicity
 from arlens.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's shingle set and the smallest linked doc_id."""
+    return parity.near_duplicates(table(spark, sf_dir, "documents")).withColumn("n_shingles", F.col("n_shingles").cast("long"))
+
+
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after an edit taken from its own
     columns: a note of language and source replaces part of the middle."""
@@ -84,5 +89,5 @@ def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(found))
 
 
-QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}
+QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}
 ORACLE_SQL: dict[str, str] = {}
