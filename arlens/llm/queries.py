@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import bands, decontam, editcount, packing, parity, quality, secrets, sharding, toxicity
+from arlens.llm import bands, bpr, decontam, editcount, packing, parity, quality, secrets, sharding, toxicity
 from arlens.llm.common import table
 
 
@@ -39,6 +39,13 @@ def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.near_duplicates(table(spark, sf_dir, "documents")).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
 
+def op4_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document removed as parts of repeated 400-byte strings."""
+    found = bpr.repeated_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
+
+
 def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after an edit taken from its own
     columns: a note of language and source replaces part of the middle."""
@@ -89,5 +96,5 @@ def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(found))
 
 
-QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}
+QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op4_bucket_pointer_refinement, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}
 ORACLE_SQL: dict[str, str] = {}
