@@ -361,3 +361,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = rows.filter("size > 0").groupBy("name").agg(F.min("id").alias("first")).join(of_linked, "name", "left").select("name", F.coalesce("component", "first").alias("component"))
     out = rows.select("id", "size", "name").join(every, "name", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near duplicates: the one of smallest
+    id (null first; among equal ids, of smallest text hash).  Rows without words
+    all stay, repeated ones too; columns stay as they are."""
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = df.select(F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
+    found = cut(near_duplicates(keyed, "key", "text").filter("n_shingles > 0").groupBy("key", "component_id").agg(F.count("*").alias("n")))
+    gone = found.filter("key != component_id").select(F.col("key.i").alias("_i"), F.col("key.h").alias("_h"))
+    same = df[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(df[text_col].cast("string")) == F.col("_h"))
+    kept = df.join(gone, same, "left_anti")
+    twice = found.filter("key = component_id and n > 1").select(F.col("key.i").alias("_i"), F.col("key.h").alias("_h"))
+    if twice.isEmpty():
+        return kept
+    # rows that are repeated as a whole: only these are brought together
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").withColumn("_h", F.xxhash64(F.col(f"`{text_col}`").cast("string"))).dropDuplicates([id_col, "_h"]).drop("_h"))
