@@ -1,17 +1,39 @@
-"""Corpus pipeline: stages from raw documents to packed token windows."""
+"""Corpus pipeline: from raw documents to packed token windows.
+
+Each stage reads all that the one before kept.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import packing, secrets
+from arlens.llm import decontam, packing, parity, quality, secrets
 from arlens.llm.common import cut, table
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is under the threshold go.  Fold 2 of 4 of
+    the labels stays out of the fit, as in the operator's own query."""
+    labels = table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    model = quality.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return docs.filter(quality.score(F.col("text"), model) >= quality.KEEP)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return parity.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return docs.filter(F.size(decontam.leaks(F.col("text"), table(spark, sf_dir, "benchmark"))) == 0)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +42,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality_classifier", drop_low_quality),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
     ("secret_scans", redact_secrets),
     ("packing", pack_windows),
 ]
