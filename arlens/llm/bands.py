@@ -88,23 +88,22 @@ def compression(raw: bytes, pack, chunk: int = CHUNK, bands=BANDS) -> tuple[floa
 _FIELDS = [("n_words", "long", pa.int64()), ("word_chars", "long", pa.int64()), ("n_symbols", "long", pa.int64()), ("n_dup_lines", "long", pa.int64()), ("n_repeat_words", "long", pa.int64()), ("zstd_ratio", "double", pa.float64()), ("n_chunks", "long", pa.int64()), ("bad_chunks", "long", pa.int64()), ("band_ok", "boolean", pa.bool_())]
 
 
-@F.arrow_udf("struct<" + ",".join(f"{n}:{t}" for n, t, _ in _FIELDS) + ">")
-def _measure(texts: pa.Array) -> pa.Array:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
-    rows = [(*counts(raw), *compression(raw, pack)) for raw in utf8(texts)]
-    columns = list(zip(*rows)) or [[] for _ in _FIELDS]
-    return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, _FIELDS)], [n for n, _, _ in _FIELDS])
-
-
 def text_rules(text: Column) -> Column:
     """Struct of the base counts, the compression figures and ``band_ok``.
 
     Null and empty texts have no words and no ratio and are not ``band_ok``.
     Whole texts are read; words are runs of anything but ASCII white space.
     """
-    return _measure(text.cast("string"))
+    @F.arrow_udf("struct<" + ",".join(f"{n}:{t}" for n, t, _ in _FIELDS) + ">")
+    def measure(texts: pa.Array) -> pa.Array:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
+        rows = [(*counts(raw), *compression(raw, pack)) for raw in utf8(texts)]
+        columns = list(zip(*rows)) or [[] for _ in _FIELDS]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, _FIELDS)], [n for n, _, _ in _FIELDS])
+
+    return measure(text.cast("string"))
 
 
 def base_failed(rules: Column) -> Column:
