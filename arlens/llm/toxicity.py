@@ -32,6 +32,11 @@ DISCOUNT = 0.75
 FLOOR = 6.0
 #: Occurrences that the shared distribution counts for in each class's context.
 STRENGTH = 0.5
+#: At most about so many labelled rows give class counts and the curve; the
+#: shared counts come from every document.
+FIT_ROWS = 100_000
+#: N-grams that a task holds before it counts them.
+TALLY = 4_000_000
 #: Cells of the tables that travel to the tasks (bounds their size, 4 bytes a
 #: cell); n-grams that share a cell share their count-weighted mean.
 CELL_BITS = 22
@@ -92,28 +97,34 @@ def evidence(text: str | None, ratio: np.ndarray, backoff: np.ndarray) -> float:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """gram, t, o: occurrences of every n-gram in toxic and ordinary rows."""
+    """gram, t, o: occurrences of every n-gram in toxic and ordinary rows; rows
+    of neither class (``_label`` null) give their n-grams with zero counts."""
+    def tally(code: list[np.ndarray], label: list[int]) -> pa.RecordBatch:
+        gram, at = np.unique(np.concatenate(code), return_inverse=True)
+        label = np.repeat(np.array(label, np.int8), [len(c) for c in code])
+        n = [np.bincount(at[label == k], minlength=len(gram)) for k in (1, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n[0]), pa.array(n[1])], ["gram", "t", "o"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code: list[np.ndarray] = []
+        label: list[int] = []
+        held = 0
         for b in batches:
-            y, x = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for k in (0, 1):
-                part: list[np.ndarray] = []
-                held = 0
-                for at in [*np.flatnonzero(y == k), -1]:
-                    if at >= 0:
-                        part.append(codes(symbols(x[at])))
-                        held += len(part[-1])
-                    if part and (at < 0 or held >= 8_000_000):
-                        gram, n = np.unique(np.concatenate(part), return_counts=True)
-                        zero = np.zeros_like(n)
-                        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n if k else zero), pa.array(zero if k else n)], ["gram", "t", "o"])
-                        part, held = [], 0
+            for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                code.append(codes(symbols(x)))
+                label.append(2 if y is None else y)
+                held += len(code[-1])
+                if held >= TALLY:
+                    yield tally(code, label)
+                    code, label, held = [], [], 0
+        if code:
+            yield tally(code, label)
 
     return rows.mapInArrow(count, "gram long, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def _shared(grams: DataFrame) -> DataFrame:
-    """gram and ``p``: the shared lower-order probability of its last symbol.
+def _shared(grams: DataFrame, classed: DataFrame) -> DataFrame:
+    """``classed`` with ``p``: the shared lower-order probability of the last symbol.
 
     Order by order, a shorter gram counts the different symbols that precede
     it; probabilities are interpolated from the shortest up.
@@ -132,17 +143,18 @@ def _shared(grams: DataFrame) -> DataFrame:
             shorter = F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)
             p = level.withColumn("low", shorter).join(p.withColumnsRenamed({"gram": "low", "p": "below"}), "low").select("gram", (own + rest * F.col("below")).alias("p"))
     low = F.col("gram").bitwiseAND((1 << (8 * (ORDER - 1))) - 1)
-    return grams.withColumn("low", low).join(p.withColumnsRenamed({"gram": "low"}), "low").drop("low")
+    return classed.withColumn("low", low).join(p.withColumnsRenamed({"gram": "low"}), "low").drop("low")
 
 
 def _tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     grams = cut(_counts(rows))
+    classed = grams.filter("t + o > 0")
     kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    context = grams.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), kinds("t").alias("kt"), kinds("o").alias("ko"))
+    context = classed.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), kinds("t").alias("kt"), kinds("o").alias("ko"))
     rest = lambda n, k: (DISCOUNT * F.col(k) + STRENGTH) / (F.col(n) + STRENGTH)
     context = context.withColumns({"rt": rest("nt", "kt"), "ro": rest("no", "ko")})
     over = lambda c: F.greatest(c - DISCOUNT, F.lit(0.0))
-    full = _shared(grams).withColumn("ctx", F.shiftright("gram", 8)).join(context, "ctx")
+    full = _shared(grams, classed).withColumn("ctx", F.shiftright("gram", 8)).join(context, "ctx")
     own = lambda c, n: over(F.col(c)) / (F.col(n) + STRENGTH)
     llr = F.log(own("t", "nt") + F.col("rt") * F.col("p")) - F.log(own("o", "no") + F.col("ro") * F.col("p"))
 
@@ -184,22 +196,29 @@ def _curve(x: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[float, float
     return float(slope / width), float(mid - w[0] * width / slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Model from all rows of ``labels`` (id, ``label`` 0 or 1; other and null
-    labels are skipped) and the whole texts of ``docs``.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model | None:
+    """Model from ``labels`` (id, ``label`` 0 or 1; other and null labels are
+    skipped) and the whole texts of ``docs``.
 
-    What is counted grows with the labelled rows; what travels to the tasks is
-    two tables of fixed size.  None unless both classes have rows.
+    The shared orders are counted over all documents, labelled or not, and so
+    grow with the input.  More than ``fit_rows`` labels are thinned to about
+    that many by a hash of the id: the bound of what is broadcast to the scan.
+    The model that travels is two tables of fixed size.  None unless both
+    classes have rows; a document labelled both ways counts on both sides.
     """
     known = labels.filter(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("label").cast("int").alias("_label")).distinct()
-    if known.select("_label").distinct().count() < 2:
+    n = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    if len(n) < 2:
         return None
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(known, "_id")
     # xxhash64 is independent of the crc32 folds by which callers split labels
-    aside = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(CURVE_FOLD)) == 0
-    ratio, backoff = _tables(rows.filter(~aside).select("_label", "_text"))
+    draw = lambda salt, mod: F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(mod))
+    if sum(n.values()) > fit_rows:
+        known = known.filter(draw(7, 1 << 30) < int((1 << 30) * fit_rows / sum(n.values())))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    aside = draw(11, CURVE_FOLD) == 0
+    ratio, backoff = _tables(texts.join(F.broadcast(known.filter(~aside)), "_id", "left").select("_label", "_text"))
     step = F.round(_evidence(F.col("_text"), ratio, backoff) / STEP).cast("long")
-    got = rows.filter(aside).groupBy(step.alias("x")).agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).toPandas()
+    got = texts.join(F.broadcast(known.filter(aside)), "_id").groupBy(step.alias("x")).agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).toPandas()
     slope, middle = _curve(got["x"].to_numpy(float) * STEP, got["n"].to_numpy(float), got["ones"].to_numpy(float))
     return Model(ratio, backoff, slope, middle)
 
