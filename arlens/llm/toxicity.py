@@ -27,9 +27,10 @@ from arlens.llm.common import cut
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Log-likelihood difference that one word must exceed to count: the small
-#: shifts that every word of a language or style has do not add up to evidence.
-FLOOR = 6.0
+#: Log-likelihood difference that one word must exceed to count in full, and to
+#: count for a tenth: the small shifts that every word of a language or style
+#: has do not add up to evidence.
+FLOOR, LOW, LEAK = 6.0, 2.0, 0.1
 #: Occurrences that the shared distribution counts for in each class's context.
 STRENGTH = 0.5
 #: At most about so many labelled rows give class counts and the curve; the
@@ -79,8 +80,8 @@ class Model(NamedTuple):
 
 
 def evidence(text: str | None, ratio: np.ndarray, backoff: np.ndarray) -> float:
-    """Log-likelihood difference for each word, words under FLOOR counted as
-    zero; 0 for texts without words."""
+    """Log-likelihood difference for each word, words under the floors counted
+    little or not at all; 0 for texts without words."""
     if not text:
         return 0.0
     a = symbols(text)
@@ -93,7 +94,7 @@ def evidence(text: str | None, ratio: np.ndarray, backoff: np.ndarray) -> float:
     word = np.cumsum(space)
     of_word = np.bincount(word, r)  # a word takes the space before it
     n = len(np.unique(word[~space]))
-    return float(np.maximum(of_word - FLOOR, 0).sum() / n) if n else 0.0
+    return float(np.maximum(of_word - FLOOR, LEAK * np.maximum(of_word - LOW, 0)).sum() / n) if n else 0.0
 
 
 def _counts(rows: DataFrame) -> DataFrame:
