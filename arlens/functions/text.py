@@ -72,11 +72,15 @@ def styled(text: Column, font: Column) -> Column:
     return F.when(font.contains("Italic"), F.concat(F.lit("<i>"), b, F.lit("</i>"))).otherwise(b)
 
 
+# Continuation marks, removed in this order.
+CONTINUED = [" cont", " continued", " forts.", " fortsettelse"]
+
+
 def heading_key(text: Column) -> Column:
     """Lower, trim, then remove ' cont', ' continued', ' forts.', ' fortsettelse'
     in that order (Z9 kept: ' continued' has already lost ' cont')."""
     k = py_strip(F.lower(text))
-    for s in [" cont", " continued", " forts.", " fortsettelse"]:
+    for s in CONTINUED:
         k = F.replace(k, F.lit(s), F.lit(""))
     return k
 
@@ -92,8 +96,10 @@ def section_title(html: Column) -> Column:
 
 
 def ledger_text(c: Column) -> Column:
-    """Value as the ledger writes it: str(), None for null, LF -> CR."""
-    return F.replace(F.coalesce(c.cast("string"), F.lit("None")), F.lit("\n"), F.lit("\r"))
+    """Value as the ledger writes it: str(), None for null, LF -> CR.  A text
+    that reads ``None`` gets a backslash, so that it is not taken for a null."""
+    text = F.regexp_replace(c.cast("string"), r"^(\\*None)$", r"\\$1")
+    return F.replace(F.coalesce(text, F.lit("None")), F.lit("\n"), F.lit("\r"))
 
 
 def page_title(path: Column) -> Column:

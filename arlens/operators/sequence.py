@@ -31,7 +31,3 @@ def running_sum(
         .drop("_v", "_base")
     )
 
-
-def running_count(df: DataFrame, part: list[str], page: str, inner: list[str], flag: Column, out: str) -> DataFrame:
-    """Inclusive running count of rows where ``flag`` holds."""
-    return running_sum(df, part, page, inner, F.when(flag, 1).otherwise(0), out, inclusive=True)

@@ -1,31 +1,8 @@
-"""Join helpers with explicit size checks."""
+"""Lineage cuts and stored inputs of the plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Fixed value: default row bound under which a checked side is broadcast.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def max_broadcast_rows(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("arlens.broadcast.maxRows", None)
-    return int(conf) if conf else DEFAULT_MAX_BROADCAST_ROWS
-
-
-def broadcast_if_bounded(small: DataFrame, bound_rows: int) -> DataFrame:
-    """Broadcast ``small`` only when ``bound_rows`` (a proven upper bound on its
-    row count, computed by the caller from a cheap input) is under the limit.
-
-    Beyond the limit the frame is returned unchanged and the planner shuffles
-    both sides (AQE may still switch to a broadcast when the runtime size of
-    the finished stage turns out small).
-    """
-    if bound_rows <= max_broadcast_rows(small):
-        return F.broadcast(small)
-    return small
-
 
 def materialize(df: DataFrame, as_table: bool = False) -> DataFrame:
     """Cut the lineage of a frame that later steps read several times.
@@ -62,7 +39,7 @@ def stored_input(spark, sf_dir: str, name: str, build) -> DataFrame:
     fixtures derive them, so deriving them again per query would time the
     fixture instead of the operator.
     """
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _INPUTS:
         _INPUTS[key] = materialize(build(spark, sf_dir), as_table=True)
     return _INPUTS[key]

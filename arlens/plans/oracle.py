@@ -20,7 +20,9 @@ report_files AS (
          (CASE WHEN s_suppkey % 10 = 0 THEN 'OLD' WHEN s_suppkey % 25 = 7 THEN 'ZZZ' ELSE 'SUP' END) ||
          lpad(s_suppkey::VARCHAR, 9, '0') || '_v1.pdf' AS path,
          'src' || (s_suppkey % 20)::VARCHAR AS doc
-  FROM supplier CROSS JOIN (VALUES (1996), (1997), (1998), (1999), (2000), (2003)) yrs(y)
+  FROM supplier CROSS JOIN (
+    SELECT unnest(list_append(range(year(min(l_shipdate)) - 1, year(max(l_shipdate)) + 1), year(max(l_shipdate)) + 5)) AS y
+    FROM lineitem) yrs
 ),
 rep0 AS (
   SELECT path, doc, string_split(string_split(path, '\')[-1], '_') AS items FROM report_files
@@ -201,14 +203,14 @@ def _gs_ctes(sparse: bool) -> list[str]:
     ctes.append(f"ay AS (SELECT *, avg(y) {_G} AS my, {ycoef} FROM {prev})")
     e = "(y - my)" + "".join(f" - cy_{i} * z{i}" for i in range(1, 6))
     ctes.append(f"ey AS (SELECT *, {e} AS e FROM ay)")
-    sing = " OR ".join(f"(NOT d{j} AND NOT ok{j})" for j in range(1, 6))
+    skip = " + ".join(f"(CASE WHEN NOT d{j} AND NOT ok{j} THEN 1 ELSE 0 END)" for j in range(1, 6))
     kexpr = "1 + " + " + ".join(f"(CASE WHEN d{j} THEN 0 ELSE 1 END)" for j in range(1, 6))
     alpha = "any_value(my)" + "".join(f" + any_value(cy_{i} * zo{i})" for i in range(1, 6))
     qa = " + ".join(f"any_value(CASE WHEN ok{i} THEN zo{i} * zo{i} / nz{i} ELSE 0.0 END)" for i in range(1, 6))
     ctes.append(
         f"""fin AS (
   SELECT path, horizon, count(*) AS n_obs, any_value({kexpr}) AS k,
-         bool_or({sing}) AS sing, sum(e * e) AS rss, {alpha} AS alpha0,
+         any_value({skip}) AS skipped, sum(e * e) AS rss, {alpha} AS alpha0,
          any_value(CASE WHEN ok5 THEN cy_5 END) AS beta0, any_value(nz5) AS nz5, {qa} AS qa,
          any_value(d5) AS drop_rm
   FROM ey GROUP BY path, horizon
@@ -223,12 +225,12 @@ def _ols_select(sparse: bool, with_p: bool = False) -> str:
     kk = ("1 + " + " + ".join(f"(CASE WHEN p.drop_{x} THEN 0 ELSE 1 END)" for x in _X)) if sparse else "6"
     return f"""
 , st AS (
-  SELECT {keys}, coalesce(f.n_obs, 0)::BIGINT AS n_obs, ({kk})::INTEGER AS k, f.sing, f.rss, f.alpha0, f.beta0,
+  SELECT {keys}, coalesce(f.n_obs, 0)::BIGINT AS n_obs, ({kk} - coalesce(f.skipped, 0))::INTEGER AS k, f.skipped, f.rss, f.alpha0, f.beta0,
          f.nz5, f.qa, coalesce(f.drop_rm, FALSE) AS drop_rm
   FROM {src}
 ),
 st2 AS (
-  SELECT *, (sing IS NOT NULL AND NOT sing AND n_obs > k) AS ok,
+  SELECT *, (skipped IS NOT NULL AND n_obs > k) AS ok,
          rss / (n_obs - k) AS sigma2
   FROM st
 ),
@@ -239,7 +241,7 @@ st3 AS (
          CASE WHEN ok AND NOT drop_rm THEN beta0 END AS beta,
          CASE WHEN ok AND sigma2 * (1.0 / n_obs + qa) > 0 THEN alpha0 / sqrt(sigma2 * (1.0 / n_obs + qa)) END AS t_alpha,
          CASE WHEN ok AND NOT drop_rm AND sigma2 / nz5 > 0 THEN beta0 / sqrt(sigma2 / nz5) END AS t_beta,
-         NOT ok AS singular
+         NOT ok OR skipped > 0 AS singular
   FROM st2
 )"""
 
@@ -256,7 +258,14 @@ def _tp(t: str, v: str) -> str:
         f"sin({th}) * coalesce(list_sum(list_transform(range(1, {v} // 2 + 1), "
         f"lambda j: power({c2}, j - 1) * exp(lgamma(2 * j - 1) - (j - 1) * ln(4.0) - 2 * lgamma(j)))), 0.0)"
     )
-    return f"CASE WHEN {t} IS NOT NULL AND {v} >= 1 THEN greatest(0.0, 1.0 - CASE WHEN {v} % 2 = 1 THEN {odd} ELSE {even} END) END"
+    # from |t| = 4 on, the tail itself: the incomplete beta function's power series, all terms positive
+    x = f"({v} / ({v} + {t} * {t}))"
+    tail = (
+        f"exp({v} / 2.0 * ln({x}) + 0.5 * ln(1 - {x})) * list_sum(list_transform(range(0, 4000), "
+        f"lambda j: exp(lgamma({v} / 2.0 + 0.5 + j) - lgamma(0.5) - lgamma({v} / 2.0 + 1 + j) + j * ln({x}))))"
+    )
+    return (f"CASE WHEN {t} IS NOT NULL AND {v} >= 1 THEN CASE WHEN abs({t}) >= 4 THEN {tail} "
+            f"ELSE greatest(0.0, 1.0 - CASE WHEN {v} % 2 = 1 THEN {odd} ELSE {even} END) END END")
 
 
 def _ols_sql(sparse: bool) -> str:
@@ -270,8 +279,10 @@ SELECT path, horizon, n_obs, k, df, round(alpha, 6) AS alpha, round(beta, 6) AS
 FROM st3"""
 
 ORACLES["factor_pvalues"] = _ols_sql(True) + f"""
-SELECT path, horizon, df, round({_tp('t_alpha', 'df')}, 8) AS pval_alpha, round({_tp('t_beta', 'df')}, 8) AS pval_beta
-FROM st3"""
+, pv AS (SELECT path, horizon, df, {_tp('t_alpha', 'df')} AS pa, {_tp('t_beta', 'df')} AS pb FROM st3)
+SELECT path, horizon, df, round(pa, 8) AS pval_alpha, round(pb, 8) AS pval_beta,
+       round(CASE WHEN pa > 0 THEN log10(pa) END, 6) AS log_pval_alpha, round(CASE WHEN pb > 0 THEN log10(pb) END, 6) AS log_pval_beta
+FROM pv"""
 
 # ------------------------------------------------------------ step 4: text
 
@@ -300,7 +311,7 @@ SELECT id, kind, length(text)::BIGINT AS n_in, length(out)::BIGINT AS n_out, md5
 
 FIX_RESPONSES = r"""
 resp0 AS (
-  SELECT d.doc_id, (d.doc_id % 11)::VARCHAR AS g, substring(d.text, 1, 80) AS t, d.doc_id % 8 AS kind
+  SELECT d.doc_id, (d.doc_id % 11)::VARCHAR AS g, d.text AS t, d.doc_id % 8 AS kind
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 ),
 responses AS (
@@ -357,9 +368,15 @@ FROM documents d LEFT JOIN agg a USING (doc_id)"""
 
 # ------------------------------------------------------------ step 5/6: documents
 
-from arlens.functions.text import PY_SPACE as _PYS  # noqa: E402
-from arlens.operators.html import CSS as _CSS, HTML_TAIL as _TAIL  # noqa: E402
-from arlens.sources.fixtures import LETTERS as _LET, PUA_LETTERS as _PUA  # noqa: E402
+# Fixed values, written down here again so that an error in the engine's shows:
+# white space as Python strips it, the page's style and end, ASCII letters and
+# the private-use letters that stand for them.
+_PYS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+        r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+_CSS = ".markdown-table { white-space: pre; font-family: monospace; }"
+_TAIL = "</body>\n</html>\n"
+_LET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PUA = "".join(map(chr, range(0xE000, 0xE034)))
 
 _STRIP = f"'^{_PYS}+|{_PYS}+$'"
 
@@ -691,32 +708,32 @@ sprompt AS (
   SELECT report, i,
          '# Section ' || CAST(i AS VARCHAR) || ':' ||
            (CASE WHEN contains(html, '<h1>') THEN regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) ELSE '' END) AS heading,
-         'Here is section ' || CAST(i + 1 AS VARCHAR) || ':' || chr(10) || substring(html, 1, 120000) AS prompt,
-         substring(html, 1, 120000) AS body
-  FROM dsec WHERE html <> ''
+         'Here is section ' || CAST(i + 1 AS VARCHAR) || ':' || chr(10) || substring(html, part * 120000 + 1, 120000) AS prompt,
+         part, substring(html, part * 120000 + 1, 120000) AS body
+  FROM (SELECT *, unnest(range((length(html) + 119999) // 120000)) AS part FROM dsec WHERE html <> '')
 ),
 ssum AS (
-  SELECT report, i, heading,
-         substring(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 300) AS res
-  FROM sprompt
+  SELECT report, i, any_value(heading) AS heading,
+         string_agg(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), ' ' ORDER BY part) AS res
+  FROM sprompt GROUP BY report, i
 ),
 sconc AS (
   SELECT report, summary,
-         CAST(least((length(summary) - length(replace(summary, '# Section ', ''))) // 10, 10) AS VARCHAR) || '; '
-           || substring(summary, 1, 200) AS resp
-  FROM (SELECT report, string_agg(heading || chr(10) || chr(10) || res || chr(10) || chr(10), '' ORDER BY i) AS summary
-        FROM ssum WHERE res IS NOT NULL GROUP BY report)
+         CAST(CAST(floor(10 * len(list_distinct(ws)) / greatest(len(ws), 1)) AS BIGINT) AS VARCHAR) || '; ' || summary AS resp
+  FROM (SELECT *, list_filter(regexp_split_to_array(summary, '[ \n]+'), lambda w: w <> '') AS ws FROM (SELECT report, string_agg(heading || chr(10) || chr(10) || res || chr(10) || chr(10), '' ORDER BY i) AS summary
+        FROM ssum WHERE res IS NOT NULL GROUP BY report))
 )"""
 
 _DOCS_SCORED = "WITH RECURSIVE " + with_(*DOC_CTES, FIX_SCORING)[5:]
 
 ORACLES["section_prompts"] = _DOCS_SCORED + """
-SELECT report, i::BIGINT AS i, heading, length(prompt)::BIGINT AS n_chars, md5(prompt) AS md5 FROM sprompt"""
+SELECT report, i::BIGINT AS i, part::INTEGER AS part, heading, length(prompt)::BIGINT AS n_chars, md5(prompt) AS md5 FROM sprompt"""
 
-ORACLES["section_summaries"] = _DOCS_SCORED + "SELECT report, i::BIGINT AS i, heading, res FROM ssum"
+ORACLES["section_summaries"] = _DOCS_SCORED + "SELECT report, i::BIGINT AS i, heading, length(res)::BIGINT AS n_chars, md5(res) AS md5 FROM ssum"
 
 ORACLES["summary_concat"] = _DOCS_SCORED + """
-SELECT report, md5(summary) AS summary_md5, length(summary)::BIGINT AS n_chars,""" + _grade_sql("sconc", "resp")
+SELECT report, summary_md5, n_chars, grade, md5(answer) AS answer_md5 FROM (
+SELECT report, md5(summary) AS summary_md5, length(summary)::BIGINT AS n_chars,""" + _grade_sql("sconc", "resp") + ")"
 
 _RES_STATS = ", ".join(
     f"max(CASE WHEN horizon = {h} THEN {c} END) AS {c}_{h}"
@@ -750,12 +767,11 @@ ORACLES["report_result"] = _RR_CTES + "\n" + _RR_SELECT
 # ------------------------------------------------------------ step 7: tables
 
 FIX_TABLES = f"""
-tord AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3),
-tcnt AS (SELECT l_orderkey AS page_no, count(*) AS n_items FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM tord) GROUP BY l_orderkey),
+tcnt AS (SELECT l_orderkey AS page_no, count(*) AS n_items FROM lineitem GROUP BY l_orderkey),
 titems AS (
   SELECT l_orderkey AS page_no, l_quantity, l_extendedprice, l_discount,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS n
-  FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM tord)
+  FROM lineitem
 ),
 tcells AS (
   SELECT page_no, n + 2 AS rw, 0 AS col, 'Item ' || CAST(n AS VARCHAR) AS text FROM titems

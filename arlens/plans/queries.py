@@ -122,9 +122,11 @@ def factor_ols_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q
 def factor_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided Student t p-values of alpha and beta."""
+    """Two-sided Student t p-values of alpha and beta, on a log scale too so
+    that the far tail is compared."""
     r = report.regression(spark, sf_dir, sparse=True)
-    return r.select("path", "horizon", "df", r8("pval_alpha").alias("pval_alpha"), r8("pval_beta").alias("pval_beta"))
+    log = lambda c: r6(F.when(F.col(c) > 0, F.log10(c))).alias(f"log_{c}")
+    return r.select("path", "horizon", "df", r8("pval_alpha").alias("pval_alpha"), r8("pval_beta").alias("pval_beta"), log("pval_alpha"), log("pval_beta"))
 
 
 @q
@@ -153,10 +155,13 @@ def is_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     toks = F.filter(F.split(F.col("text"), TOKEN_SPLIT), lambda t: t != "")
     d = d.select("doc_id", toks.alias("toks"))
-    # Only tokens with a digit or the letters of nan/inf can be numbers: a
-    # cheap translate/contains test keeps the regexes off ordinary words.
-    maybe = F.filter("toks", lambda t: (F.translate(t, "0123456789", "") != t)
-                     | F.lower(t).contains("nan") | F.lower(t).contains("inf"))
+    # A token that has neither a digit nor nan/inf once the stripped characters
+    # are gone is no number by any of the tests: this keeps the regexes off words.
+    def maybe_number(t: Column) -> Column:
+        bare = F.translate(t, ", $()%", "")
+        return (F.translate(bare, "0123456789", "") != bare) | F.lower(bare).contains("nan") | F.lower(bare).contains("inf")
+
+    maybe = F.filter("toks", maybe_number)
     d = d.select("doc_id", F.size("toks").alias("n"), maybe.alias("c"))
     return d.select(
         "doc_id",
@@ -340,15 +345,16 @@ def _doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q
 def section_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt per non-empty section (capped at 120,000 chars)."""
+    """The prompts of every non-empty section, long ones in parts."""
     p = scoring.section_prompts(_doc_sections(spark, sf_dir))
-    return p.select("report", "i", "heading", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("md5"))
+    return p.select("report", "i", "part", "heading", F.length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("md5"))
 
 
 @q
 def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: every section summarised by the (offline, extractive) scorer."""
-    return scoring.summarize_sections(_doc_sections(spark, sf_dir))
+    s = scoring.summarize_sections(_doc_sections(spark, sf_dir))
+    return s.select("report", "i", "heading", F.length("res").cast("bigint").alias("n_chars"), F.md5("res").alias("md5"))
 
 
 @q
@@ -356,7 +362,7 @@ def summary_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E20/L2 + L3: per report the concatenated summary, the conclusion and its grade."""
     c = scoring.conclude(scoring.summarize_sections(_doc_sections(spark, sf_dir)))
     return c.select("report", F.md5("summary").alias("summary_md5"), F.length("summary").cast("bigint").alias("n_chars"),
-                    "grade", "answer")
+                    "grade", F.md5("answer").alias("answer_md5"))
 
 
 @q

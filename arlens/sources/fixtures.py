@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from arlens.sources.tables import read
 
-# Fixed values of the fixtures: report years (2003 has no market data) and
-# the path template of a report file.
-REPORT_YEARS = [1996, 1997, 1998, 1999, 2000, 2003]
+# Fixed value of the fixtures: the folder of a report file.
 REPORT_DIR = "Z:\\reports\\"
 
 
@@ -26,7 +24,9 @@ def intcode(key: Column) -> Column:
 
 
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One report file path per supplier and year.
+    """One report file path per supplier and year: every year in whose
+    windows a line item can fall (from the year before the first shipment to the
+    year of the last), and one five years later that has no market data.
 
     The ISIN in the name is the retired ``OLD`` form when s_suppkey % 10 = 0
     (resolves only through the alias table), an unknown ``ZZZ`` form when
@@ -40,7 +40,8 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 25 == 7, padded("ZZZ", k))
         .otherwise(padded("SUP", k))
     )
-    years = F.array(*[F.lit(y) for y in REPORT_YEARS])
+    first, last = read(spark, sf_dir, "lineitem").agg(F.year(F.min("l_shipdate")), F.year(F.max("l_shipdate"))).first()
+    years = F.array(*[F.lit(y) for y in [*range(first - 1, last + 1), last + 5]])
     return sup.select("s_suppkey", F.explode(years).alias("y")).select(
         F.concat(F.lit(REPORT_DIR), F.col("y").cast("string"), F.lit("_ar_x_y_z_"), isin, F.lit("_v1.pdf")).alias(
             "path"
@@ -114,13 +115,13 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses of every shape the grade parser meets, by doc_id % 8.
 
-    g = doc_id % 11 and text = the first 80 characters of the document.
+    g = doc_id % 11 and text = the document's.
     """
     lab = read(spark, sf_dir, "labels").select("doc_id")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     d = lab.join(docs, "doc_id")
     g = (F.col("doc_id") % 11).cast("string")
-    t = F.substring("text", 1, 80)
+    t = F.col("text")
     kind = F.col("doc_id") % 8
     resp = (
         F.when(kind == 0, F.concat(g, F.lit("; "), t))
@@ -228,7 +229,7 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per order with at least 3 line items, laid out as a table.
+    """One page per order, laid out as a table.
 
     report = 'T' + (l_orderkey % 20), page_no = l_orderkey.  One block per row
     (block_no = row, one line per cell, line_no = column): ``Lines``,
@@ -242,8 +243,7 @@ def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"
     )
-    cnt = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items")).where(F.col("n_items") >= 3)
-    li = li.join(cnt, "l_orderkey", "left_semi")
+    cnt = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     key = F.col("l_orderkey")
     words = key % 20 == 0

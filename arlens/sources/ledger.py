@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from arlens.functions.text import ledger_text
 
 # Fixed values of the ledger format.
-SEP, NULL_TEXT = ";", "None"
+SEP, NULL_TEXT, LINE = ";", "None", "\n"
 
 
 def write_ledger(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -25,9 +25,15 @@ def write_ledger(df: DataFrame, path: str, columns: list[str]) -> None:
 
     df.select(*[ledger_text(F.col(c)).alias(c) for c in columns]).write.mode("append").option("sep", SEP).option(
         "header", True
-    ).csv(path)
+    ).option("lineSep", LINE).option("escape", '"').csv(path)
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Typed read of the ledger (Z7 fixed: no blank trailing record)."""
-    return spark.read.option("sep", SEP).option("header", True).option("nullValue", NULL_TEXT).schema(schema).csv(path)
+    """Typed read of the ledger (Z7 fixed: no blank trailing record).  Records
+    end at LF only, so the CR that stands for a newline stays in its value; text
+    that reads ``None`` comes back as text."""
+    from pyspark.sql import functions as F
+
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = spark.read.option("sep", SEP).option("header", True).option("lineSep", LINE).option("escape", '"').option("nullValue", NULL_TEXT).schema(text).csv(path)
+    return raw.select(*[F.regexp_replace(f.name, r"^\\(\\*None)$", "$1").cast(f.dataType).alias(f.name) for f in schema.fields])
