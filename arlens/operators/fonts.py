@@ -64,8 +64,7 @@ def font_stats(entries: DataFrame) -> DataFrame:
         F.max("pos").alias("last_pos"),
         F.min("ord").alias("first_ord"),
     )
-    tot = per.groupBy("report").agg(F.sum("text_len").alias("totlen"))
-    p = per.join(tot, "report")
+    p = per.withColumn("totlen", F.sum("text_len").over(Window.partitionBy("report")))
     tl = F.col("totlen").cast("double")
     start = F.try_divide(F.col("first_pos").cast("double"), tl)
     end = F.try_divide(F.col("last_pos").cast("double"), tl)
@@ -95,15 +94,12 @@ def heading_font(stats: DataFrame) -> DataFrame:
     level = None
     for lv in EXTENT_LEVELS:
         level = F.when(F.col("extent") > lv, lv) if level is None else level.when(F.col("extent") > lv, lv)
-    c = stats.where(ok).withColumn("level", level)
-    best = c.groupBy("report").agg(F.max("level").alias("best"))
-    cand = c.join(best, "report").where(F.col("best").isNotNull() & (F.col("extent") > F.col("best")))
+    c = stats.withColumn("level", F.when(ok, level)).withColumn("best", F.max("level").over(Window.partitionBy("report")))
+    cand = F.col("level").isNotNull() & (F.col("extent") > F.col("best"))
     pick = F.min(
-        F.struct(
+        F.when(cand, F.struct(
             F.col("n_distinct").alias("a"), (-F.col("n_entries")).alias("b"), F.col("first_ord").alias("c"),
             F.col("font_key").alias("k"),
-        )
+        ))
     )
-    chosen = cand.groupBy("report").agg(pick["k"].alias("heading_font"))
-    reps = stats.select("report").distinct()
-    return reps.join(chosen, "report", "left").select("report", F.coalesce("heading_font", F.lit("")).alias("heading_font"))
+    return c.groupBy("report").agg(F.coalesce(pick["k"], F.lit("")).alias("heading_font"))

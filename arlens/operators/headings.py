@@ -42,24 +42,21 @@ def heading_candidates(kept_spans: DataFrame, heading: DataFrame, kept_blocks: D
 
 def accept_headings(cands: DataFrame) -> DataFrame:
     """candidates with ``accepted`` (the greedy fold of the reference)."""
-    item = F.struct(*[F.col(c) for c in ORD], F.col("plain_before").alias("off"), F.col("head_key").alias("key"))
+    item = F.struct(*[F.col(c) for c in ORD], "plain_before", "text", "font", "head_key")
     per = cands.groupBy("report").agg(F.array_sort(F.collect_list(item)).alias("cs"))
     init = F.struct(
         F.lit(None).cast("bigint").alias("last"),
         F.array().cast("array<string>").alias("used"),
-        F.array().cast("array<struct<page_key:bigint,block_no:bigint,line_no:bigint,span_no:bigint>>").alias("acc"),
+        F.array().cast("array<boolean>").alias("flags"),
     )
 
     def step(st, c):
-        reject = (st["last"].isNotNull() & (c["off"] - st["last"] < MIN_GAP)) | F.array_contains(st["used"], c["key"])
-        keep = F.struct(st["last"].alias("last"), st["used"].alias("used"), st["acc"].alias("acc"))
-        take = F.struct(
-            c["off"].alias("last"),
-            F.array_append(st["used"], c["key"]).alias("used"),
-            F.array_append(st["acc"], F.struct(*[c[k].alias(k) for k in ORD])).alias("acc"),
+        reject = (st["last"].isNotNull() & (c["plain_before"] - st["last"] < MIN_GAP)) | F.array_contains(st["used"], c["head_key"])
+        return F.struct(
+            F.when(reject, st["last"]).otherwise(c["plain_before"]).alias("last"),
+            F.when(reject, st["used"]).otherwise(F.array_append(st["used"], c["head_key"])).alias("used"),
+            F.array_append(st["flags"], ~reject).alias("flags"),
         )
-        return F.when(reject, keep).otherwise(take)
 
-    folded = per.select("report", F.aggregate("cs", init, step)["acc"].alias("acc"))
-    acc = folded.select("report", F.explode("acc").alias("a")).select("report", *[F.col(f"a.{k}").alias(k) for k in ORD])
-    return cands.join(acc.withColumn("accepted", F.lit(True)), ["report", *ORD], "left").fillna(False, ["accepted"])
+    folded = per.select("report", F.explode(F.arrays_zip("cs", F.aggregate("cs", init, step)["flags"].alias("accepted"))).alias("z"))
+    return folded.select("report", "z.cs.*", "z.accepted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arlens.functions.text import clean_newlines, page_title, styled
@@ -82,13 +82,25 @@ def split_sections(df: DataFrame, key: str, html: str) -> DataFrame:
     )
 
 
-def html_page(sections: DataFrame, title_col: str = "report") -> DataFrame:
+def html_page(blocks_html: DataFrame, title: Column | None = None) -> DataFrame:
     """The whole document per report as an HTML page (head, title =
-    base name, CSS, body)."""
-    g = sections.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("i", "html"))).alias("_s"))
-    body = F.array_join(F.transform("_s", lambda x: x["html"]), "")
+    base name of ``title``, style, body).  The body is the blocks in order, so a
+    ``<h1>`` that the text holds unclosed stays in it."""
+    g = blocks_html.groupBy("report").agg(F.array_sort(F.collect_list(F.struct("page_key", "block_no", "html"))).alias("_s"))
+    body = clean_newlines(F.array_join(F.transform("_s", lambda x: x["html"]), ""))
     head = F.concat(
-        F.lit("<!DOCTYPE html>\n<html>\n<head>\n<meta charset='utf-8'><title>"), page_title(F.col(title_col)),
+        F.lit("<!DOCTYPE html>\n<html>\n<head>\n<meta charset='utf-8'><title>"), page_title(F.col("report") if title is None else title),
         F.lit("</title>\n<style>\n" + CSS + "\n</style>\n</head>\n<body>\n"),
     )
     return g.select("report", F.concat(head, body, F.lit(HTML_TAIL)).alias("page"))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """One file per report below ``folder`` (a folder for each report)."""
+    pages.select("report", "page").write.mode("overwrite").partitionBy("report").text(folder)
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that ``write_pages`` wrote; the writer ends each with a newline."""
+    text = spark.read.schema("value string, report string").text(folder, wholetext=True)
+    return text.select("report", F.regexp_replace("value", "\n\\z", "").alias("page"))

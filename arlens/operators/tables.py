@@ -15,8 +15,10 @@ from arlens.functions.text import cell_text, is_number_row, is_number_table
 
 PAGE = ["report", "page_no"]
 # Fixed values of the extent rule: keep 6 spans before the first number and 4
-# after the last; the first span of a page is never in a table.
+# after the last; the first span of a page is never in a table (Z15).  A table
+# is numeric above this share of numbers.
 BEFORE, AFTER = 6, 5
+NUMERIC_SHARE = 0.2
 DIV_OPEN = '\n<div class="markdown-table">\n'
 DIV_CLOSE = "\n</div>\n"
 
@@ -121,7 +123,7 @@ def table_detect(cells: DataFrame) -> DataFrame:
     a/b: first row and one past the last row with content outside column 0;
     heading: column-0 text of row a-1 ('' when a = 0, null when that cell is
     empty); numeric: share of numbers (S1) among cells outside column 0 of
-    rows a..b-1, empty cells included, above 0.2.
+    rows a..b-1, empty cells included, above NUMERIC_SHARE.
     """
     dims = cells.groupBy(*PAGE).agg(
         F.max("col").alias("max_col"),
@@ -144,7 +146,7 @@ def table_detect(cells: DataFrame) -> DataFrame:
         F.when(F.col("a") == 0, F.lit("")).otherwise(F.col("_h")).alias("heading"),
         F.col("block_a").cast("bigint").alias("block_a"), F.col("block_b").cast("bigint").alias("block_b"),
         share.alias("numeric_share"),
-    ).where(F.col("numeric_share") > 0.2)
+    ).where(F.col("numeric_share") > NUMERIC_SHARE)
 
 
 def table_markdown(cells: DataFrame, tables: DataFrame) -> DataFrame:
@@ -193,7 +195,7 @@ def table_html(md: DataFrame, numbered: DataFrame) -> DataFrame:
 def insert_tables(blocks_html: DataFrame, tables_html: DataFrame, page_col: str = "page_no") -> DataFrame:
     """G8 (Z8 fixed): on each page with a table, block a becomes the table and
     blocks a+1..b-1 are dropped (exclusive end kept; a = b replaces block a)."""
-    t = tables_html.withColumnRenamed("page_no", page_col)
+    t = tables_html.withColumnRenamed("page_no", page_col) if "page_no" in tables_html.columns else tables_html
     j = blocks_html.join(t, ["report", page_col], "left")
     inside = (F.col("block_no") > F.col("block_a")) & (F.col("block_no") < F.col("block_b"))
     j = j.where(F.col("block_a").isNull() | ~inside)

@@ -1,65 +1,106 @@
-"""Document plans: spans -> pages -> kept blocks -> fonts -> headings -> sections."""
+"""Document plans: spans -> pages -> kept blocks -> fonts -> headings -> tables -> sections."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.operators import boilerplate, fonts, headings, html, layout
+from arlens.operators import boilerplate, fonts, headings, html, layout, tables
 from arlens.plans.joins import materialize, stored_input
 from arlens.sources import fixtures
 
 BLOCK = ["report", "page_key", "block_no"]
 
 
-@dataclass
 class DocPlan:
-    """The intermediate frames of the document pipeline (all lazy)."""
-
-    spans: DataFrame  # after the page split
-    blocks: DataFrame
-    repeated: DataFrame
-    kept_blocks: DataFrame
-    status: DataFrame
-    kept_spans: DataFrame  # spans of kept blocks of readable reports
-    kept_ok: DataFrame  # kept blocks of readable reports
-    entries: DataFrame
-    stats: DataFrame
-    body: DataFrame
-    heading: DataFrame
-
-
-def plan(spans: DataFrame, pages: DataFrame) -> DocPlan:
-    sp = materialize(layout.page_split(spans))
-    blk = boilerplate.blocks(sp)
-    rep = boilerplate.repeated_keys(blk)
-    kb = materialize(boilerplate.remove_repeated(blk, rep))
-    status = boilerplate.document_status(kb, pages)
-    ok = status.where(F.col("status") == "ok").select("report")
-    kb_ok = materialize(kb.join(ok, "report", "left_semi"))
-    ks = materialize(sp.join(kb_ok.select(*BLOCK), BLOCK, "left_semi"))
-    ent = fonts.font_entries(ks, kb_ok)
-    st = fonts.font_stats(ent)
-    return DocPlan(sp, blk, rep, kb, status, ks, kb_ok, ent, st, fonts.body_font(st), fonts.heading_font(st))
+    """The frames of the document pipeline, each built when first asked for.
+
+    The kept blocks, the kept spans and the blocks' html are read by several
+    later steps and are cut with a checkpoint when one of these asks for them;
+    nothing else runs before the caller's own action.
+    """
+
+    def __init__(self, spans: DataFrame, pages: DataFrame):
+        self.input, self.pages = spans, pages
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """Spans after the page split."""
+        return layout.page_split(self.input)
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return boilerplate.blocks(self.spans)
+
+    @cached_property
+    def repeated(self) -> DataFrame:
+        return boilerplate.repeated_keys(self.blocks)
+
+    @cached_property
+    def kept_blocks(self) -> DataFrame:
+        return materialize(boilerplate.remove_repeated(self.blocks, self.repeated))
+
+    @cached_property
+    def status(self) -> DataFrame:
+        return boilerplate.document_status(self.kept_blocks, self.pages)
+
+    @cached_property
+    def kept_ok(self) -> DataFrame:
+        """Kept blocks of readable reports."""
+        return self.kept_blocks.join(self.status.where("status = 'ok'").select("report"), "report", "left_semi")
+
+    @cached_property
+    def kept_spans(self) -> DataFrame:
+        """Spans of kept blocks of readable reports."""
+        return materialize(self.spans.join(self.kept_ok.select(*BLOCK), BLOCK, "left_semi"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return fonts.font_entries(self.kept_spans, self.kept_ok)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return fonts.font_stats(self.entries)
+
+    @cached_property
+    def body(self) -> DataFrame:
+        return fonts.body_font(self.stats)
+
+    @cached_property
+    def heading(self) -> DataFrame:
+        return fonts.heading_font(self.stats)
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return headings.accept_headings(headings.heading_candidates(self.kept_spans, self.heading, self.kept_ok))
+
+    @cached_property
+    def block_html(self) -> DataFrame:
+        """Html of every kept block, before tables."""
+        return html.block_html(self.kept_spans, self.accepted)
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        """(report, page_key, block_a, block_b, table_html) of the numeric
+        tables on the kept spans of each page, numbered per report."""
+        page = self.kept_spans.drop("page_no").withColumnRenamed("page_key", "page_no")
+        cells = materialize(tables.table_cells(tables.table_extent(page)))
+        found = tables.table_detect(cells)
+        out = tables.table_html(tables.table_markdown(cells, found), tables.number_tables(found))
+        return out.withColumnRenamed("page_no", "page_key")
+
+    @cached_property
+    def document_html(self) -> DataFrame:
+        """Html of every block with each table in place of its blocks."""
+        return materialize(tables.insert_tables(self.block_html, self.tables, "page_key"))
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return html.sections_from_pieces(html.section_pieces(self.document_html))
 
 
 def fixture_plan(spark: SparkSession, sf_dir: str) -> DocPlan:
     spans = stored_input(spark, sf_dir, "doc_spans", fixtures.doc_spans)
-    return plan(spans, fixtures.doc_pages(spark, sf_dir))
-
-
-def accepted(p: DocPlan) -> DataFrame:
-    return headings.accept_headings(headings.heading_candidates(p.kept_spans, p.heading, p.kept_ok))
-
-
-def block_html(p: DocPlan) -> DataFrame:
-    return html.block_html(p.kept_spans, accepted(p))
-
-
-def sections(p: DocPlan, blocks_html: DataFrame | None = None) -> DataFrame:
-    # The block html is read twice by the running <h1> count (page totals and
-    # the join back), so it is materialised first.
-    bh = materialize(blocks_html if blocks_html is not None else block_html(p))
-    return html.sections_from_pieces(html.section_pieces(bh))
+    return DocPlan(spans, fixtures.doc_pages(spark, sf_dir))

@@ -19,7 +19,7 @@ report_files AS (
   SELECT 'Z:\reports\' || y::VARCHAR || '_ar_x_y_z_' ||
          (CASE WHEN s_suppkey % 10 = 0 THEN 'OLD' WHEN s_suppkey % 25 = 7 THEN 'ZZZ' ELSE 'SUP' END) ||
          lpad(s_suppkey::VARCHAR, 9, '0') || '_v1.pdf' AS path,
-         'src' || (s_suppkey % 20)::VARCHAR AS doc
+         'src' || (s_suppkey % 20)::VARCHAR || '.' || ((s_suppkey // 20) % (SELECT max(doc_id) // 1000 + 1 FROM documents))::VARCHAR AS doc
   FROM supplier CROSS JOIN (
     SELECT unnest(list_append(range(year(min(l_shipdate)) - 1, year(max(l_shipdate)) + 1), year(max(l_shipdate)) + 5)) AS y
     FROM lineitem) yrs
@@ -397,9 +397,9 @@ def _styled(t: str, f: str) -> str:
 
 FIX_DOCS = f"""
 dd AS (
-  SELECT doc_id, source, text FROM documents
+  SELECT doc_id, source || '.' || (doc_id // 1000)::VARCHAR AS source, text FROM documents
   UNION ALL
-  SELECT doc_id, source || '-pua', translate(regexp_replace(text, '[^A-Za-z\\n]', '', 'g'), '{_LET}', '{_PUA}')
+  SELECT doc_id, source || '.' || (doc_id // 1000)::VARCHAR || '-pua', translate(regexp_replace(text, '[^A-Za-z\\n]', '', 'g'), '{_LET}', '{_PUA}')
   FROM documents WHERE source = 'src5'
 ),
 dl AS (
@@ -441,15 +441,39 @@ dsp0 AS (
   SELECT source, doc_id, n + 2, 0, CAST(doc_id AS VARCHAR), 'Body', 8.0,
          CASE WHEN wide THEN 550.0 ELSE 50.0 END, CASE WHEN wide THEN 600.0 ELSE 100.0 END FROM dgeo
 ),
+cust AS (
+  SELECT o_custkey AS k, 'src' || (o_custkey % 20)::VARCHAR || '.' || (o_custkey // 1500)::VARCHAR AS report,
+         o_custkey + 10000000000 AS page_no, o_orderkey, o_totalprice, o_orderdate,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS rw
+  FROM orders
+),
+custc AS (
+  SELECT DISTINCT k, report, page_no, 0 AS rw, 0 AS col, 'Orders of customer ' || k::VARCHAR AS text FROM cust
+  UNION ALL SELECT DISTINCT k, report, page_no, 1, 0, 'Account ' || k::VARCHAR FROM cust
+  UNION ALL SELECT DISTINCT k, report, page_no, 1, 1, 'Total' FROM cust
+  UNION ALL SELECT DISTINCT k, report, page_no, 1, 2, 'Year' FROM cust
+  UNION ALL SELECT k, report, page_no, rw, 0, 'Order ' || o_orderkey::VARCHAR FROM cust
+  UNION ALL SELECT k, report, page_no, rw, 1, format('{{:,.2f}}', o_totalprice) FROM cust
+  UNION ALL SELECT k, report, page_no, rw, 2, year(o_orderdate)::VARCHAR FROM cust
+),
 dsp AS (
   SELECT report, page_no, CASE WHEN page_no % 3 = 0 THEN 1000.0 WHEN page_no % 3 = 1 THEN 700.0 ELSE 500.0 END AS page_w,
-         700.0 AS page_h, block_no, 0 AS line_no, span_no, text, font, size, 0 AS color, x0, x1
+         700.0 AS page_h, block_no, 0 AS line_no, span_no, text, font, size, 0 AS color, x0, x1,
+         40.0 + 12.0 * block_no AS y0, 40.0 + 12.0 * block_no + size AS y1
   FROM dsp0
+  UNION ALL
+  SELECT report, page_no, CASE WHEN k % 7 = 0 THEN 1000.0 ELSE 600.0 END, CASE WHEN k % 7 = 0 THEN 700.0 ELSE 800.0 END,
+         rw, col, 0, text, 'Body', 10.0, 0,
+         CASE WHEN col = 0 THEN 20.0 ELSE 150.0 + 100.0 * col - 5.0 * length(text) END,
+         CASE WHEN col = 0 THEN 20.0 + 5.0 * length(text) ELSE 150.0 + 100.0 * col END,
+         40.0 + 20.0 * rw, 50.0 + 20.0 * rw
+  FROM custc
 ),
 dpages AS (
-  SELECT source AS report, doc_id AS page_no FROM documents
-  UNION ALL SELECT source || '-pua', doc_id FROM documents WHERE source = 'src5'
+  SELECT source || '.' || (doc_id // 1000)::VARCHAR AS report, doc_id AS page_no FROM documents
+  UNION ALL SELECT source || '.' || (doc_id // 1000)::VARCHAR || '-pua', doc_id FROM documents WHERE source = 'src5'
   UNION ALL SELECT 'empty', min(doc_id) FROM documents
+  UNION ALL SELECT DISTINCT report, page_no FROM cust
 )"""
 
 FIX_DOCFLOW = f"""
@@ -474,7 +498,7 @@ sp AS (
 sp2 AS (
   SELECT report, page_no * 2 + half AS page_key, block_no, line_no, span_no, text, font, size, color,
          CASE WHEN split THEN page_w / 2 ELSE page_w END AS page_w,
-         x0 - half * page_w / 2 AS x0, x1 - half * page_w / 2 AS x1
+         x0 - half * page_w / 2 AS x0, x1 - half * page_w / 2 AS x1, y0, y1
   FROM sp
 ),
 blk AS (
@@ -604,12 +628,140 @@ bhtml0 AS (
   SELECT report, page_key, block_no, chr(10) || '<p>' || coalesce(string_agg(p, '' ORDER BY line_no, span_no), '') AS h
   FROM bpieces GROUP BY report, page_key, block_no
 ),
-bhtml AS (SELECT report, page_key, block_no, CASE WHEN contains(h, '</p>') THEN h ELSE h || '</p>' END AS html FROM bhtml0),
+bhtml AS (SELECT report, page_key, block_no, CASE WHEN contains(h, '</p>') THEN h ELSE h || '</p>' END AS html FROM bhtml0)"""
+
+# From positioned spans (tsp) to the markdown of each numeric table.
+TABLE_FLOW = f"""
+tx AS (
+  SELECT *, row_number() OVER (PARTITION BY report, page_no ORDER BY block_no, line_no, span_no) - 1 AS idx,
+         regexp_matches(regexp_replace(text, '[, $()%]', '', 'g'), '{_NUM}') AS isnum
+  FROM tsp
+),
+tb AS (
+  SELECT report, page_no, count(*) AS n, min(CASE WHEN isnum THEN idx END) AS f, max(CASE WHEN isnum THEN idx END) AS l
+  FROM tx GROUP BY report, page_no
+),
+tex AS (
+  SELECT tx.* FROM tx JOIN tb USING (report, page_no)
+  WHERE f IS NOT NULL AND f <= l - 2 AND idx >= greatest(1, f - 6) AND idx < least(l + 5, n)
+),
+tax AS (
+  SELECT report, page_no, idx, 'x' AS axis, x0 AS a, x1 AS b FROM tex
+  UNION ALL SELECT report, page_no, idx, 'y', y0, y1 FROM tex
+),
+taxp AS (SELECT *, row_number() OVER (PARTITION BY report, page_no, axis ORDER BY a, idx) - 1 AS pos FROM tax),
+tcov1 AS (
+  SELECT p.report, p.page_no, p.axis, p.idx, p.pos, p.a, count(*) AS c1
+  FROM taxp p JOIN taxp q ON q.report = p.report AND q.page_no = p.page_no AND q.axis = p.axis AND q.pos <= p.pos AND q.b >= p.a
+  GROUP BY p.report, p.page_no, p.axis, p.idx, p.pos, p.a
+),
+tcut AS (
+  SELECT report, page_no, axis, min(pos) AS cut FROM (
+    SELECT *, lag(c1) OVER (PARTITION BY report, page_no, axis ORDER BY pos) AS prev FROM tcov1)
+  WHERE pos >= 2 AND c1 < prev GROUP BY report, page_no, axis
+),
+tcov2 AS (
+  SELECT p.report, p.page_no, p.axis, p.pos, p.a, count(*) AS c2
+  FROM taxp p LEFT JOIN tcut c ON c.report = p.report AND c.page_no = p.page_no AND c.axis = p.axis
+  JOIN taxp q ON q.report = p.report AND q.page_no = p.page_no AND q.axis = p.axis AND q.pos <= p.pos AND q.b >= p.a
+       AND (c.cut IS NULL OR p.pos < c.cut OR q.pos >= c.cut)
+  GROUP BY p.report, p.page_no, p.axis, p.pos, p.a
+),
+tnew AS (
+  SELECT *, CASE WHEN pos > 0 AND c2 - coalesce(lag(c2) OVER (PARTITION BY report, page_no, axis ORDER BY pos), 0) <= 0
+                 THEN 1 ELSE 0 END AS brk
+  FROM tcov2
+),
+tgrp0 AS (SELECT *, sum(brk) OVER (PARTITION BY report, page_no, axis ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM tnew),
+tgrp AS (SELECT report, page_no, axis, a AS coord, max(grp) AS grp FROM tgrp0 GROUP BY report, page_no, axis, a),
+tcell0 AS (
+  SELECT e.report, e.page_no, gy.grp AS gy, gx.grp AS gx,
+         arg_max(translate(e.text, chr(9) || chr(10), ''), e.idx) AS raw, arg_max(e.block_no, e.idx) AS block_no
+  FROM tex e
+  JOIN tgrp gx ON gx.report = e.report AND gx.page_no = e.page_no AND gx.axis = 'x' AND gx.coord = e.x0
+  JOIN tgrp gy ON gy.report = e.report AND gy.page_no = e.page_no AND gy.axis = 'y' AND gy.coord = e.y0
+  GROUP BY e.report, e.page_no, gy.grp, gx.grp
+),
+tcell1 AS (SELECT *, CASE WHEN raw IN ('', ' ', '  ') THEN NULL ELSE raw END AS text FROM tcell0),
+tcolok AS (SELECT report, page_no, gx FROM tcell1 GROUP BY ALL HAVING count(text) > 0),
+trowok AS (SELECT c.report, c.page_no, c.gy FROM tcell1 c JOIN tcolok USING (report, page_no, gx) GROUP BY ALL HAVING count(c.text) > 0),
+tcells2 AS (
+  SELECT c.report, c.page_no,
+         dense_rank() OVER (PARTITION BY c.report, c.page_no ORDER BY c.gy) - 1 AS rw,
+         dense_rank() OVER (PARTITION BY c.report, c.page_no ORDER BY c.gx) - 1 AS col, c.text, c.block_no
+  FROM tcell1 c JOIN tcolok USING (report, page_no, gx) JOIN trowok USING (report, page_no, gy)
+),
+tdims AS (
+  SELECT report, page_no, max(col) AS max_col,
+         min(CASE WHEN col > 0 AND text IS NOT NULL THEN rw END) AS a,
+         max(CASE WHEN col > 0 AND text IS NOT NULL THEN rw END) + 1 AS b
+  FROM tcells2 GROUP BY report, page_no
+),
+tdet0 AS (
+  SELECT c.report, c.page_no, d.max_col, d.a, d.b,
+         count(*) FILTER (WHERE c.rw >= d.a AND c.rw < d.b AND c.col > 0
+                          AND regexp_matches(regexp_replace(c.text, '[, $()%]', '', 'g'), '{_NUM}')) AS n_num,
+         max(CASE WHEN c.rw = d.a - 1 AND c.col = 0 THEN c.text END) AS h,
+         min(CASE WHEN c.rw >= d.a AND c.rw < d.b THEN c.block_no END) AS block_a,
+         max(CASE WHEN c.rw >= d.a AND c.rw < d.b THEN c.block_no END) AS block_b
+  FROM tcells2 c JOIN tdims d USING (report, page_no) WHERE d.a IS NOT NULL
+  GROUP BY c.report, c.page_no, d.max_col, d.a, d.b
+),
+tdet AS (
+  SELECT report, page_no, a, b, max_col + 1 AS n_cols, CASE WHEN a = 0 THEN '' ELSE h END AS heading, block_a, block_b,
+         n_num / ((b - a) * max_col) AS numeric_share
+  FROM tdet0 WHERE max_col > 0 AND n_num / ((b - a) * max_col) > 0.2
+),
+tw AS (
+  SELECT c.report, c.page_no, c.col, max(length(coalesce(c.text, ''))) + 2 AS w
+  FROM tcells2 c JOIN tdet d USING (report, page_no) WHERE c.rw >= d.a AND c.rw < d.b GROUP BY ALL
+),
+tgrid AS (
+  SELECT d.report, d.page_no, d.a, r.rw, k.col
+  FROM tdet d
+  JOIN (SELECT DISTINCT report, page_no, rw FROM tcells2) r ON r.report = d.report AND r.page_no = d.page_no AND r.rw >= d.a AND r.rw < d.b
+  JOIN (SELECT report, page_no, unnest(range(n_cols)) AS col FROM tdet) k ON k.report = d.report AND k.page_no = d.page_no
+),
+tline AS (
+  SELECT g.report, g.page_no, g.rw, any_value(g.a) AS a,
+         '|' || string_agg(' ' || CASE WHEN g.col = 0 THEN rpad(coalesce(c.text, ''), CAST(w.w - 1 AS INTEGER), ' ')
+                                       ELSE lpad(coalesce(c.text, ''), CAST(w.w - 1 AS INTEGER), ' ') END || '|', '' ORDER BY g.col)
+           || chr(10) AS line,
+         '|' || string_agg(' ' || repeat('-', CAST(w.w - 2 AS INTEGER)) || ' |', '' ORDER BY g.col) || chr(10) AS rule_
+  FROM tgrid g
+  LEFT JOIN tcells2 c ON c.report = g.report AND c.page_no = g.page_no AND c.rw = g.rw AND c.col = g.col
+  JOIN tw w ON w.report = g.report AND w.page_no = g.page_no AND w.col = g.col
+  GROUP BY g.report, g.page_no, g.rw
+),
+tmd AS (
+  SELECT report, page_no, string_agg(CASE WHEN rw = a THEN line || rule_ ELSE line END, '' ORDER BY rw) AS markdown
+  FROM tline GROUP BY report, page_no
+)"""
+
+
+TABLE_HTML = """
+tnum AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY page_no) - 1 AS table_no FROM tdet),
+thtml AS (
+  SELECT t.report, t.page_no, t.block_a, t.block_b,
+         chr(10) || '<b>Table ' || CAST(t.table_no AS VARCHAR) || ': ' || coalesce(t.heading, 'None') || '</b>' || chr(10) || chr(10)
+         || chr(10) || '<div class="markdown-table">' || chr(10) || m.markdown || chr(10) || '</div>' || chr(10) AS th
+  FROM tnum t JOIN tmd m USING (report, page_no)
+)"""
+
+DOC_TSP = """
+tsp AS (SELECT report, page_key AS page_no, block_no, line_no, span_no, text, x0, y0, x1, y1 FROM ks)"""
+
+FIX_DOCTAIL = """
+dhtml AS (
+  SELECT b.report, b.page_key, b.block_no, CASE WHEN b.block_no = t.block_a THEN t.th ELSE b.html END AS html
+  FROM bhtml b LEFT JOIN thtml t ON t.report = b.report AND t.page_no = b.page_key
+  WHERE t.block_a IS NULL OR NOT (b.block_no > t.block_a AND b.block_no < t.block_b)
+),
 bparts AS (
   SELECT report, page_key, block_no, unnest(range(len(parts))) AS j, unnest(parts) AS part,
          coalesce(sum(len(parts) - 1) OVER (PARTITION BY report ORDER BY page_key, block_no
                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h1_before
-  FROM (SELECT *, string_split(html, '<h1>') AS parts FROM bhtml)
+  FROM (SELECT *, string_split(html, '<h1>') AS parts FROM dhtml)
 ),
 dsec0 AS (
   SELECT report, h1_before + j AS i,
@@ -619,7 +771,9 @@ dsec0 AS (
 ),
 dsec AS (SELECT report, i, CASE WHEN contains(raw, '</h1>') THEN '<h1>' || raw ELSE raw END AS html FROM dsec0)"""
 
-DOC_CTES = (FIX_DOCS, FIX_DOCFLOW)
+DOC_CTES = (FIX_DOCS, FIX_DOCFLOW, DOC_TSP, TABLE_FLOW, TABLE_HTML, FIX_DOCTAIL)
+
+
 
 ORACLES["spans_flatten"] = with_(FIX_DOCS) + """
 SELECT report, page_no, block_no::BIGINT AS block_no, line_no::BIGINT AS line_no, span_no::BIGINT AS span_no,
@@ -665,18 +819,20 @@ ORACLES["document_sections"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
 SELECT report, i::BIGINT AS i, length(html)::BIGINT AS n_chars, md5(html) AS md5 FROM dsec"""
 
 ORACLES["html_document"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
-SELECT report, length(page)::BIGINT AS n_chars, md5(page) AS md5 FROM (
-  SELECT report, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset=''utf-8''><title>'
+SELECT report, n_tables, title, length(page)::BIGINT AS n_chars, md5(page) AS md5 FROM (
+  SELECT report, report AS title, ((length(body) - length(replace(body, '<b>Table ', ''))) // 9)::BIGINT AS n_tables,
+         '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset=\'\'utf-8\'\'><title>'
          || report || '</title>' || chr(10) || '<style>' || chr(10) || $css$""" + _CSS + """$css$ || chr(10) || '</style>'
-         || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || string_agg(html, '' ORDER BY i) || $tail$""" + _TAIL + """$tail$ AS page
-  FROM dsec GROUP BY report)"""
+         || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || body || $tail$""" + _TAIL + """$tail$ AS page
+  FROM (SELECT report, regexp_replace(regexp_replace(string_agg(html, '' ORDER BY page_key, block_no), '\\r+\\n', chr(10), 'g'),
+                                      '\\n\\n\\n+', chr(10) || chr(10), 'g') AS body FROM dhtml GROUP BY report))"""
 
 ORACLES["sections"] = r"""
 WITH src AS (
   SELECT CAST(page_id AS VARCHAR) AS doc, html FROM pages
   UNION ALL
-  SELECT 'host:' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), string_agg(html, '' ORDER BY page_id)
-  FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
+  SELECT 'host:' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '#' || CAST(page_id // 500 AS VARCHAR), string_agg(html, '' ORDER BY page_id)
+  FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), page_id // 500
 ), parts AS (
   SELECT doc, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM (SELECT doc, string_split(html, '<h1>') AS ps FROM src)
 ), s AS (SELECT doc, i, CASE WHEN contains(part, '</h1>') THEN '<h1>' || part ELSE part END AS html FROM parts)
@@ -742,7 +898,7 @@ _RES_STATS = ", ".join(
 
 _RR_CTES = (
     "WITH RECURSIVE " + with_(*REPORT_CTES, *_gs_ctes(True))[5:].rstrip("\n") + _ols_select(True) + ",\n"
-    + ",".join(c.strip("\n") for c in (FIX_DOCS, FIX_DOCFLOW, FIX_SCORING)) + f""",
+    + ",".join(c.strip("\n") for c in (*DOC_CTES, FIX_SCORING)) + f""",
 st4 AS (
   SELECT *, {_tp('t_alpha', 'df')} AS pval_alpha, {_tp('t_beta', 'df')} AS pval_beta FROM st3
 ),
@@ -785,120 +941,15 @@ tcells AS (
   UNION ALL SELECT page_no, n_items + 3, 0, 'End of page' FROM tcnt
 ),
 tsp AS (
-  SELECT 'T' || CAST(page_no % 20 AS VARCHAR) AS report, page_no, rw AS block_no, col AS line_no, 0 AS span_no, text,
+  SELECT 'T' || CAST(page_no % 20 AS VARCHAR) || '.' || CAST(page_no // 20000 AS VARCHAR) AS report, page_no, rw AS block_no, col AS line_no, 0 AS span_no, text,
          CASE WHEN col = 0 THEN 20.0 ELSE 150.0 + 100.0 * col - 5.0 * length(text) END AS x0,
          100.0 + 20.0 * rw AS y0,
          CASE WHEN col = 0 THEN 20.0 + 5.0 * length(text) ELSE 150.0 + 100.0 * col END AS x1,
          110.0 + 20.0 * rw AS y1
   FROM tcells
-),
-tx AS (
-  SELECT *, row_number() OVER (PARTITION BY report, page_no ORDER BY block_no, line_no, span_no) - 1 AS idx,
-         regexp_matches(regexp_replace(text, '[, $()%]', '', 'g'), '{_NUM}') AS isnum
-  FROM tsp
-),
-tb AS (
-  SELECT report, page_no, count(*) AS n, min(CASE WHEN isnum THEN idx END) AS f, max(CASE WHEN isnum THEN idx END) AS l
-  FROM tx GROUP BY report, page_no
-),
-tex AS (
-  SELECT tx.* FROM tx JOIN tb USING (report, page_no)
-  WHERE f IS NOT NULL AND f <= l - 2 AND idx >= greatest(1, f - 6) AND idx < least(l + 5, n)
-),
-tax AS (
-  SELECT report, page_no, idx, 'x' AS axis, x0 AS a, x1 AS b FROM tex
-  UNION ALL SELECT report, page_no, idx, 'y', y0, y1 FROM tex
-),
-taxp AS (SELECT *, row_number() OVER (PARTITION BY report, page_no, axis ORDER BY a, idx) - 1 AS pos FROM tax),
-tcov1 AS (
-  SELECT p.report, p.page_no, p.axis, p.idx, p.pos, p.a, count(*) AS c1
-  FROM taxp p JOIN taxp q ON q.report = p.report AND q.page_no = p.page_no AND q.axis = p.axis AND q.pos <= p.pos AND q.b >= p.a
-  GROUP BY p.report, p.page_no, p.axis, p.idx, p.pos, p.a
-),
-tcut AS (
-  SELECT report, page_no, axis, min(pos) AS cut FROM (
-    SELECT *, lag(c1) OVER (PARTITION BY report, page_no, axis ORDER BY pos) AS prev FROM tcov1)
-  WHERE pos >= 2 AND c1 < prev GROUP BY report, page_no, axis
-),
-tcov2 AS (
-  SELECT p.report, p.page_no, p.axis, p.pos, p.a, count(*) AS c2
-  FROM taxp p LEFT JOIN tcut c ON c.report = p.report AND c.page_no = p.page_no AND c.axis = p.axis
-  JOIN taxp q ON q.report = p.report AND q.page_no = p.page_no AND q.axis = p.axis AND q.pos <= p.pos AND q.b >= p.a
-       AND (c.cut IS NULL OR p.pos < c.cut OR q.pos >= c.cut)
-  GROUP BY p.report, p.page_no, p.axis, p.pos, p.a
-),
-tnew AS (
-  SELECT *, CASE WHEN pos > 0 AND c2 - coalesce(lag(c2) OVER (PARTITION BY report, page_no, axis ORDER BY pos), 0) <= 0
-                 THEN 1 ELSE 0 END AS brk
-  FROM tcov2
-),
-tgrp0 AS (SELECT *, sum(brk) OVER (PARTITION BY report, page_no, axis ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM tnew),
-tgrp AS (SELECT report, page_no, axis, a AS coord, max(grp) AS grp FROM tgrp0 GROUP BY report, page_no, axis, a),
-tcell0 AS (
-  SELECT e.report, e.page_no, gy.grp AS gy, gx.grp AS gx,
-         arg_max(translate(e.text, chr(9) || chr(10), ''), e.idx) AS raw, arg_max(e.block_no, e.idx) AS block_no
-  FROM tex e
-  JOIN tgrp gx ON gx.report = e.report AND gx.page_no = e.page_no AND gx.axis = 'x' AND gx.coord = e.x0
-  JOIN tgrp gy ON gy.report = e.report AND gy.page_no = e.page_no AND gy.axis = 'y' AND gy.coord = e.y0
-  GROUP BY e.report, e.page_no, gy.grp, gx.grp
-),
-tcell1 AS (SELECT *, CASE WHEN raw IN ('', ' ', '  ') THEN NULL ELSE raw END AS text FROM tcell0),
-tcolok AS (SELECT report, page_no, gx FROM tcell1 GROUP BY ALL HAVING count(text) > 0),
-trowok AS (SELECT c.report, c.page_no, c.gy FROM tcell1 c JOIN tcolok USING (report, page_no, gx) GROUP BY ALL HAVING count(c.text) > 0),
-tcells2 AS (
-  SELECT c.report, c.page_no,
-         dense_rank() OVER (PARTITION BY c.report, c.page_no ORDER BY c.gy) - 1 AS rw,
-         dense_rank() OVER (PARTITION BY c.report, c.page_no ORDER BY c.gx) - 1 AS col, c.text, c.block_no
-  FROM tcell1 c JOIN tcolok USING (report, page_no, gx) JOIN trowok USING (report, page_no, gy)
-),
-tdims AS (
-  SELECT report, page_no, max(col) AS max_col,
-         min(CASE WHEN col > 0 AND text IS NOT NULL THEN rw END) AS a,
-         max(CASE WHEN col > 0 AND text IS NOT NULL THEN rw END) + 1 AS b
-  FROM tcells2 GROUP BY report, page_no
-),
-tdet0 AS (
-  SELECT c.report, c.page_no, d.max_col, d.a, d.b,
-         count(*) FILTER (WHERE c.rw >= d.a AND c.rw < d.b AND c.col > 0
-                          AND regexp_matches(regexp_replace(c.text, '[, $()%]', '', 'g'), '{_NUM}')) AS n_num,
-         max(CASE WHEN c.rw = d.a - 1 AND c.col = 0 THEN c.text END) AS h,
-         min(CASE WHEN c.rw >= d.a AND c.rw < d.b THEN c.block_no END) AS block_a,
-         max(CASE WHEN c.rw >= d.a AND c.rw < d.b THEN c.block_no END) AS block_b
-  FROM tcells2 c JOIN tdims d USING (report, page_no) WHERE d.a IS NOT NULL
-  GROUP BY c.report, c.page_no, d.max_col, d.a, d.b
-),
-tdet AS (
-  SELECT report, page_no, a, b, max_col + 1 AS n_cols, CASE WHEN a = 0 THEN '' ELSE h END AS heading, block_a, block_b,
-         n_num / ((b - a) * max_col) AS numeric_share
-  FROM tdet0 WHERE max_col > 0 AND n_num / ((b - a) * max_col) > 0.2
-),
-tw AS (
-  SELECT c.report, c.page_no, c.col, max(length(coalesce(c.text, ''))) + 2 AS w
-  FROM tcells2 c JOIN tdet d USING (report, page_no) WHERE c.rw >= d.a AND c.rw < d.b GROUP BY ALL
-),
-tgrid AS (
-  SELECT d.report, d.page_no, d.a, r.rw, k.col
-  FROM tdet d
-  JOIN (SELECT DISTINCT report, page_no, rw FROM tcells2) r ON r.report = d.report AND r.page_no = d.page_no AND r.rw >= d.a AND r.rw < d.b
-  JOIN (SELECT report, page_no, unnest(range(n_cols)) AS col FROM tdet) k ON k.report = d.report AND k.page_no = d.page_no
-),
-tline AS (
-  SELECT g.report, g.page_no, g.rw, any_value(g.a) AS a,
-         '|' || string_agg(' ' || CASE WHEN g.col = 0 THEN rpad(coalesce(c.text, ''), CAST(w.w - 1 AS INTEGER), ' ')
-                                       ELSE lpad(coalesce(c.text, ''), CAST(w.w - 1 AS INTEGER), ' ') END || '|', '' ORDER BY g.col)
-           || chr(10) AS line,
-         '|' || string_agg(' ' || repeat('-', CAST(w.w - 2 AS INTEGER)) || ' |', '' ORDER BY g.col) || chr(10) AS rule_
-  FROM tgrid g
-  LEFT JOIN tcells2 c ON c.report = g.report AND c.page_no = g.page_no AND c.rw = g.rw AND c.col = g.col
-  JOIN tw w ON w.report = g.report AND w.page_no = g.page_no AND w.col = g.col
-  GROUP BY g.report, g.page_no, g.rw
-),
-tmd AS (
-  SELECT report, page_no, string_agg(CASE WHEN rw = a THEN line || rule_ ELSE line END, '' ORDER BY rw) AS markdown
-  FROM tline GROUP BY report, page_no
 )"""
 
-_TAB = with_(FIX_TABLES)
+_TAB = with_(FIX_TABLES, TABLE_FLOW)
 
 ORACLES["numeric_cells"] = _TAB + f"""
 , lines AS (
@@ -926,15 +977,8 @@ SELECT report, page_no, a::BIGINT AS a, b::BIGINT AS b, n_cols::BIGINT AS n_cols
 ORACLES["table_markdown"] = _TAB + """
 SELECT report, page_no, length(markdown)::BIGINT AS n_chars, md5(markdown) AS md5 FROM tmd"""
 
-ORACLES["table_insert"] = _TAB + """
-, tnum AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY page_no) - 1 AS table_no FROM tdet),
-thtml AS (
-  SELECT t.report, t.page_no, t.block_a, t.block_b,
-         chr(10) || '<b>Table ' || CAST(t.table_no AS VARCHAR) || ': ' || coalesce(t.heading, 'None') || '</b>' || chr(10) || chr(10)
-         || chr(10) || '<div class="markdown-table">' || chr(10) || m.markdown || chr(10) || '</div>' || chr(10) AS th
-  FROM tnum t JOIN tmd m USING (report, page_no)
-),
-blk AS (
+ORACLES["table_insert"] = with_(FIX_TABLES, TABLE_FLOW, TABLE_HTML) + """
+, blk AS (
   SELECT report, page_no, block_no, chr(10) || '<p>' || string_agg(' ' || text || ' ', '' ORDER BY line_no, span_no) || '</p>' AS html
   FROM tsp GROUP BY report, page_no, block_no
 ),
@@ -970,4 +1014,9 @@ ORACLES["result_schema"] = _RR + "SELECT * FROM (" + " UNION ALL ".join(
 ORACLES["key_uniqueness"] = _RR + """
 SELECT "ISIN", count(*)::BIGINT AS n FROM rr GROUP BY "ISIN" HAVING count(*) > 1"""
 
-ORACLES["incremental_skip"] = ORACLES["document_sections"]
+ORACLES["incremental_skip"] = ORACLES["document_sections"].replace("AS md5 FROM dsec", "AS md5, 1::BIGINT AS n_opened FROM dsec")
+
+ORACLES["incremental_scores"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
+SELECT report, CASE WHEN seen THEN n ELSE 0 END::BIGINT AS summaries_1, CASE WHEN seen AND n > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_1,
+       CASE WHEN seen THEN 0 ELSE n END::BIGINT AS summaries_2, CASE WHEN NOT seen AND n > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_2
+FROM (SELECT report, substring(md5(report), 1, 1) < '8' AS seen, count(*) FILTER (WHERE html <> '') AS n FROM dsec GROUP BY report)"""

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from arlens.operators import factors, resolve
 from arlens.plans import report
+from arlens.plans.joins import materialize, stored_input
 from arlens.sources import fixtures
+from arlens.sources.reports import report_identity
 from arlens.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,13 +45,38 @@ def iso(c: str) -> Column:
     return F.date_format(F.col(c), "yyyy-MM-dd").alias(c)
 
 
+# ------------------------------------------------- the fixtures as a user's frames
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.report_files(spark, sf_dir)
+
+
+def _equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In production a stored table; derived here once per session and folder."""
+    return stored_input(spark, sf_dir, "equity", fixtures.equity)
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.resolved(_reports(spark, sf_dir), _equity(spark, sf_dir), fixtures.all_isins(spark, sf_dir))
+
+
+def _window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.window_rows(_resolved(spark, sf_dir), _equity(spark, sf_dir))
+
+
+def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = stored_input(spark, sf_dir, "doc_spans", fixtures.doc_spans)
+    return R.report_result(_reports(spark, sf_dir), _equity(spark, sf_dir), fixtures.all_isins(spark, sf_dir), spans, fixtures.doc_pages(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- step 1 / 2
 
 
 @q
 def reports_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1/A2: report files with year, ISIN and the three 1 June dates."""
-    r = report.reports(spark, sf_dir)
+    r = report_identity(_reports(spark, sf_dir))
     return r.select("path", "year", "isin", iso("t0"), iso("t1"), iso("t2"))
 
 
@@ -66,7 +93,7 @@ def equity_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def equity_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every (report, window), summarised per window."""
-    wr = report.window_rows(spark, sf_dir)
+    wr = _window_rows(spark, sf_dir)
     return wr.groupBy("path", "horizon").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.date_format(F.min("date"), "yyyy-MM-dd").alias("first_date"),
@@ -96,7 +123,7 @@ def numeric_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def isin_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1-D3 (+S16): company of every report."""
-    r = report.resolved(spark, sf_dir)
+    r = _resolved(spark, sf_dir)
     return r.select("path", "isin", "name", "intcode", "sid", "isin_db", "sid_or_code")
 
 
@@ -111,20 +138,20 @@ def _ols_out(df: DataFrame) -> DataFrame:
 @q
 def factor_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OLS with listwise deletion over all five regressors."""
-    return _ols_out(report.regression(spark, sf_dir, sparse=False))
+    return _ols_out(report.regression(_window_rows(spark, sf_dir), sparse=False))
 
 
 @q
 def factor_ols_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regressors missing in > 50% of a window dropped, then listwise deletion."""
-    return _ols_out(report.regression(spark, sf_dir, sparse=True))
+    return _ols_out(report.regression(_window_rows(spark, sf_dir), sparse=True))
 
 
 @q
 def factor_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided Student t p-values of alpha and beta, on a log scale too so
     that the far tail is compared."""
-    r = report.regression(spark, sf_dir, sparse=True)
+    r = report.regression(_window_rows(spark, sf_dir), sparse=True)
     log = lambda c: r6(F.when(F.col(c) > 0, F.log10(c))).alias(f"log_{c}")
     return r.select("path", "horizon", "df", r8("pval_alpha").alias("pval_alpha"), r8("pval_beta").alias("pval_beta"), log("pval_alpha"), log("pval_beta"))
 
@@ -132,7 +159,7 @@ def factor_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null counts and drop mask per report window."""
-    p = factors.missing_profile(report.window_rows(spark, sf_dir))
+    p = factors.missing_profile(_window_rows(spark, sf_dir))
     return p.select("path", "horizon", "n_rows", "name", *[c for c in p.columns if c.startswith(("null_", "drop_"))])
 
 
@@ -292,28 +319,33 @@ def heading_font(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def heading_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """heading candidates, their plain offsets and the greedy acceptance."""
-    a = document.accepted(document.fixture_plan(spark, sf_dir))
+    a = document.fixture_plan(spark, sf_dir).accepted
     return a.select("report", "page_key", "block_no", "line_no", "span_no", "plain_before", "head_key", "accepted")
 
 
 @q
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Html of every kept block."""
-    return document.block_html(document.fixture_plan(spark, sf_dir))
+    return document.fixture_plan(spark, sf_dir).block_html
+
+
+# Page ids that one document of a host spans.
+HOST_RUN = 500
 
 
 @q
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G12 on raw web pages: every page's html split at <h1>, plus the pages of
-    each host joined in page_id order."""
+    """G12 on raw web pages: every page's html split at <h1>, plus runs of each
+    host's pages joined in page_id order."""
     pages = read(spark, sf_dir, "pages")
     pg = pages.select(F.col("page_id").cast("string").alias("doc"), "html")
     per_page = H.split_sections(pg, "doc", "html")
     # Sections of a whole host: pages in page_id order, split per page and
     # assembled per section (never one string per host).
     host = F.regexp_extract(F.col("url"), "^[a-z]+://([^/?#]+)", 1)
-    blocks = pages.select(F.concat(F.lit("host:"), host).alias("report"), F.col("page_id").alias("page_key"),
+    blocks = pages.select(F.concat(F.lit("host:"), host, F.lit("#"), F.floor(F.col("page_id") / HOST_RUN).cast("string")).alias("report"), F.col("page_id").alias("page_key"),
                           F.lit(0).cast("bigint").alias("block_no"), "html")
+    # A document is a run of a host's pages, so hosts grow in documents.
     byhost = H.sections_from_pieces(H.section_pieces(blocks), clean=False).withColumnRenamed("report", "doc")
     s = per_page.unionByName(byhost)
     return s.select("doc", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
@@ -322,16 +354,20 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of every readable report."""
-    s = document.sections(document.fixture_plan(spark, sf_dir))
+    s = document.fixture_plan(spark, sf_dir).sections
     return s.select("report", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
 
 
 @q
 def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The HTML page of every readable report (size and digest)."""
-    s = document.sections(document.fixture_plan(spark, sf_dir))
-    pg = H.html_page(s)
-    return pg.select("report", F.length("page").cast("bigint").alias("n_chars"), F.md5("page").alias("md5"))
+    """The HTML page of every readable report, written as one file
+    per report and read back (size and digest, title and tables in it)."""
+    pages = H.html_page(document.fixture_plan(spark, sf_dir).document_html, F.concat(F.lit(fixtures.REPORT_DIR), F.col("report")))
+    folder = INC.storage_path(spark, "pages")
+    H.write_pages(pages, folder)
+    pg = H.read_pages(spark, folder)
+    n_tables = ((F.length("page") - F.length(F.replace("page", F.lit("<b>Table "), F.lit("")))) / 9).cast("bigint")
+    return pg.select(n_tables.alias("n_tables"), F.regexp_extract("page", "<title>(.*?)</title>", 1).alias("title"), "report", F.length("page").cast("bigint").alias("n_chars"), F.md5("page").alias("md5"))
 
 
 # ------------------------------------------------------------ step 8: scoring and the result row
@@ -340,7 +376,7 @@ from arlens.plans import result as R  # noqa: E402
 
 
 def _doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document.sections(document.fixture_plan(spark, sf_dir))
+    return document.fixture_plan(spark, sf_dir).sections
 
 
 @q
@@ -368,7 +404,7 @@ def summary_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def report_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 16-column result row of every report (plus its path)."""
-    r = R.report_result(spark, sf_dir)
+    r = _result(spark, sf_dir)
     return r.select("path", "ISIN", "ISIN_db", "Name",
                     *[(r8 if c.startswith("pval") else r6)(c).alias(c) for c in R.RESULT_COLS[3:15]], "Answer")
 
@@ -379,8 +415,6 @@ from arlens.operators import tables as TB  # noqa: E402
 
 
 def _tspans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from arlens.plans.joins import stored_input
-
     return stored_input(spark, sf_dir, "table_spans", fixtures.table_spans)
 
 
@@ -475,9 +509,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _stored_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """Result rows of the reports up to 1997, stored by an earlier insert-if-absent run."""
-    from arlens.plans.joins import materialize
-
-    res = materialize(R.report_result(spark, sf_dir).withColumn("year", report.report_identity_year("path")))
+    res = materialize(_result(spark, sf_dir).withColumn("year", report.report_identity_year("path")))
     path = INC.storage_path(spark, "results")
     INC.append_absent(spark, path, res.where(F.col("year") <= 1997), ["ISIN"], ["year", "path"])
     return res, path
@@ -486,7 +518,7 @@ def _stored_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 @q
 def ledger_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows written to the ';' ledger and read back typed."""
-    res = R.report_result(spark, sf_dir)
+    res = _result(spark, sf_dir)
     cols = ["path"] + R.RESULT_COLS
     path = INC.storage_path(spark, "ledger")
     write_ledger(res, path, cols)
@@ -513,7 +545,7 @@ def result_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result table's columns (ordinal, name, type) with the
     number of non-null values stored in each."""
-    res = R.report_result(spark, sf_dir).select(*R.RESULT_COLS)
+    res = _result(spark, sf_dir).select(*R.RESULT_COLS)
     counts = res.select(*[F.count(c).alias(c) for c in R.RESULT_COLS])
     meta = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(res.schema.fields)]
     stack = "stack({}, {}) as (ordinal, column_name, data_type, n_nonnull)".format(
@@ -525,22 +557,55 @@ def result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the result rows that occur more than once (the primary-key check)."""
-    res = R.report_result(spark, sf_dir)
+    res = _result(spark, sf_dir)
     return res.groupBy("ISIN").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def _first_half() -> Column:
+    """Reports that an earlier run has seen: half of them, by a digest of the name."""
+    return F.substring(F.md5("report"), 1, 1) < "8"
+
+
+def _sections_run(spark: SparkSession, sf_dir: str, reports: Column, folder: str) -> None:
+    """Sections and status of the reports not seen yet are stored.  The
+    status table says what was seen, so unreadable and empty reports are not
+    opened again either."""
+    pages = fixtures.doc_pages(spark, sf_dir).where(reports)
+    done = INC.stored_or_empty(spark, f"{folder}/status", spark.createDataFrame([], "report string, status string"))
+    todo = materialize(INC.missing(pages.select("report").distinct(), done, ["report"]))
+    spans = stored_input(spark, sf_dir, "doc_spans", fixtures.doc_spans)
+    p = document.DocPlan(spans.join(todo, "report", "left_semi"), pages.join(todo, "report", "left_semi"))
+    p.sections.write.mode("append").parquet(f"{folder}/sections")
+    p.status.select("report", "status").write.mode("append").parquet(f"{folder}/status")
+
+
 @q
 def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections stored for some reports are reused; only the
-    missing reports run through the document pipeline, then both are read."""
-    spans = fixtures.doc_spans(spark, sf_dir)
-    pages = fixtures.doc_pages(spark, sf_dir)
-    path = INC.storage_path(spark, "sections")
-    first = document.plan(spans.where(F.col("report").isin([f"src{i}" for i in range(10)])), pages)
-    document.sections(first).write.mode("append").parquet(path)
-    done = spark.read.parquet(path)
-    todo = INC.missing(spans, done.select("report"), ["report"])
-    document.sections(document.plan(todo, INC.missing(pages, done.select("report"), ["report"]))).write.mode(
-        "append").parquet(path)
-    s = spark.read.parquet(path)
-    return s.select("report", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"))
+    """Sections stored for some reports are reused; only the reports that
+    no run has seen go through the document pipeline.  ``n_opened`` counts how
+    often a report was opened over three runs."""
+    folder = INC.storage_path(spark, "sections")
+    for reports in (_first_half(), F.lit(True), F.lit(True)):
+        _sections_run(spark, sf_dir, reports, folder)
+    opened = spark.read.parquet(f"{folder}/status").groupBy("report").agg(F.count("*").alias("n_opened"))
+    s = spark.read.parquet(f"{folder}/sections")
+    return s.join(opened, "report").select("report", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"), "n_opened")
+
+
+@q
+def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries and conclusions stored by an earlier run are reused.
+    For each report: sections summarised and conclusions drawn in the first run
+    (half of the reports) and in the second (all of them)."""
+    folder = INC.storage_path(spark, "scores")
+    secs = materialize(_doc_sections(spark, sf_dir))
+    counts = []
+    for run, part in enumerate((secs.where(_first_half()), secs), 1):
+        summaries, new_s = INC.reuse(spark, f"{folder}/summaries", part.where("html != ''"), ["report", "i"], scoring.summarize_sections)
+        mine = summaries.join(part.select("report").distinct(), "report", "left_semi")
+        _, new_c = INC.reuse(spark, f"{folder}/conclusions", mine, ["report"], scoring.conclude)
+        counts += [new_s.groupBy("report").agg(F.count("*").alias(f"summaries_{run}")), new_c.groupBy("report").agg(F.count("*").alias(f"conclusions_{run}"))]
+    out = secs.select("report").distinct()
+    for c in counts:
+        out = out.join(c, "report", "left")
+    return out.fillna(0)

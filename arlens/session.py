@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
 def build_session(master: str | None = None, app: str = "arlens", shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests and the bench.
 
@@ -39,8 +42,8 @@ def build_session(master: str | None = None, app: str = "arlens", shuffle_partit
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only set our own when it is
-    unset, which happens in local tests.
+    A cluster names a shared folder there.  Only where it is unset, as in local
+    tests, a folder of our own stands in, which goes with the interpreter.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
@@ -48,7 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="arlens-ckpt-", dir="/tmp")
+        folder = tempfile.TemporaryDirectory(prefix="arlens-")
+        _OWN.append(folder)  # removed when the interpreter ends
+        current = folder.name
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current

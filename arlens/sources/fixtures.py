@@ -34,6 +34,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     span document that belongs to the report.
     """
     sup = read(spark, sf_dir, "supplier").select("s_suppkey")
+    runs = read(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] // RUN + 1
     k = F.col("s_suppkey")
     isin = (
         F.when(k % 10 == 0, padded("OLD", k))
@@ -46,7 +47,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(REPORT_DIR), F.col("y").cast("string"), F.lit("_ar_x_y_z_"), isin, F.lit("_v1.pdf")).alias(
             "path"
         ),
-        F.concat(F.lit("src"), (k % 20).cast("string")).alias("doc"),
+        F.concat(F.lit("src"), (k % 20).cast("string"), F.lit("."), (F.floor(k / 20) % runs).cast("string")).alias("doc"),
     )
 
 
@@ -146,17 +147,28 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PUA_LETTERS = "".join(chr(0xE000 + i) for i in range(len(LETTERS)))
 
 
+# Documents of one source go to reports of at most RUN ids, so that reports grow
+# in number, not in size; customers' table pages likewise.
+RUN, CUSTOMER_RUN = 1000, 1500
+#: First page number of customers' table pages, behind all documents.
+CUSTOMER_PAGES = 10_000_000_000
+
+
+def report_name(source: Column, key: Column, run: int) -> Column:
+    return F.concat(source, F.lit("."), F.floor(key / run).cast("string"))
+
+
 def _page_geometry(doc_id: Column) -> tuple[Column, Column]:
     w = F.when(doc_id % 3 == 0, 1000.0).when(doc_id % 3 == 1, 700.0).otherwise(500.0)
     return w, F.lit(700.0)
 
 
 def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4/T5: positioned text spans of the document corpus.
+    """T4/T5: positioned text spans of the document corpus, table pages included.
 
-    report = source (plus ``src5-pua``: src5 with every ASCII letter mapped to a
-    private-use code point and other characters removed); page = document
-    (page_no = doc_id); blocks in order: running header, title (first 40
+    report = source and run of ids (plus ``src5.r-pua``: src5 with every ASCII
+    letter mapped to a private-use code point and other characters removed);
+    page = document (page_no = doc_id); blocks in order: running header, title (first 40
     characters of the first line), one block per text line (every 7th line
     longer than 10 characters is split into a bold 10-character span and a
     plain rest), page number.  Pages are 1000 x 700 when doc_id % 3 = 0 (body
@@ -165,13 +177,14 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     block_no is the block's place on its page; (page_no, block_no) orders a
     report.
     """
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    pua = d.where(F.col("source") == PUA_SOURCE).select(
+    name = report_name(F.col("source"), F.col("doc_id"), RUN)
+    d = read(spark, sf_dir, "documents").select("doc_id", name.alias("source"), "text", (F.col("source") == PUA_SOURCE).alias("_pua"))
+    pua = d.where("_pua").select(
         "doc_id",
         F.concat(F.col("source"), F.lit("-pua")).alias("source"),
         F.translate(F.regexp_replace("text", "[^A-Za-z\n]", ""), LETTERS, PUA_LETTERS).alias("text"),
     )
-    d = d.unionByName(pua)
+    d = d.drop("_pua").unionByName(pua)
     lines = d.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("li", "line"))
     n_lines = d.select("source", "doc_id", F.size(F.split("text", "\n")).alias("n"))
     first = lines.where(F.col("li") == 0).select("source", "doc_id", F.substring("line", 1, 40).alias("t"))
@@ -210,34 +223,81 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = _page_geometry(F.col("page_no"))
     y0 = 40.0 + 12.0 * F.col("block_no")
     # One line per block: the block's horizontal extent is its line's.
-    return s.select(
+    prose = s.select(
         "report", "page_no", w.alias("page_w"), h.alias("page_h"), "block_no", "line_no", "span_no", "text", "font",
         "size", "color", "x0", y0.alias("y0"), "x1", (y0 + F.col("size")).alias("y1"),
         "line_x0", "line_x1", F.col("line_x0").alias("block_x0"), F.col("line_x1").alias("block_x1"),
     )
+    return prose.unionByName(customer_spans(spark, sf_dir))
+
+
+def _customer_page(key: Column) -> tuple[Column, Column, Column, Column]:
+    """Report, page number, width and height of a customer's page; every seventh
+    is landscape, with the table on its left half."""
+    report = report_name(F.concat(F.lit("src"), (key % 20).cast("string")), key, CUSTOMER_RUN)
+    wide = key % 7 == 0
+    return report, key + CUSTOMER_PAGES, F.when(wide, 1000.0).otherwise(600.0), F.when(wide, 700.0).otherwise(800.0)
+
+
+def customer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table pages of the document reports: one for each customer with orders.
+
+    Blocks are rows, one line per cell: the title ``Orders of customer {key}``,
+    the header ``Account {key} | Total | Year`` and one row per order, ``Order
+    {orderkey} | total price | year`` by order key.  Column 0 is left aligned at
+    x 20, column k >= 1 right aligned at 150 + 100 k; rows are 20 apart.
+    """
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    key = F.col("o_custkey")
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1
+    item = orders.withColumn("row", row).select(key, "row", F.posexplode(F.array(
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.format_number("o_totalprice", 2), F.year("o_orderdate").cast("string"))).alias("col", "text"))
+    pages = orders.select("o_custkey").distinct()
+    title = pages.select(key, F.lit(0).alias("row"), F.lit(0).alias("col"), F.concat(F.lit("Orders of customer "), key.cast("string")).alias("text"))
+    head = pages.select(key, F.lit(1).alias("row"), F.posexplode(F.array(F.concat(F.lit("Account "), key.cast("string")), F.lit("Total"), F.lit("Year"))).alias("col", "text"))
+    cells = title.unionByName(head).unionByName(item)
+    report, page, w, h = _customer_page(key)
+    width, right = 5.0 * F.length("text"), 150.0 + 100.0 * F.col("col")
+    x0 = F.when(F.col("col") == 0, F.lit(20.0)).otherwise(right - width)
+    x1 = F.when(F.col("col") == 0, 20.0 + width).otherwise(right)
+    y0 = 40.0 + 20.0 * F.col("row")
+    box = Window.partitionBy("o_custkey", "row")
+    cells = cells.withColumns({"x0": x0, "x1": x1}).withColumns({"bx0": F.min("x0").over(box), "bx1": F.max("x1").over(box)})
+    return cells.select(
+        report.alias("report"), page.cast("bigint").alias("page_no"), w.alias("page_w"), h.alias("page_h"),
+        F.col("row").cast("bigint").alias("block_no"), F.col("col").cast("bigint").alias("line_no"), F.lit(0).cast("bigint").alias("span_no"),
+        "text", F.lit(BODY_FONT).alias("font"), F.lit(BODY_SIZE).alias("size"), F.lit(0).alias("color"),
+        "x0", y0.alias("y0"), "x1", (y0 + BODY_SIZE).alias("y1"),
+        F.col("x0").alias("line_x0"), F.col("x1").alias("line_x1"), F.col("bx0").alias("block_x0"), F.col("bx1").alias("block_x1"),
+    )
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the document corpus, including ``empty``: one page whose only
     block is an image (no text lines), taken from the smallest doc_id."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    pua = d.where(F.col("source") == PUA_SOURCE).select("doc_id", F.concat("source", F.lit("-pua")).alias("source"))
+    name = report_name(F.col("source"), F.col("doc_id"), RUN)
+    d = read(spark, sf_dir, "documents").select("doc_id", name.alias("source"), (F.col("source") == PUA_SOURCE).alias("_pua"))
+    pua = d.where("_pua").select("doc_id", F.concat("source", F.lit("-pua")).alias("source"))
+    d = d.drop("_pua")
     empty = d.groupBy().agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("empty").alias("source"))
     p = d.unionByName(pua).unionByName(empty)
     w, h = _page_geometry(F.col("doc_id"))
-    return p.select(F.col("source").alias("report"), F.col("doc_id").alias("page_no"), w.alias("page_w"), h.alias("page_h"))
+    prose = p.select(F.col("source").alias("report"), F.col("doc_id").alias("page_no"), w.alias("page_w"), h.alias("page_h"))
+    report, page, w, h = _customer_page(F.col("o_custkey"))
+    tables = read(spark, sf_dir, "orders").select("o_custkey").distinct()
+    return prose.unionByName(tables.select(report.alias("report"), page.alias("page_no"), w.alias("page_w"), h.alias("page_h")))
 
 
 def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order, laid out as a table.
 
-    report = 'T' + (l_orderkey % 20), page_no = l_orderkey.  One block per row
+    report = 'T' + (l_orderkey % 20) and its run of 20,000 keys, page_no = l_orderkey.  One block per row
     (block_no = row, one line per cell, line_no = column): ``Lines``,
     ``Order lines {key}``, the header ``Line | Quantity | Price | Discount``,
     one row per item ``Item n | quantity | price | discount`` (n in line
     number order, price with thousands commas) and ``End of page``.  Column 0
     is left aligned at x 20, column k >= 1 right aligned at 150 + 100 k; rows
-    are 20 apart.  Report ``T0`` has words in place of the numbers; on every
+    are 20 apart.  Reports ``T0.r`` have words in place of the numbers; on every
     5th page the first item's discount is blank.
     """
     li = read(spark, sf_dir, "lineitem").select(
@@ -271,7 +331,7 @@ def table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = F.when(F.col("col") == 0, F.lit(20.0)).otherwise(150.0 + 100.0 * F.col("col") - width)
     y0 = 100.0 + 20.0 * F.col("row")
     return cells.select(
-        F.concat(F.lit("T"), (F.col("page_no") % 20).cast("string")).alias("report"),
+        report_name(F.concat(F.lit("T"), (F.col("page_no") % 20).cast("string")), F.col("page_no"), 20_000).alias("report"),
         F.col("page_no").cast("bigint").alias("page_no"), F.lit(600.0).alias("page_w"), F.lit(800.0).alias("page_h"),
         F.col("row").cast("bigint").alias("block_no"), F.col("col").cast("bigint").alias("line_no"),
         F.lit(0).cast("bigint").alias("span_no"), "text", F.lit("Body").alias("font"), F.lit(10.0).alias("size"),

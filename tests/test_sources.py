@@ -1,14 +1,13 @@
 """Report-file scan (A1/A2) and result-table management."""
 
 import os
-import tempfile
 
 from arlens.sources.reports import report_identity, scan_report_files
 from arlens.streaming import tables as RT
 
 
-def test_scan_skips_directories_and_parses_names(spark):
-    d = tempfile.mkdtemp(prefix="reports-", dir="/tmp")
+def test_scan_skips_directories_and_parses_names(spark, tmp_path):
+    d = str(tmp_path)
     for name in ["2001_ar_x_y_z_NO0010096985_v1.pdf", "2003_a_b_c_d_BMG2786A1062_x.pdf", "bad.pdf"]:
         with open(os.path.join(d, name), "wb") as f:
             f.write(b"%PDF")
@@ -32,3 +31,44 @@ def test_result_table_lifecycle(spark):
     RT.drop_table(spark, name)
     RT.drop_table(spark, name)  # missing table ignored
     assert not RT.table_exists(spark, name)
+
+
+def test_ledger_keeps_newlines_and_text(spark, tmp_path):
+    from arlens.sources.ledger import read_ledger, write_ledger
+
+    rows = [("a", "line\nbreak", 1.5), ("b", "None", None), ("c", None, 2.0), ("d", 'semi;colon "quoted"', 0.0), ("e", "\\None", 1.0), ("f", "", 3.0)]
+    df = spark.createDataFrame(rows, "k string, t string, v double")
+    write_ledger(df, str(tmp_path / "l"), ["k", "t", "v"])
+    got = {r.k: (r.t, r.v) for r in read_ledger(spark, str(tmp_path / "l"), df.schema).collect()}
+    assert got == {"a": ("line\rbreak", 1.5), "b": ("None", None), "c": (None, 2.0), "d": ('semi;colon "quoted"', 0.0), "e": ("\\None", 1.0), "f": ("", 3.0)}
+
+
+def test_pages_one_file_per_report(spark, tmp_path):
+    from arlens.operators.html import read_pages, write_pages
+
+    pages = spark.createDataFrame([("r1", "<p>a\n\nb</p>\n"), ("r2", "x")], "report string, page string")
+    write_pages(pages, str(tmp_path / "pages"))
+    assert sorted(p.name for p in (tmp_path / "pages").iterdir() if p.is_dir()) == ["report=r1", "report=r2"]
+    assert sorted(map(tuple, read_pages(spark, str(tmp_path / "pages")).collect())) == [("r1", "<p>a\n\nb</p>\n"), ("r2", "x")]
+
+
+def test_page_keeps_an_unclosed_heading(spark):
+    from arlens.operators.html import html_page
+
+    blocks = spark.createDataFrame([("r", 0, 0, "\n<p>a <h1>open</p>"), ("r", 1, 0, "\n<p>b</p>")], "report string, page_key long, block_no long, html string")
+    page = html_page(blocks).first().page
+    assert "<p>a <h1>open</p>\n<p>b</p>" in page and page.endswith("</body>\n</html>\n")
+
+
+def test_insert_into_catalog_table(spark):
+    name = "arlens_insert_test"
+    RT.create_result_table(spark, name, drop=True)
+    cols = RT.result_schema()
+    new = spark.createDataFrame([(None, None, "n", *[None] * 12, 1), ("A", "A", "x", *[1.0] * 12, 2)], cols)
+    from pyspark.sql import functions as F
+
+    new = new.withColumn("year", F.lit(2000))
+    for _ in range(2):
+        RT.insert_absent_into(spark, name, new, ["ISIN"], ["year"])
+    assert spark.table(name).count() == 2
+    RT.drop_table(spark, name)

@@ -48,7 +48,9 @@ def test_table_round_trip(spark):
     items = sp.where("block_no >= 2 and text != 'End of page'").groupBy("report", "page_no").agg(
         F.max("block_no").alias("last")).collect()
     for r in items:
-        if r.report == "T0":
+        if r.last < 5:
+            continue  # one or two items: the extent rule keeps less, see the oracles
+        if r.report.startswith("T0."):
             assert (r.report, r.page_no) not in det  # words only: no table
             continue
         d = det[(r.report, r.page_no)]
