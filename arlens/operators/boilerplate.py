@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arlens.functions.text import not_int, private_use_count, py_float_str, py_strip
+from arlens.operators.sequence import running_sums
 
 BLOCK = ["report", "page_key", "block_no"]
 # Blocks of 1..5 lines are counted; a key seen more than 10 times is repeated.
@@ -79,3 +80,9 @@ def document_status(kept_blocks: DataFrame, pages: DataFrame) -> DataFrame:
         share.alias("private_share"),
         F.when(F.col("n_chars") == 0, "no content").when(share > 0.9, "unreadable").otherwise("ok").alias("status"),
     )
+
+
+def offsets(kept_blocks: DataFrame) -> DataFrame:
+    """F1/F2 of each kept block, in one pass: ``end_off``, the document text up to
+    its end, and ``plain_before``, the plain text before it."""
+    return running_sums(kept_blocks, ["report"], "page_key", ["block_no"], {"end_off": ("text_len", True), "plain_before": ("plain_len", False)}).select(*BLOCK, "end_off", "plain_before")

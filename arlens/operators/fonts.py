@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arlens.functions.text import font_key, py_strip
-from arlens.operators.sequence import running_sum
 
 LINE = ["report", "page_key", "block_no", "line_no"]
 # Fixed values of the heading rule: share < 0.05, more than 4 distinct texts,
@@ -15,17 +14,16 @@ MAX_SHARE, MIN_DISTINCT, MIN_MEAN, MAX_MEAN = 0.05, 4, 10, 500
 EXTENT_LEVELS = [0.8, 0.6, 0.4, 0.2]
 
 
-def font_entries(kept_spans: DataFrame, kept_blocks: DataFrame) -> DataFrame:
+def font_entries(kept_spans: DataFrame, offsets: DataFrame) -> DataFrame:
     """One entry per line in a single font, else one per span.
 
     Positions are offsets in the running document text (``getline`` of the
-    kept blocks): a single-font line gets the offset at its block's end, a
+    kept blocks, see ``boilerplate.offsets``): a single-font line gets the offset at its block's end, a
     mixed line's span gets that offset plus the running length of the line's
     span texts up to and including it.  Texts are stripped.  ``ord`` is the
     first-appearance order (page_key, block_no, line_no, span_no).
     """
-    ends = running_sum(kept_blocks, ["report"], "page_key", ["block_no"], "text_len", "end_off", inclusive=True)
-    ends = ends.select("report", "page_key", "block_no", "end_off")
+    ends = offsets.select("report", "page_key", "block_no", "end_off")
     wl = Window.partitionBy(*LINE)
     s = kept_spans.withColumn("font_key", font_key(F.col("font"), F.col("size"), F.col("color")))
     s = s.withColumn("_nk", F.size(F.collect_set("font_key").over(wl)))

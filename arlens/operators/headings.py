@@ -15,25 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arlens.functions.text import font_key, heading_key, styled
-from arlens.operators.sequence import running_sum
 
 # Fixed value: plain-text characters required between two headings.
 MIN_GAP = 1000
 ORD = ["page_key", "block_no", "line_no", "span_no"]
 
 
-def plain_offsets(kept_blocks: DataFrame) -> DataFrame:
-    """plain-text length before each block (``plain_len`` per block, see
-    ``boilerplate.blocks``: 1 + sum(len(text) + 2))."""
-    return running_sum(kept_blocks, ["report"], "page_key", ["block_no"], "plain_len", "plain_before", inclusive=False)
-
-
-def heading_candidates(kept_spans: DataFrame, heading: DataFrame, kept_blocks: DataFrame) -> DataFrame:
-    """Spans in the report's heading font with their block's plain offset and key."""
+def heading_candidates(kept_spans: DataFrame, heading: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Spans in the report's heading font with their block's plain offset (F2, see
+    ``boilerplate.offsets``) and key."""
     s = kept_spans.withColumn("font_key", font_key(F.col("font"), F.col("size"), F.col("color")))
     c = s.join(heading, "report").where(F.col("font_key") == F.col("heading_font"))
-    off = plain_offsets(kept_blocks).select("report", "page_key", "block_no", "plain_before")
-    c = c.join(off, ["report", "page_key", "block_no"])
+    c = c.join(offsets.select("report", "page_key", "block_no", "plain_before"), ["report", "page_key", "block_no"])
     return c.select(
         "report", *ORD, "plain_before", "text", "font",
         heading_key(styled(F.col("text"), F.col("font"))).alias("head_key"),

@@ -46,11 +46,11 @@ def section_pieces(blocks_html: DataFrame) -> DataFrame:
     """G12 on block level: each block's html split at ``<h1>``; piece j of a
     block belongs to section (number of <h1> before the block) + j.  Pieces of
     a section are joined in block order later."""
-    from arlens.operators.sequence import running_sum
+    from arlens.operators.sequence import running_sums
 
     n_h1 = ((F.length("html") - F.length(F.replace(F.col("html"), F.lit("<h1>"), F.lit("")))) / 4).cast("bigint")
     b = blocks_html.withColumn("n_h1", n_h1)
-    b = running_sum(b, ["report"], "page_key", ["block_no"], "n_h1", "h1_before", inclusive=False)
+    b = running_sums(b, ["report"], "page_key", ["block_no"], {"h1_before": ("n_h1", False)})
     return b.select(
         "report", "page_key", "block_no", "h1_before", F.posexplode(F.split("html", "<h1>", -1)).alias("j", "part")
     ).select("report", "page_key", "block_no", "j", (F.col("h1_before") + F.col("j")).alias("i"), "part")

@@ -9,25 +9,21 @@ a running sum inside each page, joined on (report, page).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sum(
-    df: DataFrame, part: list[str], page: str, inner: list[str], value: Column | str, out: str, inclusive: bool = True
-) -> DataFrame:
-    """Adds ``out`` = sum of ``value`` over rows of the same ``part`` that come
-    before (and, if ``inclusive``, at) each row in (page, *inner) order."""
-    v = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_v", v.cast("bigint"))
-    totals = d.groupBy(*part, page).agg(F.sum("_v").alias("_t"))
-    w_pages = Window.partitionBy(*part).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*part, page, F.coalesce(F.sum("_t").over(w_pages), F.lit(0)).alias("_base"))
-    end = 0 if inclusive else -1
-    w_in = Window.partitionBy(*part, page).orderBy(*inner).rowsBetween(Window.unboundedPreceding, end)
-    return (
-        d.join(base, [*part, page])
-        .withColumn(out, (F.col("_base") + F.coalesce(F.sum("_v").over(w_in), F.lit(0))).cast("bigint"))
-        .drop("_v", "_base")
-    )
-
+def running_sums(df: DataFrame, part: list[str], page: str, inner: list[str], sums: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Adds a column for each ``out: (value, inclusive)`` of ``sums``: the sum of
+    ``value`` over rows of the same ``part`` that come before (and, if
+    ``inclusive``, at) each row in (page, *inner) order.  All of them share one
+    pass: page totals, running totals of pages, and the sum inside the page."""
+    totals = df.groupBy(*part, page).agg(*[F.sum(v).alias(f"_t_{out}") for out, (v, _) in sums.items()])
+    before = Window.partitionBy(*part).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*part, page, *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums])
+    in_page = Window.partitionBy(*part, page).orderBy(*inner)
+    joined = df.join(base, [*part, page])
+    for out, (v, inclusive) in sums.items():
+        frame = in_page.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        joined = joined.withColumn(out, (F.col(f"_b_{out}") + F.coalesce(F.sum(v).over(frame), F.lit(0))).cast("bigint"))
+    return joined.drop(*[f"_b_{out}" for out in sums])

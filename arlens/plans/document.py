@@ -56,9 +56,14 @@ class DocPlan:
         """Spans of kept blocks of readable reports."""
         return materialize(self.spans.join(self.kept_ok.select(*BLOCK), BLOCK, "left_semi"))
 
+    @cached_property
+    def offsets(self) -> DataFrame:
+        """Text and plain offsets of the kept blocks; read by fonts and headings."""
+        return materialize(boilerplate.offsets(self.kept_ok))
+
     @cached_property
     def entries(self) -> DataFrame:
-        return fonts.font_entries(self.kept_spans, self.kept_ok)
+        return fonts.font_entries(self.kept_spans, self.offsets)
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -74,7 +79,7 @@ class DocPlan:
 
     @cached_property
     def accepted(self) -> DataFrame:
-        return headings.accept_headings(headings.heading_candidates(self.kept_spans, self.heading, self.kept_ok))
+        return headings.accept_headings(headings.heading_candidates(self.kept_spans, self.heading, self.offsets))
 
     @cached_property
     def block_html(self) -> DataFrame:

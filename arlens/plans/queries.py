@@ -8,6 +8,7 @@ columns 10), counts are bigint.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -543,15 +544,21 @@ def result_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q
 def result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result table's columns (ordinal, name, type) with the
-    number of non-null values stored in each."""
-    res = _result(spark, sf_dir).select(*R.RESULT_COLS)
-    counts = res.select(*[F.count(c).alias(c) for c in R.RESULT_COLS])
-    meta = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(res.schema.fields)]
-    stack = "stack({}, {}) as (ordinal, column_name, data_type, n_nonnull)".format(
-        len(meta), ", ".join(f"{i}, '{n}', '{t}', `{n}`" for i, n, t in meta))
-    return counts.selectExpr(stack).select(F.col("ordinal").cast("int"), "column_name", "data_type",
-                                           F.col("n_nonnull").cast("bigint"))
+    """The result table is created in the catalog, filled and dropped
+    again; its columns (ordinal, name, type) with the non-null values in each."""
+    from arlens.streaming import tables as CT
+
+    name = f"arlens_results_{uuid.uuid4().hex}"
+    columns = CT.create_result_table(spark, name, drop=True)
+    try:
+        _result(spark, sf_dir).select(*R.RESULT_COLS).write.insertInto(name)
+        stored = spark.table(name).agg(*[F.count(c).alias(c) for c, _ in columns]).first()
+    finally:
+        CT.drop_table(spark, name)
+    if CT.table_exists(spark, name):
+        raise RuntimeError(f"{name} was not dropped")
+    rows = [(i, c, t, stored[c]) for i, (c, t) in enumerate(columns)]
+    return spark.createDataFrame(rows, "ordinal int, column_name string, data_type string, n_nonnull bigint")
 
 
 @q
