@@ -15,9 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder of ``spark.checkpoint.dir``: the plan
-    below is cut, and later reads survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    below is cut, and later reads survive the loss of any executor.
+
+    Nothing needs the shuffle files below the cut any more.  Spark removes them
+    when the driver's JVM collects what refers to them, which an idle driver may
+    not do for half an hour, so a job of many steps asks for it here.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def utf8(column: pa.Array) -> list[bytes]:

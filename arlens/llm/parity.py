@@ -13,9 +13,10 @@ distance of two such sketches is a lower bound of the symmetric difference.
 What is left is verified on the sets.
 
 In a bucket of equal blocks every set is first compared with the bucket's
-smallest one only.  Buckets that still hold several components afterwards are
-compared in full between components, large ones split into squares of bounded
-side, so every link is found and no bucket's pairs are written out.
+smallest one only, then, where components still differ, with one drawn from the
+bucket.  Buckets that hold several components even then are compared in full
+between components, large ones split into squares of bounded side, so every link
+is found and no bucket's pairs are written out.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ SHINGLE = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR links two sets.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Greatest over least size of a band, and blocks for each difference allowed.
-BAND, BLOCKS = 1.7, 1.15
-#: Bits of the pruning sketch for each shingle, before rounding up to 2 ** n.
-SKETCH = 4
+BAND, BLOCKS = 1.7, 1.05
+#: Bits of the pruning sketch for each shingle, before rounding up to 2 ** n, and
+#: how far it is folded for buckets that are compared in full.
+SKETCH, FOLD = 4, 2
 #: Side of the squares into which a large bucket is split.
 SIDE = 2048
 #: Bytes of block rows that one task of the join gets.
@@ -154,7 +156,7 @@ def _scan(parts: int):
         hashes = _Hashes()
         for batch in batches:
             ids = batch.column(0)
-            size, name, text_hash, bits = [], [], [], []
+            size, name, text_hash, bits, coarse = [], [], [], [], []
             shown: dict[int, np.ndarray] = {}
             for raw in utf8(batch.column(1)):
                 s = shingles(raw, hashes)
@@ -162,10 +164,11 @@ def _scan(parts: int):
                 text_hash.append(xxhash.xxh3_64_intdigest(raw) >> 1)
                 name.append(set_name(s) if len(s) else None)
                 bits.append(sketch(s) if len(s) else None)
+                coarse.append(fold(bits[-1], max(1, len(bits[-1]) // 8 // FOLD)).tobytes() if len(s) else None)
                 if len(s) and name[-1] not in shown:
                     shown[name[-1]] = block_hashes(s)
             k = len(size)
-            yield _rows(ids, 0, np.arange(k) % parts, k, size=size, name=name, text_hash=text_hash, bits=bits)
+            yield _rows(ids, 0, np.arange(k) % parts, k, size=size, name=name, text_hash=text_hash, bits=bits, coarse=coarse)
             if not shown:
                 continue
             block = np.concatenate(list(shown.values())).astype(np.int64)
@@ -197,8 +200,8 @@ def _buckets(block: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return block, owner, np.repeat(owner[first], size), np.repeat(size > 1, size)
 
 
-_COLUMNS = [("kind", pa.int32()), ("part", pa.int64()), ("size", pa.int64()), ("name", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.binary()), ("block", pa.int64()), ("hub", pa.int64())]
-_TYPES = "kind int, part long, size long, name long, text_hash long, bits binary, block long, hub long"
+_COLUMNS = [("kind", pa.int32()), ("part", pa.int64()), ("size", pa.int64()), ("name", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.binary()), ("coarse", pa.binary()), ("block", pa.int64()), ("hub", pa.int64())]
+_TYPES = "kind int, part long, size long, name long, text_hash long, bits binary, coarse binary, block long, hub long"
 
 
 def _rows(ids: pa.Array, kind: int, part: np.ndarray, n: int, **given) -> pa.RecordBatch:
@@ -237,9 +240,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, row, column), with set, component, size, sketch and
-    side -> pairs of different components that the Hamming distance allows.  In a square off the
-    diagonal only its two sides are compared with each other."""
+    """Rows sorted by (block, row, column), with set, component, size, folded
+    sketch and side -> pairs of different components that the Hamming distance
+    allows.  In a square off the diagonal only its two sides are compared."""
     def square(name, comp, size, bits, side):
         n = len(name)
         if n < 2:
@@ -280,6 +283,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     sets are built and moved.
     """
     pairs = cut(pairs)
+    if pairs.isEmpty():
+        return pairs
     names = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
     asked = cut(names.join(sets.select("name", "text_hash"), "name"))
     bits = asked.select((F.col("text_hash") % FILTER_BITS).alias("c")).selectExpr("cast(c div 32 as int) w", "shiftleft(1L, cast(c % 32 as int)) v")
@@ -312,6 +317,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long"))
 
 
+def _mixed(member: DataFrame, label: DataFrame) -> DataFrame:
+    """(block, name, comp, n) of the buckets whose sets are of several components."""
+    known = member.join(label.withColumnRenamed("node", "name"), "name", "left").select("block", "name", F.coalesce("label", "name").alias("comp"))
+    several = known.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
+    return known.join(several.select("block", "n"), "block")
+
+
 def _squares(rows: DataFrame) -> DataFrame:
     """Bucket rows with (row, column, side) of each square they are in: one
     square for a bucket of up to SIDE sets, else all squares of its chunks."""
@@ -338,21 +350,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * 4 / 3 / TASK_BYTES))
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T._parse_datatype_string(_TYPES).fields])
     met = cut(docs.mapInArrow(_scan(parts * 8), schema).repartition(parts, "part").mapInArrow(_meet, schema))
-    rows = met.filter("kind = 0").select("id", "size", "name", "text_hash", "bits")
-    bucket = met.filter("kind = 2").select("block", "name", "hub").distinct()
-    in_bucket = bucket.select("name").distinct()
-    sets = cut(rows.filter("size > 0").groupBy("name").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.any_value("bits").alias("bits")).join(in_bucket, "name"))
+    rows = met.filter("kind = 0").select("id", "size", "name", "text_hash", "bits", "coarse")
+    member = cut(met.filter("kind = 2").select("block", "name").distinct())
+    sets = cut(rows.filter("size > 0").groupBy("name").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.any_value("bits").alias("bits"), F.any_value("coarse").alias("coarse")).join(member.select("name").distinct(), "name"))
     side = lambda c, x: sets.select(F.col("name").alias(c), F.col("size").alias("n" + c), F.col("bits").alias(x))
-    stars = bucket.filter("name != hub").select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()
-    near = stars.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near, "a long, b long")
-    links = _verify(near, sets, docs)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verify(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near, "a long, b long"), sets, docs)
+
+    links = verified(met.filter("kind = 2 and name != hub").select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct())
     label = components(links)
-    # buckets that still hold several components, compared across these
-    known = bucket.select("block", "name").distinct().join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("label", "name"))
-    several = known.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("block", "n")
-    left = _squares(known.join(several, "block")).join(sets.select("name", "size", "bits"), "name").select("block", "row", "column", "name", "comp", "size", "bits", "side")
-    cross = left.repartition("block", "row", "column").sortWithinPartitions("block", "row", "column").mapInArrow(_across, "a long, b long").distinct()
-    more = _verify(cross, sets, docs)
+    # another member of each bucket, drawn by a hash of both: a set whose buckets
+    # are led by sets just too far away meets as many others as it has buckets
+    mixed = cut(_mixed(member, label))
+    drawn = mixed.groupBy("block").agg(F.min_by(F.struct("name", "comp"), F.xxhash64("block", "name")).alias("drawn"))
+    more = verified(mixed.join(drawn, "block").filter("comp != drawn.comp").select(F.col("drawn.name").alias("a"), F.col("name").alias("b")).distinct())
+    if not more.isEmpty():
+        links = cut(links.union(more))
+        label = components(links)
+        mixed = cut(_mixed(mixed.select("block", "name"), label))
+    # buckets that still hold several components, compared in full across these
+    left = _squares(mixed).join(sets.select("name", "size", "coarse"), "name").select("block", "row", "column", "name", "comp", "size", "coarse", "side")
+    more = verified(left.repartition("block", "row", "column").sortWithinPartitions("block", "row", "column").mapInArrow(_across, "a long, b long").distinct())
     if not more.isEmpty():
         label = components(links.union(more))
     linked_sets = label.withColumnRenamed("node", "name").join(sets.select("name", "first"), "name")
