@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        wide = _stars(edges.union(back), True).union(edges.filter("false")).distinct()
+        wide = _stars(edges.union(back), True).distinct()
         edges = cut(_stars(wide, False).distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == mark:

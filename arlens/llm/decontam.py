@@ -31,6 +31,9 @@ HALF = 32
 THRESHOLD = 0.6
 OVERLAP = 0.5
 GRAM = 3
+#: An item of fewer words is common speech: it counts as held only by a text that
+#: is the item and nothing else.
+SHORT = 4
 K1, B = 1.2, 0.75
 BLOCK = 4
 #: Bytes of item texts in one index shard: the bound of what is sent to tasks.
@@ -190,6 +193,8 @@ class Index:
                 if i in best and best[i][1] >= score:
                     continue
                 item, question, answer, size = self.items[i]
+                if size < SHORT and words != [*question, *answer]:
+                    continue
                 region = words[max(0, k * HALF - size):(k + 2) * HALF + size]
                 q, a = held(question, region), held(answer, region)
                 if q >= overlap and a >= overlap:

@@ -18,7 +18,7 @@ def op1_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; fold 2 of 4 is held out of the fit."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(_fold(4) != 2).select("doc_id", F.col("quality").alias("label")))
-    scored = docs.select("doc_id", (_fold(4) == 2).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.KEEP).cast("int"))
 
 
@@ -61,7 +61,7 @@ def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; fold 0 of 5 is held out of the fit."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label")))
-    scored = docs.select("doc_id", (_fold(5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -22,7 +22,7 @@ from arlens.llm.common import cut
 
 #: Rows that one range should hold, the least number of ranges for each shard,
 #: and sampled keys for each range.  The driver sees about SAMPLE keys a range.
-ROWS_PER_RANGE = 500_000
+ROWS_PER_RANGE = 2_000_000
 RANGES_PER_SHARD = 8
 SAMPLE = 24
 #: A range is overfull beyond this many times the mean of all ranges.

@@ -63,7 +63,7 @@ def test_quality_density_matches_direct_formula():
 
 def test_toxicity_on_held_out_rows(spark):
     got = held_out(spark, "op6_kneser_ney_toxicity", "toxic", "/root/testdata/sf0.1")
-    assert auc(got.score, got.toxic) > 0.9 and (got.predicted == got.toxic).mean() > 0.93
+    assert auc(got.score, got.toxic) > 0.92 and (got.predicted == got.toxic).mean() > 0.93
 
 
 def test_base_rules(texts):

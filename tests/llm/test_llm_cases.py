@@ -141,6 +141,9 @@ def test_sharding(messy, empty):
 def test_decontamination(messy, empty, benchmark):
     got = {r["doc_id"]: {x["item_id"] for x in r["l"]} for r in messy.filter("text is not null").select("doc_id", decontam.leaks(F.col("text"), benchmark).alias("l")).collect()}
     assert got[5] == {None} and got[4] == set() and got[2] == set()
+    short = benchmark.limit(0).unionByName(benchmark.sparkSession.createDataFrame([(7, "One, two THREE."), (8, "the")], benchmark.schema))
+    few = {r["doc_id"]: {x["item_id"] for x in r["l"]} for r in messy.filter("text is not null").select("doc_id", decontam.leaks(F.col("text"), short).alias("l")).collect()}
+    assert few[8] == {7} and few[5] == set()
     assert messy.select(decontam.leaks(F.col("text"), benchmark.filter("false")).alias("l")).filter("size(l) > 0").count() == 0
     assert empty.select(decontam.leaks(F.col("text"), benchmark)).count() == 0
 
