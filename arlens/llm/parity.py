@@ -147,7 +147,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _scan(parts: int):
     """Texts -> rows of documents (kind 0), of blocks dealt to ``parts`` (kind 1)
-    and of buckets that this batch alone has filled (kind 2).
+    and of buckets that this batch alone has filled (kind 2, packed).
 
     Blocks are combined here: a set is shown once a batch, and a block that
     several sets of the batch share is passed on for the smallest of them only.
@@ -175,7 +175,7 @@ def _scan(parts: int):
             owner = np.repeat(np.array(list(shown), dtype=np.int64), [len(x) for x in shown.values()])
             block, owner, hub, many = _buckets(block, owner)
             if many.any():
-                yield _rows(ids, 2, np.arange(many.sum()) % parts, int(many.sum()), block=block[many], name=owner[many], hub=hub[many])
+                yield _rows(ids, 2, np.abs(block[:1]) % parts, 1, bits=[np.stack([block[many], owner[many], hub[many]], axis=1).tobytes()])
             lead = owner == hub
             block, owner = block[lead], owner[lead]
             part = (block.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
@@ -200,8 +200,8 @@ def _buckets(block: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return block, owner, np.repeat(owner[first], size), np.repeat(size > 1, size)
 
 
-_COLUMNS = [("kind", pa.int32()), ("part", pa.int64()), ("size", pa.int64()), ("name", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.binary()), ("coarse", pa.binary()), ("block", pa.int64()), ("hub", pa.int64())]
-_TYPES = "kind int, part long, size long, name long, text_hash long, bits binary, coarse binary, block long, hub long"
+_COLUMNS = [("kind", pa.int32()), ("part", pa.int64()), ("size", pa.int64()), ("name", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.binary()), ("coarse", pa.binary())]
+_TYPES = "kind int, part long, size long, name long, text_hash long, bits binary, coarse binary"
 
 
 def _rows(ids: pa.Array, kind: int, part: np.ndarray, n: int, **given) -> pa.RecordBatch:
@@ -224,7 +224,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         block, owner, hub, many = _buckets(pairs[:, 0], pairs[:, 1])
         for at in np.array_split(np.flatnonzero(many), max(1, many.sum() // 100_000)):
-            yield _rows(ids, 2, np.zeros(len(at)), len(at), block=block[at], name=owner[at], hub=hub[at])
+            yield _rows(ids, 2, np.zeros(1), 1, bits=[np.stack([block[at], owner[at], hub[at]], axis=1).tobytes()])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket rows that ``_scan`` and ``_meet`` have packed."""
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            rows = np.frombuffer(packed, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["block", "name", "hub"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +359,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T._parse_datatype_string(_TYPES).fields])
     met = cut(docs.mapInArrow(_scan(parts * 8), schema).repartition(parts, "part").mapInArrow(_meet, schema))
     rows = met.filter("kind = 0").select("id", "size", "name", "text_hash", "bits", "coarse")
-    member = cut(met.filter("kind = 2").select("block", "name").distinct())
+    bucket = met.filter("kind = 2").select("bits").mapInArrow(_unpack, "block long, name long, hub long")
+    member = cut(bucket.select("block", "name").distinct())
     sets = cut(rows.filter("size > 0").groupBy("name").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.any_value("bits").alias("bits"), F.any_value("coarse").alias("coarse")).join(member.select("name").distinct(), "name"))
     side = lambda c, x: sets.select(F.col("name").alias(c), F.col("size").alias("n" + c), F.col("bits").alias(x))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _verify(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near, "a long, b long"), sets, docs)
 
-    links = verified(met.filter("kind = 2 and name != hub").select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct())
+    links = verified(bucket.filter("name != hub").select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct())
     label = components(links)
     # another member of each bucket, drawn by a hash of both: a set whose buckets
     # are led by sets just too far away meets as many others as it has buckets
