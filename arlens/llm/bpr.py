@@ -8,7 +8,9 @@ single run are done.  Runs that are equal as a whole are one class with a
 weight.  Classes that differ are told apart by bucket-pointer refinement: the
 positions of a bucket's runs start in buckets of their first 8 bytes and are
 refined by sorting on the bucket at a later offset; each pass reuses the buckets
-that the last one made, so the depth doubles to LENGTH.
+that the last one made, so the depth doubles to LENGTH.  A bucket of too many
+runs or bytes for one task is not collected: its windows are counted by their
+128-bit hashes, and those that occur once are known by the one run they are in.
 
 Texts stay where they are: scans send hashes, then the runs of mixed buckets,
 then the texts that are cut in part.
@@ -31,9 +33,13 @@ from arlens.llm.common import cut, utf8
 
 LENGTH = 400
 GRAM = 32
-#: Grams of a second split, for buckets of more than CROWD different runs.
+#: Buckets of more than CROWD different runs, or of more than CHUNK bytes of them,
+#: are decided by window hashes.  FINE is no longer read; a test sets it.
 FINE, CROWD = 320, 4096
-#: Bytes that are refined together, and of run rows that one task gets.
+#: Windows in one batch of hashes.
+WINDOWS = 100_000
+#: Bytes that are refined together (twice that at most), and of run rows that one
+#: task gets.
 CHUNK = 2_000_000
 TASK_BYTES = 24_000_000
 #: Longest part of a text that is cut into runs at once; parts overlap.
@@ -226,11 +232,16 @@ def _has(table: np.ndarray, value: int) -> bool:
     return bool(table[c // 32] >> (c % 32) & 1)
 
 
+def _edges(alike: np.ndarray) -> list[list[int]]:
+    """(start, end) of the stretches of ones."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], alike, [0]]))).reshape(-1, 2).tolist()
+
+
 def _alike(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(key, f0, f1, first, last): windows of the asked classes of weight 1 that
     equal a window of another run of the same bucket, or of their own run.
 
-    asked: key, f0, f1, weight, kinds (different runs in the bucket).
+    asked: key, f0, f1, weight, windows, big (the bucket is too large for a task).
     """
     table = _filter_of(asked, "f0")
 
@@ -245,29 +256,60 @@ def _alike(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(list(out.values()), pa.binary())], ["key", "f0", "f1", "bytes"])
 
     got = texts.mapInArrow(fetch, "key long, f0 long, f1 long, bytes binary").join(asked, ["key", "f0", "f1"])
-    one = got.groupBy("key", "f0", "f1", "weight", "kinds").agg(F.any_value("bytes").alias("bytes"))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs with the bucket they are refined in and their offset: crowded
-        buckets are split by the least hash of a longer gram."""
+    one = got.groupBy("key", "f0", "f1", "weight", "big").agg(F.any_value("bytes").alias("bytes"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each window: its hash, its weight and where it is."""
+        def close() -> pa.RecordBatch:
+            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            many = [n for *_, n in runs_held]
+            of = [np.repeat([r[k] for r in runs_held], many) for k in range(4)]
+            at = of[3] + np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h[:, 0], h[:, 1], of[2], of[0], of[1], at)], ["h0", "h1", "n", "f0", "f1", "at"])
+
+        digest = xxhash.xxh3_128_digest
+        digests: list[bytes] = []
+        runs_held: list[tuple[int, int, int, int, int]] = []
+        for batch in batches:
+            for f0, f1, weight, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                n = len(raw) - length + 1
+                for lo in range(0, n, WINDOWS):
+                    hi = min(lo + WINDOWS, n)
+                    digests += [digest(raw[i:i + length]) for i in range(lo, hi)]
+                    runs_held.append((f0, f1, weight, lo, hi - lo))
+                    if len(digests) >= WINDOWS:
+                        yield close()
+                        digests, runs_held = [], []
+        if digests:
+            yield close()
+
+    # counts are combined before they move; a window that occurs once needs no way back to several runs
+    window = one.filter("big").select("f0", "f1", "weight", "bytes").mapInArrow(hashes, "h0 long, h1 long, n long, f0 long, f1 long, at long")
+    once = window.groupBy("h0", "h1").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("f0", "f1", "at"))).filter("n = 1")
+    alone = once.groupBy("f0", "f1").agg(F.collect_list("at").alias("alone"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each run that do not occur once."""
         for batch in batches:
             out = []
-            for key, f0, f1, weight, kinds, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                pieces = [(key, 0, len(raw) - length + 1)] if kinds <= CROWD else [(k ^ key, lo, n) for k, lo, n, _ in runs(raw, length, FINE)]
-                out += [(b, key, f0, f1, weight, lo, raw[lo:lo + n + length - 1]) for b, lo, n in pieces]
-            columns = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["bucket", "key", "f0", "f1", "weight", "lo", "bytes"])
+            for key, f0, f1, n, alone in zip(*(c.to_pylist() for c in batch.columns)):
+                alike = np.ones(n, np.int8)
+                alike[np.array(alone or [], np.int64)] = 0
+                out += [(key, f0, f1, a, b - 1) for a, b in _edges(alike)]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "f0", "f1", "first", "last"])
 
-    pieces = one.select("key", "f0", "f1", "weight", "kinds", "bytes").mapInArrow(split, "bucket long, key long, f0 long, f1 long, weight long, lo long, bytes binary")
+    spans = "key long, f0 long, f1 long, first long, last long"
+    large = asked.filter("big and weight = 1").join(alone, ["f0", "f1"], "left").select("key", "f0", "f1", "windows", "alone").mapInArrow(others, spans)
+    small = one.filter("not big").select("key", "f0", "f1", "weight", "bytes")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: list[tuple]) -> pa.RecordBatch:
-            found = refine([r[6] for r in rows], np.array([r[4] for r in rows]), length)
+            found = refine([r[4] for r in rows], np.array([r[3] for r in rows]), length)
             out = []
-            for (_, key, f0, f1, weight, lo, _), alike in zip(rows, found):
+            for (key, f0, f1, weight, _), alike in zip(rows, found):
                 if weight == 1:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], alike.view(np.int8), [0]])))
-                    out += [(key, f0, f1, lo + a, lo + b - 1) for a, b in edge.reshape(-1, 2).tolist()]
+                    out += [(key, f0, f1, a, b - 1) for a, b in _edges(alike.view(np.int8))]
             columns = list(zip(*out)) or [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "f0", "f1", "first", "last"])
 
@@ -279,11 +321,11 @@ def _alike(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     yield close(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[6])
+                held += len(row[4])
         if rows:
             yield close(rows)
 
-    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "key long, f0 long, f1 long, first long, last long")
+    return small.repartition("key").sortWithinPartitions("key").mapInArrow(solve, spans).union(large)
 
 
 def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
@@ -318,10 +360,11 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = met.filter("kind = 0").select("id", "size", "sha256", "t0", "t1")
     copies = rows.groupBy("t0", "t1").agg(F.count("*").alias("copies"))
     occurring = cut(met.filter("kind = 2").select("key", "f0", "f1", "t0", "t1", "lo", "windows", "own").distinct().join(copies, ["t0", "t1"]))
-    classes = occurring.groupBy("key", "f0", "f1").agg(F.sum("copies").alias("weight"), F.max("own").alias("own"))
+    classes = occurring.groupBy("key", "f0", "f1").agg(F.sum("copies").alias("weight"), F.max("own").alias("own"), F.max("windows").alias("windows"))
     # of a class only its weight beyond one counts: it stands for "several"
-    buckets = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least"), F.max("own").alias("any_own"))
-    asked = cut(classes.join(buckets.filter("least = 1 and (kinds > 1 or any_own > 0)"), "key").select("key", "f0", "f1", F.least("weight", F.lit(2)).cast("long").alias("weight"), "kinds"))
+    buckets = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("weight").alias("least"), F.max("own").alias("any_own"), F.sum(F.col("windows") + (length - 1)).alias("bytes"))
+    big = ((F.col("kinds") > CROWD) | (F.col("bytes") > CHUNK)).alias("big")
+    asked = cut(classes.join(buckets.filter("least = 1 and (kinds > 1 or any_own > 0)"), "key").select("key", "f0", "f1", F.least("weight", F.lit(2)).cast("long").alias("weight"), "windows", big))
     some = _alike(asked, texts, length)
     # rows with copies are removed whole below; the others get their spans
     single = occurring.filter("copies = 1").drop("own", "copies")

@@ -207,6 +207,30 @@ def test_substrings_small(spark, crowd, chunk, monkeypatch):
         assert (got[i]["kept"] if spans else texts[i].encode()) == kept
 
 
+@pytest.mark.parametrize("crowd", [4096, 50])
+def test_substrings_of_one_passage_in_many_texts(spark, crowd, monkeypatch):
+    """The bucket of a passage's edges grows with the texts that hold it; no
+    task refines more than a fixed number of bytes."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(n))
+    shared = word(130)
+    texts = [word(100) + shared[:int(rng.integers(380, 600))] + word(100) for _ in range(300)] + ["ab" * 9000, "ab" * 200 + word(90)]
+    refine, most = bpr.refine, 20_000
+
+    def bounded(rows, *args):
+        assert sum(map(len, rows)) <= 2 * most, "a task refines more than its bound"
+        return refine(rows, *args)
+
+    monkeypatch.setattr(bpr, "refine", bounded)
+    monkeypatch.setattr(bpr, "CROWD", crowd)
+    monkeypatch.setattr(bpr, "CHUNK", most)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in bpr.repeated_substrings(df).collect()}
+    for i, (spans, kept) in enumerate(removed_by_all_windows(texts, 400)):
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == spans, i
+        assert (got[i]["kept"] if spans else texts[i].encode()) == kept
+
+
 def test_substrings_query(spark, texts):
     got = queries.op4_bucket_pointer_refinement(spark, SF_SMALL).toPandas().set_index("doc_id")
     for (i, t), (spans, kept) in zip(texts.items(), removed_by_all_windows(texts, 400)):
