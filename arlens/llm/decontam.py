@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arlens.llm.common import cut
+
 UNIT = 32
 #: Words of half a passage; passages overlap by half, so that every run of up
 #: to HALF words lies in one of them whole.
@@ -38,6 +40,8 @@ K1, B = 1.2, 0.75
 BLOCK = 4
 #: Bytes of item texts in one index shard: the bound of what is sent to tasks.
 SHARD_BYTES = 16_000_000
+#: Cells (halves of a text by blocks of the index) whose bounds are held at once.
+CELLS = 1 << 17
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -165,13 +169,23 @@ class Index:
 
         half, term: the different terms of each half, by half.
         """
-        first = self.wide_start[term]
-        many = self.wide_start[term + 1] - first
-        ends = np.cumsum(many)
-        entry = np.arange(ends[-1]) + np.repeat(first - (ends - many), many)
-        halves = int(half[-1]) + 2
-        bound = np.bincount(np.repeat(half, many) * self.blocks + self.wide_block[entry], self.wide_most[entry], minlength=halves * self.blocks).reshape(halves, self.blocks)
-        return np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= least)
+        passages = int(half[-1]) + 1
+        step = max(1, CELLS // self.blocks)
+        last = np.zeros((1, self.blocks))  # bounds of the half before the slice
+        found = []
+        for lo in range(0, passages + 1, step):
+            rows = min(step, passages + 1 - lo)
+            a, b = np.searchsorted(half, [lo, lo + rows])
+            first = self.wide_start[term[a:b]]
+            many = self.wide_start[term[a:b] + 1] - first
+            ends = np.cumsum(many)
+            entry = np.arange(many.sum()) + np.repeat(first - (ends - many), many)
+            cell = np.repeat(half[a:b] - lo, many) * self.blocks + self.wide_block[entry]
+            bound = np.concatenate([last, np.bincount(cell, self.wide_most[entry], minlength=rows * self.blocks).reshape(rows, self.blocks)])
+            last = bound[-1:].copy()
+            at = np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= least) + lo - 1
+            found.append(at[at >= 0])  # before the text there is no passage
+        return np.concatenate(found)
 
     def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
         """(item, score, first word of the passage, question and answer overlap)
@@ -216,20 +230,48 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 _LEAKS = "array<struct<item_id:long,score:double,first_word:long,question_overlap:double,answer_overlap:double>>"
 
 
+def _index(part: DataFrame) -> Index:
+    return Index([(r["item"], r["text"]) for r in part.orderBy("text", "item").collect()])
+
+
+def _finder(text: Column, index: Index, threshold: float, overlap: float) -> Column:
+    @F.arrow_udf(_LEAKS)
+    def find(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+        names = [f.name for f in kind.value_type]
+        return pa.array([[dict(zip(names, x)) for x in index.leaks(t, threshold, overlap)] for t in texts.to_pylist()], kind)
+
+    return find(text.cast("string"))
+
+
 def leaks(text: Column, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, **items) -> Column:
     """Items of ``benchmark`` that a text holds, as an array of structs.
 
     Null and empty texts and items hold nothing; a null item id stays null;
-    repeated items are reported each.  Texts are read whole.
+    repeated items are reported each.  Texts are read whole.  As one expression
+    it holds the indexes of all shards at once; ``found_items`` and
+    ``drop_holders`` hold one.
     """
-    def finder(index: Index) -> Column:
-        @F.arrow_udf(_LEAKS)
-        def find(texts: pa.Array) -> pa.Array:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-            names = [f.name for f in kind.value_type]
-            return pa.array([[dict(zip(names, x)) for x in index.leaks(t, threshold, overlap)] for t in texts.to_pylist()], kind)
+    found = [_finder(text, _index(part), threshold, overlap) for part in shards(benchmark, **items)]
+    return reduce(lambda a, b: F.concat(a, b), found) if found else F.array().cast(_LEAKS)
 
-        return find(text.cast("string"))
 
-    found = [finder(Index([(r["item"], r["text"]) for r in part.orderBy("text", "item").collect()])) for part in shards(benchmark, **items)]
-    return reduce(lambda a, b: F.concat(a, b), found) if found else F.array().cast(_LEAKS)
+def found_items(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **items) -> DataFrame:
+    """The columns ``keep`` and an item's, a row for each item that a row holds;
+    one shard after another, each shard's rows kept before the next is indexed."""
+    parts = shards(benchmark, **items)
+    text = F.col(f"`{text_col}`")
+    out = [docs.select(*keep, F.inline(F.array().cast(_LEAKS)))] if not parts else []
+    for k, part in enumerate(parts, 1):
+        found = docs.select(*keep, F.inline(_finder(text, _index(part), threshold, overlap)))
+        out.append(cut(found) if k < len(parts) else found)
+    return reduce(DataFrame.union, out)
+
+
+def drop_holders(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **items) -> DataFrame:
+    """Rows that hold no item; one shard after another, over what the last left."""
+    parts = shards(benchmark, **items)
+    for k, part in enumerate(parts, 1):
+        docs = docs.filter(F.size(_finder(F.col(f"`{text_col}`"), _index(part), threshold, overlap)) == 0)
+        docs = cut(docs) if k < len(parts) else docs
+    return docs

@@ -92,8 +92,7 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each benchmark item that a document holds."""
-    found = decontam.leaks(F.col("text"), table(spark, sf_dir, "benchmark"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found))
+    return decontam.found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
 QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op4_bucket_pointer_refinement, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}

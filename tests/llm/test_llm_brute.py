@@ -410,6 +410,46 @@ def test_decontamination_of_edited_passages_and_index_shards(spark):
         assert [[x["item_id"] for x in r["l"]] for r in got] == [[0], [], []]
 
 
+def test_decontamination_holds_one_shard_at_once(spark, monkeypatch):
+    """Query and stage index the shards in turn, with the hits of a single index."""
+    import gc
+
+    docs, bench = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "benchmark"))
+    whole = {(r["doc_id"], r["item_id"]) for r in queries.op10_block_max_wand(spark, SF).collect()}
+    index, shards, alive = decontam.Index, decontam.shards, []
+
+    def build(items):
+        gc.collect()
+        alive.append(sum(isinstance(x, index) for x in gc.get_objects()))
+        return index(items)
+
+    monkeypatch.setattr(decontam, "Index", build)
+    monkeypatch.setattr(decontam, "shards", lambda b, **kw: shards(b, shard_bytes=8000))
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op10_block_max_wand(spark, SF).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, SF).select("doc_id").collect()}
+    assert got == whole and kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in whole}
+    assert len(alive) >= 4 and max(alive) == alive[0]  # two shards or more, twice
+
+
+def test_decontamination_memory_of_a_long_text():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    vocabulary = np.array([f"w{k}" for k in range(400)])
+    items = [(k, " ".join(rng.choice(vocabulary, 40))) for k in range(2000)]
+    index = decontam.Index(items)
+    words = rng.choice(vocabulary, 16_000).tolist()
+    for k in (100, 8000, 15_900):
+        words[k:k] = items[k % 2000][1].split()
+    tracemalloc.start()
+    try:
+        found = {x[0] for x in index.leaks(" ".join(words))}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {100, 0, 1900} <= found and peak < 40_000_000
+
+
 def test_pipeline_against_stages_by_hand(spark):
     """run() keeps what its stages' decisions, taken apart, say."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
