@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import bands, bpr, decontam, editcount, packing, parity, quality, secrets, sharding, toxicity
+from arlens.llm import bands, bpr, decontam, editcount, packing, parity, quality, resampling, secrets, sharding, spelling, toxicity
 from arlens.llm.common import table
 
 
@@ -95,5 +95,15 @@ def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.found_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op4_bucket_pointer_refinement, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand)}
+def op11_trie_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, form and root."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards ``benchmark``."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op4_bucket_pointer_refinement, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand, op11_trie_node_pairs, op12_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {}
