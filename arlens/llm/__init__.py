@@ -1,6 +1,6 @@
 """Training-data operators: quality, rules, near duplicates, substrings, token
-counts, toxicity, packing, secrets, sharding, decontamination, spelling variants
-and resampling.
+counts, toxicity, packing, secrets, sharding, decontamination, spelling variants,
+resampling and language-model scores.
 
 Functions of this subpackage are shipped to Python workers by value, so the
 executors need no installed copy of it.

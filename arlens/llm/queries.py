@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import bands, bpr, decontam, editcount, packing, parity, quality, resampling, secrets, sharding, spelling, toxicity
+from arlens.llm import bands, bpr, decontam, editcount, packing, parity, quality, recurrent, resampling, secrets, sharding, spelling, toxicity
 from arlens.llm.common import table
 
 
@@ -105,5 +105,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op4_bucket_pointer_refinement, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand, op11_trie_node_pairs, op12_importance_resampling)}
+def op13_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; fold 2 of 7 is held out of the fit."""
+    held_out = F.coalesce(_fold(7) == 2, F.lit(False))
+    return recurrent.score_documents(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
+QUERIES = {f.__name__: f for f in (op1_quadratic_discriminant, op2_compression_bands, op3_parity_sketch_join, op4_bucket_pointer_refinement, op5_edit_aware_counts, op6_kneser_ney_toxicity, op7_best_fit_packing, op8_structural_secrets, op9_sampled_splitters, op10_block_max_wand, op11_trie_node_pairs, op12_importance_resampling, op13_gated_recurrent_lm)}
 ORACLE_SQL: dict[str, str] = {}
