@@ -127,6 +127,7 @@ def number_in_order(rows: DataFrame, order: list[Column], out: str) -> DataFrame
     their sizes (one number a partition comes to the driver) and the place
     within each; no task holds more than one range."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows)  # choosing the ranges reads the rows once more
     held = cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     before, total = {}, 0
     for r in held.groupBy("_part").count().orderBy("_part").collect():
@@ -151,8 +152,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     gains = bucket_gains(bucket_counts(docs, text_col), bucket_counts(target, text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("key"), weigh(F.col(f"`{text_col}`"), gains).alias("w"))
     rows = rows.select("key", (F.col("w.n_words") >= LEAST_WORDS).alias("able"), "w.n_features", "w.weight", (F.col("w.weight") + noise(F.col("key"))).alias("score"))
-    placed = number_in_order(rows, [F.col("able").desc(), F.col("score").desc(), F.col("key").asc_nulls_last()], "place")
-    placed = cut(placed)
+    placed = cut(number_in_order(rows, [F.col("able").desc(), F.col("score").desc(), F.col("key").asc_nulls_last()], "place"))
     able = placed.filter("able").count()
     drawn = F.col("able") & (F.col("place") <= percent * able // 100)
     return placed.select(F.col("key").alias(id_col), "n_features", "weight", "score", F.when(drawn, F.col("place")).alias("rank"))
