@@ -1,24 +1,25 @@
 """Numeric tables rebuilt from span geometry.
 
-Everything is per page (a page holds at most one table), so every window is
-partitioned by (report, page) and no task ever holds more than a page.  The
-interval step is quadratic in the spans of a page (as in the reference), but
-only over the numeric extent of the page (F6 runs first).
+Everything is per page (a page holds at most one table).  The spans within the
+numeric extent of a page meet in one task by one exchange; groups, grid, trim,
+numeric test and markdown then come from one pass over them (``grid``), from
+which cells, tables and markdown are read off.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arlens.functions.text import cell_text, is_number_row, is_number_table
+from arlens.operators import grid
 
 PAGE = ["report", "page_no"]
 # Fixed values of the extent rule: keep 6 spans before the first number and 4
-# after the last; the first span of a page is never in a table (Z15).  A table
-# is numeric above this share of numbers.
+# after the last; the first span of a page is never in a table.
 BEFORE, AFTER = 6, 5
-NUMERIC_SHARE = 0.2
 DIV_OPEN = '\n<div class="markdown-table">\n'
 DIV_CLOSE = "\n</div>\n"
 
@@ -41,7 +42,9 @@ def numeric_cells(spans: DataFrame) -> DataFrame:
 def table_extent(spans: DataFrame) -> DataFrame:
     """Spans of a page in order (idx), restricted to
     [max(1, first-6), min(last+5, n)) around the first and last numeric span
-    (S1); pages with fewer than 3 positions between them give no rows."""
+    (S1); pages with fewer than 3 positions between them give no rows.  The
+    spans of a page are in one partition."""
+    spans = spans.repartition(*PAGE)
     w = Window.partitionBy(*PAGE).orderBy("block_no", "line_no", "span_no")
     wp = Window.partitionBy(*PAGE)
     s = spans.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
@@ -57,125 +60,62 @@ def table_extent(spans: DataFrame) -> DataFrame:
     return s.where(keep).drop("_num", "_n", "_f", "_l")
 
 
-def _cover(df: DataFrame, a: str, b: str, cut: str | None, out: str) -> DataFrame:
-    """Cover count at each position p in start order: spans q <= p with b_q >= a_p
-    (and q >= cut when p >= cut)."""
-    w = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.collect_list(F.struct(F.col("pos").alias("q"), F.col(b).alias("b"))).over(w)
-    if cut is None:
-        cond = lambda z: z["b"] >= F.col(a)
-    else:
-        cond = lambda z: (z["b"] >= F.col(a)) & (F.col(cut).isNull() | (F.col("pos") < F.col(cut)) | (z["q"] >= F.col(cut)))
-    return df.withColumn(out, F.size(F.filter(prev, cond)).cast("bigint"))
+def _in_order(spans: DataFrame, *more) -> DataFrame:
+    """The extent's spans, page by page in order, with what ``grid`` reads."""
+    ext = table_extent(spans).select(*PAGE, "idx", "x0", "x1", "y0", "y1", *more)
+    return ext.sortWithinPartitions(*PAGE, "idx")
 
 
-def interval_groups(ext: DataFrame, axis: str) -> DataFrame:
-    """D7/F4/F5 on one axis ('x' or 'y'): group number of every start coordinate.
+def _key(spans: DataFrame) -> str:
+    return ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in PAGE)
 
-    Spans sorted by start; cover counts; the cut is the first position p >= 2
-    whose count is below the one before it (a drop at position 1 is ignored);
-    links across the cut are removed and counts recomputed; a new group starts
-    where the count does not grow.  Several spans with the same start take the group of the last.
-    Returns (report, page_no, coord, grp).
-    """
-    a, b = f"{axis}0", f"{axis}1"
-    w = Window.partitionBy(*PAGE).orderBy(a, "idx")
-    wo = Window.partitionBy(*PAGE).orderBy("pos")
-    wp = Window.partitionBy(*PAGE)
-    s = ext.select(*PAGE, "idx", a, b).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
-    s = _cover(s, a, b, None, "c1")
-    drop = (F.col("pos") >= 2) & (F.col("c1") < F.lag("c1", 1).over(wo))
-    s = s.withColumn("cut", F.min(F.when(drop, F.col("pos"))).over(wp))
-    s = _cover(s, a, b, "cut", "c2")
-    d = F.col("c2") - F.coalesce(F.lag("c2", 1).over(wo), F.lit(0))
-    s = s.withColumn("grp", F.sum(F.when((F.col("pos") > 0) & (d <= 0), 1).otherwise(0)).over(wo.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy(*PAGE, F.col(a).alias("coord")).agg(F.max_by("grp", "pos").cast("bigint").alias("grp"))
-
-
-def table_cells(ext: DataFrame) -> DataFrame:
-    """Compacted long-form grid (report, page_no, row, col, text, block_no).
-
-    Cell = (y group, x group) of the span's start; last write wins (by idx);
-    '', ' ', '  ' become empty; empty columns then empty rows are removed by
-    dense ranking the non-empty ones.  Blank cells stay as rows with null text
-    (they still count in the numeric test) when their row and column survive.
+
+def interval_cover(spans: DataFrame) -> DataFrame:
+    """(report, page_no, axis, idx, cover) of the spans of each page's extent:
+    how many spans that start no later (the span itself included) reach its
+    start, on both axes."""
+    return _in_order(spans).mapInArrow(grid.cover_batches, f"{_key(spans)}, axis string, idx long, cover long")
+
+
+def interval_groups(spans: DataFrame) -> DataFrame:
+    """(report, page_no, axis, coord, grp) of every start coordinate.
+
+    Spans sorted by start; the cut is the first position p >= 2 whose cover is
+    below the one before it (a drop at position 1 is ignored); from there on only
+    spans from the cut on count; a new group starts where the count does not
+    grow.  Several spans with the same start take the group of the last.
     """
-    xg = interval_groups(ext, "x").withColumnRenamed("coord", "x0").withColumnRenamed("grp", "gx")
-    yg = interval_groups(ext, "y").withColumnRenamed("coord", "y0").withColumnRenamed("grp", "gy")
-    s = ext.join(xg, [*PAGE, "x0"]).join(yg, [*PAGE, "y0"])
-    cell = s.groupBy(*PAGE, "gy", "gx").agg(
-        F.max_by(cell_text(F.col("text")), "idx").alias("raw"), F.max_by("block_no", "idx").alias("block_no")
-    )
-    cell = cell.withColumn("text", F.when(~F.col("raw").isin("", " ", "  "), F.col("raw")))
-    wp = Window.partitionBy(*PAGE)
-    cell = cell.withColumn("_colok", F.max(F.col("text").isNotNull().cast("int")).over(wp.partitionBy(*PAGE, "gx")) == 1)
-    cell = cell.withColumn("_rowok", F.max((F.col("text").isNotNull() & F.col("_colok")).cast("int")).over(wp.partitionBy(*PAGE, "gy")) == 1)
-    kept = cell.where(F.col("_colok") & F.col("_rowok"))
-    kept = kept.withColumn("col", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("gx")) - 1).cast("bigint"))
-    kept = kept.withColumn("row", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("gy")) - 1).cast("bigint"))
-    return kept.select(*PAGE, "row", "col", "text", "block_no")
-
-
-def table_detect(cells: DataFrame) -> DataFrame:
-    """Per page the trimmed row range [a, b), heading, block range and
-    the numeric test; only numeric tables are returned.
-
-    a/b: first row and one past the last row with content outside column 0;
-    heading: column-0 text of row a-1 ('' when a = 0, null when that cell is
-    empty); numeric: share of numbers (S1) among cells outside column 0 of
-    rows a..b-1, empty cells included, above NUMERIC_SHARE.
+    return _in_order(spans).mapInArrow(grid.group_batches, f"{_key(spans)}, axis string, coord double, grp long")
+
+
+def page_tables(spans: DataFrame, with_cells: bool = False) -> DataFrame:
+    """(report, page_no, cells, table), one row for each page with an extent.
+
+    cells (G4/F8/G5/S7, on demand): the compacted grid.  A cell is the pair of
+    axis groups of its span's start, the last span wins, '', ' ', '  ' are blank;
+    blank columns, then blank rows are removed.  Blank cells stay with null text
+    when their row and column survive.
+
+    table (F7/E18/G7, null where there is no numeric one): rows [a, b) from the
+    first to the last with content outside column 0, heading (column 0 of row
+    a - 1; '' when a = 0, null when blank), block range, share of numbers (S1)
+    outside column 0, and the markdown.
     """
-    dims = cells.groupBy(*PAGE).agg(
-        F.max("col").alias("max_col"),
-        F.min(F.when((F.col("col") > 0) & F.col("text").isNotNull(), F.col("row"))).alias("a"),
-        (F.max(F.when((F.col("col") > 0) & F.col("text").isNotNull(), F.col("row"))) + 1).alias("b"),
-    ).where(F.col("a").isNotNull())
-    c = cells.join(dims, PAGE)
-    inside = (F.col("row") >= F.col("a")) & (F.col("row") < F.col("b"))
-    t = c.groupBy(*PAGE, "max_col", "a", "b").agg(
-        F.count_if(inside & (F.col("col") > 0) & is_number_table(F.col("text"))).alias("n_num"),
-        F.max(F.when((F.col("row") == F.col("a") - 1) & (F.col("col") == 0), F.col("text"))).alias("_h"),
-        F.min(F.when(inside, F.col("block_no"))).alias("block_a"),
-        F.max(F.when(inside, F.col("block_no"))).alias("block_b"),
-    )
-    denom = ((F.col("b") - F.col("a")) * F.col("max_col")).cast("double")
-    share = F.try_divide(F.col("n_num").cast("double"), denom)
-    return t.select(
-        *PAGE, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"),
-        (F.col("max_col") + 1).cast("bigint").alias("n_cols"),
-        F.when(F.col("a") == 0, F.lit("")).otherwise(F.col("_h")).alias("heading"),
-        F.col("block_a").cast("bigint").alias("block_a"), F.col("block_b").cast("bigint").alias("block_b"),
-        share.alias("numeric_share"),
-    ).where(F.col("numeric_share") > NUMERIC_SHARE)
-
-
-def table_markdown(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """Fixed-width markdown of every detected table: column 0 left
-    aligned, others right aligned, width = longest text + 2, rule after the
-    first row.  Each row line is built from a per-row map over the column
-    sequence; no grid product is materialised."""
-    c = cells.join(tables.select(*PAGE, "a", "b", "n_cols"), PAGE).where((F.col("row") >= F.col("a")) & (F.col("row") < F.col("b")))
-    widths = (
-        c.groupBy(*PAGE, "col").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("w"))
-        .groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("col", (F.col("w") + 2).alias("w")))).alias("wm"))
-    )
-    rows = c.groupBy(*PAGE, "row", "a", "n_cols").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("t")))).alias("tm")
-    ).join(widths, PAGE)
-    seq = F.sequence(F.lit(0).cast("bigint"), F.col("n_cols") - 1)
+    cell = cell_text(F.col("text"))
+    rows = _in_order(spans, F.col("block_no").cast("bigint").alias("block_no"), cell.alias("cell"), is_number_table(cell).alias("number"))
+    return rows.mapInArrow(partial(grid.table_batches, with_cells=with_cells),
+                           f"{_key(spans)}, cells array<struct<row:bigint,col:bigint,text:string,block_no:bigint>>, "
+                           "table struct<a:bigint,b:bigint,n_cols:bigint,heading:string,block_a:bigint,block_b:bigint,numeric_share:double,markdown:string>")
+
+
+def table_cells(pages: DataFrame) -> DataFrame:
+    """The grid cells of ``page_tables(..., with_cells=True)``, one a row."""
+    return pages.select(*PAGE, F.inline("cells"))
 
-    def cell(k):
-        t = F.coalesce(F.element_at(F.col("tm"), k), F.lit(""))
-        w = F.element_at(F.col("wm"), k).cast("int") - 1
-        return F.concat(F.lit(" "), F.when(k == 0, F.rpad(t, w, " ")).otherwise(F.lpad(t, w, " ")), F.lit("|"))
 
-    line = F.concat(F.lit("|"), F.array_join(F.transform(seq, cell), ""), F.lit("\n"))
-    rule = F.concat(F.lit("|"), F.array_join(F.transform(seq, lambda k: F.concat(
-        F.lit(" "), F.repeat(F.lit("-"), F.element_at(F.col("wm"), k).cast("int") - 2), F.lit(" |"))), ""), F.lit("\n"))
-    text = F.when(F.col("row") == F.col("a"), F.concat(line, rule)).otherwise(line)
-    md = rows.select(*PAGE, "row", text.alias("t")).groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("row", "t"))).alias("_r"))
-    return md.select(*PAGE, F.array_join(F.transform("_r", lambda x: x["t"]), "").alias("markdown"))
+def numeric_tables(pages: DataFrame) -> DataFrame:
+    """The numeric tables of ``page_tables``, one a row."""
+    return pages.where(F.col("table").isNotNull()).select(*PAGE, "table.*")
 
 
 def number_tables(tables: DataFrame) -> DataFrame:
@@ -184,12 +124,11 @@ def number_tables(tables: DataFrame) -> DataFrame:
     return tables.withColumn("table_no", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def table_html(md: DataFrame, numbered: DataFrame) -> DataFrame:
+def table_html(numbered: DataFrame) -> DataFrame:
     """G8 text of a table: title ``Table i: heading``, then the markdown in a div."""
-    t = numbered.join(md, PAGE)
     title = F.concat(F.lit("\n<b>Table "), F.col("table_no").cast("string"), F.lit(": "),
                      F.coalesce(F.col("heading"), F.lit("None")), F.lit("</b>\n\n"))
-    return t.select(*PAGE, "block_a", "block_b", F.concat(title, F.lit(DIV_OPEN), F.col("markdown"), F.lit(DIV_CLOSE)).alias("table_html"))
+    return numbered.select(*PAGE, "block_a", "block_b", F.concat(title, F.lit(DIV_OPEN), F.col("markdown"), F.lit(DIV_CLOSE)).alias("table_html"))
 
 
 def insert_tables(blocks_html: DataFrame, tables_html: DataFrame, page_col: str = "page_no") -> DataFrame:

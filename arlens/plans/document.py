@@ -91,9 +91,8 @@ class DocPlan:
         """(report, page_key, block_a, block_b, table_html) of the numeric
         tables on the kept spans of each page, numbered per report."""
         page = self.kept_spans.drop("page_no").withColumnRenamed("page_key", "page_no")
-        cells = materialize(tables.table_cells(tables.table_extent(page)))
-        found = tables.table_detect(cells)
-        out = tables.table_html(tables.table_markdown(cells, found), tables.number_tables(found))
+        found = materialize(tables.numeric_tables(tables.page_tables(page)))
+        out = tables.table_html(tables.number_tables(found))
         return out.withColumnRenamed("page_no", "page_key")
 
     @cached_property

@@ -434,47 +434,33 @@ def table_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def interval_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cover count of every span start on both axes (before the cut)."""
-    ext = TB.table_extent(_tspans(spark, sf_dir))
-    out = []
-    for axis in ("x", "y"):
-        from pyspark.sql import Window as W
-
-        s = ext.select("report", "page_no", "idx", F.col(f"{axis}0").alias("a"), F.col(f"{axis}1").alias("b"))
-        s = s.withColumn("pos", (F.row_number().over(W.partitionBy("report", "page_no").orderBy("a", "idx")) - 1).cast("bigint"))
-        s = TB._cover(s, "a", "b", None, "cover")
-        out.append(s.select("report", "page_no", F.lit(axis).alias("axis"), "idx", "cover"))
-    return out[0].unionByName(out[1])
+    return TB.interval_cover(_tspans(spark, sf_dir))
 
 
 @q
 def interval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """axis group of every start coordinate after the cut."""
-    ext = TB.table_extent(_tspans(spark, sf_dir))
-    gx = TB.interval_groups(ext, "x").select("report", "page_no", F.lit("x").alias("axis"), r6("coord").alias("coord"), "grp")
-    gy = TB.interval_groups(ext, "y").select("report", "page_no", F.lit("y").alias("axis"), r6("coord").alias("coord"), "grp")
-    return gx.unionByName(gy)
+    return TB.interval_groups(_tspans(spark, sf_dir)).withColumn("coord", r6("coord"))
 
 
 @q
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compacted grid cells."""
-    return TB.table_cells(TB.table_extent(_tspans(spark, sf_dir)))
+    return TB.table_cells(TB.page_tables(_tspans(spark, sf_dir), with_cells=True))
 
 
 @q
 def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric tables with trimmed range, heading and block range."""
-    t = TB.table_detect(TB.table_cells(TB.table_extent(_tspans(spark, sf_dir))))
-    return t.select("report", "page_no", "a", "b", "n_cols", "heading", "block_a", "block_b",
-                    r6("numeric_share").alias("numeric_share"))
+    t = TB.numeric_tables(TB.page_tables(_tspans(spark, sf_dir)))
+    return t.drop("markdown").withColumn("numeric_share", r6("numeric_share"))
 
 
 @q
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown rendering of every numeric table."""
-    cells = TB.table_cells(TB.table_extent(_tspans(spark, sf_dir)))
-    md = TB.table_markdown(cells, TB.table_detect(cells))
-    return md.select("report", "page_no", F.length("markdown").cast("bigint").alias("n_chars"), F.md5("markdown").alias("md5"))
+    t = TB.numeric_tables(TB.page_tables(_tspans(spark, sf_dir)))
+    return t.select("report", "page_no", F.length("markdown").cast("bigint").alias("n_chars"), F.md5("markdown").alias("md5"))
 
 
 @q
@@ -482,9 +468,7 @@ def table_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block html of the table pages with each table put in place of
     its block range (plain paragraphs, no headings)."""
     sp = _tspans(spark, sf_dir)
-    cells = TB.table_cells(TB.table_extent(sp))
-    det = TB.table_detect(cells)
-    th = TB.table_html(TB.table_markdown(cells, det), TB.number_tables(det))
+    th = TB.table_html(TB.number_tables(TB.numeric_tables(TB.page_tables(sp))))
     blk = sp.groupBy("report", "page_no", "block_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "span_no", "text"))).alias("_s")
     ).select("report", "page_no", "block_no", F.concat(

@@ -1,8 +1,11 @@
 """Interval groups against a brute-force reading of the rule, and the T3 round trip."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from arlens.operators import grid
 from arlens.operators import tables as TB
 from arlens.sources import fixtures
 
@@ -26,25 +29,117 @@ def brute_groups(a, b):
     return out
 
 
+def brute_cover(a, b):
+    order = np.lexsort((a,))
+    x, y = a[order], b[order]
+    out = np.empty(len(a), int)
+    for k in range(len(a)):
+        out[k] = (y[:k + 1] >= x[k]).sum()
+    return order, out
+
+
+def test_cover_and_groups_of_many_pages():
+    """Ties, inverted and empty intervals, pages of one span, several pages at once."""
+    rng = np.random.default_rng(0)
+    for trial in range(30):
+        sizes = rng.integers(1, 40, 12)
+        page = np.repeat(np.arange(12), sizes)
+        a = rng.integers(0, 15 if trial % 2 else 60, len(page)).astype(float)
+        b = a + rng.integers(-3 if trial % 3 == 0 else 0, 12, len(page))
+        at, _ = grid.cover(page, a, b, 12)
+        got = grid.groups(page, a, b, 12)
+        for p in range(12):
+            own = page == p
+            order, want = brute_cover(a[own], b[own])
+            assert (at.count[at.page == p] == want).all()
+            assert (a[own][order] == a[at.order][at.page == p]).all()
+            by = brute_groups(list(a[own]), list(b[own]))
+            assert [by[x] for x in a[own]] == list(got[own])
+
+
+def test_page_of_many_spans():
+    rng = np.random.default_rng(1)
+    n = 20_000
+    a = rng.integers(0, 5_000, n).astype(float)
+    b = a + rng.integers(0, 300, n)
+    at, _ = grid.cover(np.zeros(n, int), a, b, 1)
+    assert (at.count == brute_cover(a, b)[1]).all()
+    # one group a start where nothing overlaps
+    assert (grid.groups(np.zeros(n, int), np.arange(n) * 2.0, np.arange(n) * 2.0 + 1, 1) == np.arange(n)).all()
+
+
+def spans(spark, rows):
+    cols = "report string, page_no long, block_no long, line_no long, span_no long, text string, x0 double, y0 double, x1 double, y1 double"
+    return spark.createDataFrame(rows, cols)
+
+
 def test_interval_groups_brute_force(spark):
-    ext = TB.table_extent(fixtures.table_spans(spark, SF_SMALL)).cache()
-    pages = [r.page_no for r in ext.select("page_no").distinct().limit(40).collect()]
-    sub = ext.where(F.col("page_no").isin(pages))
+    sp = fixtures.table_spans(spark, SF_SMALL)
+    pages = [r.page_no for r in sp.select("page_no").distinct().limit(40).collect()]
+    sp = sp.where(F.col("page_no").isin(pages))
     got = {}
-    for r in TB.interval_groups(sub, "x").collect():
+    for r in TB.interval_groups(sp).where("axis = 'x'").collect():
         got.setdefault(r.page_no, {})[r.coord] = r.grp
-    rows = sub.select("page_no", "x0", "x1").collect()
+    rows = TB.table_extent(sp).select("page_no", "x0", "x1").collect()
     for p in pages:
         a = [r.x0 for r in rows if r.page_no == p]
         b = [r.x1 for r in rows if r.page_no == p]
-        assert got[p] == brute_groups(a, b), p
+        assert got.get(p, {}) == brute_groups(a, b), p
+
+
+def test_pages_over_batches(monkeypatch):
+    """A page is whole however the batches cut it, and none is lost."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(grid, "HELD", 7)
+    report = ["a"] * 5 + ["b"] * 20 + [None] * 2 + ["b"] * 3
+    number = [1] * 5 + [1] * 9 + [2] * 11 + [2] * 2 + [3] * 3
+    whole = pa.record_batch({"report": report, "page_no": number})
+    for cut in (1, 3, 4, 30):
+        seen = []
+        for t, first in grid.whole_pages(whole.slice(k, cut) for k in range(0, 30, cut)):
+            ends = [*first[1:], t.num_rows]
+            seen += [(t["report"][i].as_py(), t["page_no"][i].as_py(), e - i) for i, e in zip(first.tolist(), ends)]
+        assert seen == [("a", 1, 5), ("b", 1, 9), ("b", 2, 11), (None, 2, 2), ("b", 3, 3)]
+    assert list(grid.whole_pages(iter([]))) == []
+
+
+def test_blank_cells_rows_and_columns(spark):
+    """Blank columns and rows go, a blank cell between others stays; the last
+    span of a cell wins; pages without numbers give nothing."""
+    grid_text = [["head", "", ""], ["a", " ", "1"], ["", "", ""], ["b", "  ", "(2,000)"], ["", "", "3"], ["c", "", "x"]]
+    rows = [("r", 7, i, j, 0, t, 50.0 * j, 20.0 * i, 50.0 * j + 10, 20.0 * i + 10) for i, line in enumerate(grid_text) for j, t in enumerate(line)]
+    rows = [("r", 7, -1, 0, 0, "first span of the page", 0.0, -40.0, 9.0, -30.0), *rows]
+    rows += [("r", 7, 4, 2, 1, "4", 100.0, 80.0, 110.0, 90.0)]  # over the 3
+    rows += [("r", 8, i, 0, 0, "words", 0.0, 20.0 * i, 10.0, 20.0 * i + 10) for i in range(9)]
+    pages = TB.page_tables(spans(spark, rows).repartition(3), with_cells=True).collect()
+    assert [r.page_no for r in pages] == [7]
+    cells = {(c["row"], c["col"]): c["text"] for c in pages[0].cells}
+    t = pages[0].table
+    assert set(cells.values()) >= {"head", "a", "b", "1", "(2,000)", "4", None} and "3" not in cells.values()
+    assert t.n_cols == 2 and (t.block_a, t.block_b) == (1, 5) and t.heading == "head" and t.numeric_share == 0.75
+    assert t.markdown.splitlines()[0] == "| a |        1|" and t.markdown.splitlines()[1] == "| - | ------- |"
+    empty = spans(spark, rows).where("false")
+    assert TB.page_tables(empty).count() == TB.interval_cover(empty).count() == TB.interval_groups(empty).count() == 0
+
+
+def test_markdown_pads_and_skips():
+    text = np.array(["ab", None, "c", "12345"], object)
+    got = grid.markdown(np.array([3, 3, 4, 4]), np.array([0, 2, 0, 2]), text, 3, 4)
+    assert got == "| ab |       |\n| -- | ----- |\n| c  |  12345|\n"
+
+
+def test_tables_take_one_exchange(spark):
+    """From stored spans to markdown: one scan, one exchange."""
+    df = TB.numeric_tables(TB.page_tables(fixtures.table_spans(spark, SF_SMALL).checkpoint()))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) == 1 and "CollectList" not in plan and len(re.findall("Scan", plan)) == 1
 
 
 def test_table_round_trip(spark):
     """The detected grid equals header + item rows with 4 columns."""
     sp = fixtures.table_spans(spark, SF_SMALL)
-    cells = TB.table_cells(TB.table_extent(sp))
-    det = {(r.report, r.page_no): r for r in TB.table_detect(cells).collect()}
+    det = {(r.report, r.page_no): r for r in TB.numeric_tables(TB.page_tables(sp)).collect()}
     items = sp.where("block_no >= 2 and text != 'End of page'").groupBy("report", "page_no").agg(
         F.max("block_no").alias("last")).collect()
     for r in items:
