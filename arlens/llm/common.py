@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from arlens.session import ensure_checkpoint_dir
@@ -32,3 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null reads as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """``texts`` as 64-bit strings, null as empty, in runs of about ``size`` bytes;
+    a longer text is alone."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    edge = np.flatnonzero(np.diff(total // size)) + 1
+    for a, z in zip([0, *edge], [*edge, len(texts)]):
+        if z > a:
+            yield texts.slice(a, z - a)

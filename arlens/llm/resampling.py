@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arlens.llm.common import cut
+from arlens.llm.common import cut, slices
 
 # Fixed values of the features, the gains and the draw.
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -32,16 +32,6 @@ SEED, LEAST_WORDS, PERCENT = 42, 20, 5
 SLICE = 4_000_000
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """``texts`` as 64-bit strings in runs of about ``SLICE`` bytes."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    edge = np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1
-    for a, z in zip([0, *edge], [*edge, len(texts)]):
-        if z > a:
-            yield texts.slice(a, z - a)
-
-
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, bucket) of every feature and the number of words of each
     text (no nulls among ``texts``)."""
@@ -77,7 +67,7 @@ def bucket_counts(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for part in _slices(b.column(0)):
+            for part in slices(b.column(0), SLICE):
                 total += np.bincount(features(part)[1], minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
@@ -101,7 +91,7 @@ def weigh(text: Column, gains: np.ndarray) -> Column:
     @F.arrow_udf("n_words long, n_features long, weight long")
     def rate(texts: pa.Array) -> pa.Array:
         out = []
-        for part in _slices(texts):
+        for part in slices(texts, SLICE):
             owner, bucket, words = features(part)
             order = np.argsort(owner, kind="stable")
             taken = np.concatenate([[0], np.cumsum(gains[bucket[order]])])
