@@ -5,12 +5,17 @@ one, or when at least 1000 characters of plain text lie between it and the
 last accepted heading and its normalised text (S9) was not used before.  The
 decision depends on the previous *accepted* heading, so it is a fold, not a
 window function: the heading-font spans of each report (a few per page at
-most, by the 5% share rule of the font choice) are collected in document
-order and folded with ``aggregate`` inside the JVM.
+most, by the 5% share rule of the font choice) stream past in document order,
+and the state is the last heading's offset and the set of the keys used.  The
+work is linear in the candidates; spill of the sort aside, a task holds one
+batch and one report's used keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +39,24 @@ def heading_candidates(kept_spans: DataFrame, heading: DataFrame, offsets: DataF
 
 
 def accept_headings(cands: DataFrame) -> DataFrame:
-    """candidates with ``accepted`` (the greedy fold of the reference)."""
-    item = F.struct(*[F.col(c) for c in ORD], "plain_before", "text", "font", "head_key")
-    per = cands.groupBy("report").agg(F.array_sort(F.collect_list(item)).alias("cs"))
-    init = F.struct(
-        F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<string>").alias("used"),
-        F.array().cast("array<boolean>").alias("flags"),
-    )
-
-    def step(st, c):
-        reject = (st["last"].isNotNull() & (c["plain_before"] - st["last"] < MIN_GAP)) | F.array_contains(st["used"], c["head_key"])
-        return F.struct(
-            F.when(reject, st["last"]).otherwise(c["plain_before"]).alias("last"),
-            F.when(reject, st["used"]).otherwise(F.array_append(st["used"], c["head_key"])).alias("used"),
-            F.array_append(st["flags"], ~reject).alias("flags"),
-        )
-
-    folded = per.select("report", F.explode(F.arrays_zip("cs", F.aggregate("cs", init, step)["flags"].alias("accepted"))).alias("z"))
-    return folded.select("report", "z.cs.*", "z.accepted")
+    """candidates with ``accepted`` (the greedy fold of the reference).  A
+    span without text is no heading."""
+    rows = cands.select("report", *ORD, "plain_before", "text", "font", "head_key")
+    gap = MIN_GAP
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, report, last, used = False, None, None, set()
+        for b in batches:
+            flags = []
+            for doc, at, key in zip(*(b.column(c).to_pylist() for c in ("report", "plain_before", "head_key"))):
+                if not began or doc != report:
+                    began, report, last, used = True, doc, None, set()
+                take = key is not None and key not in used and (last is None or at - last >= gap)
+                if take:
+                    last = at
+                    used.add(key)
+                flags.append(take)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags, pa.bool_())], [*b.schema.names, "accepted"])
+
+    ordered = rows.repartition("report").sortWithinPartitions("report", *ORD)
+    return ordered.mapInArrow(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", accepted boolean")

@@ -129,10 +129,11 @@ REPORT_CTES = (FIX_REPORTS, FIX_ALIASES, FIX_EQUITY, FIX_RESOLVED, FIX_WINDOWS)
 
 # ------------------------------------------------------------ step 1 / 2
 
-ORACLES["reports_scan"] = with_(FIX_REPORTS) + """
-SELECT path, year, isin, strftime(t0, '%Y-%m-%d') AS t0, strftime(t1, '%Y-%m-%d') AS t1,
-       strftime(t2, '%Y-%m-%d') AS t2
-FROM rep"""
+ORACLES["reports_scan"] = with_(FIX_REPORTS) + r"""
+SELECT string_split(path, '\')[-1] AS name, strlen(path)::BIGINT AS n_bytes, year, isin,
+       strftime(t0, '%Y-%m-%d') AS t0, strftime(t1, '%Y-%m-%d') AS t1, strftime(t2, '%Y-%m-%d') AS t2
+FROM rep
+UNION ALL SELECT 'readme.txt', 12, NULL, NULL, NULL, NULL, NULL"""
 
 ORACLES["equity_excess"] = with_(FIX_EQUITY) + """
 SELECT isin, name, strftime(date, '%Y-%m-%d') AS date, round(smb, 6) AS smb, round(hml, 6) AS hml,
@@ -312,7 +313,7 @@ SELECT id, kind, length(text)::BIGINT AS n_in, length(out)::BIGINT AS n_out, md5
 FIX_RESPONSES = r"""
 resp0 AS (
   SELECT d.doc_id, (d.doc_id % 11)::VARCHAR AS g, d.text AS t, d.doc_id % 8 AS kind
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+  FROM documents d
 ),
 responses AS (
   SELECT doc_id AS report,
@@ -777,7 +778,8 @@ DOC_CTES = (FIX_DOCS, FIX_DOCFLOW, DOC_TSP, TABLE_FLOW, TABLE_HTML, FIX_DOCTAIL)
 
 ORACLES["spans_flatten"] = with_(FIX_DOCS) + """
 SELECT report, page_no, block_no::BIGINT AS block_no, line_no::BIGINT AS line_no, span_no::BIGINT AS span_no,
-       text, font, round(size, 6) AS size FROM dsp"""
+       text, font, round(size, 6) AS size, NULL::VARCHAR AS error FROM dsp
+UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'JSONDecodeError'"""
 
 ORACLES["page_split"] = with_(*DOC_CTES) + """
 SELECT report, page_key::BIGINT AS page_key, block_no::BIGINT AS block_no, line_no::BIGINT AS line_no,
@@ -995,7 +997,9 @@ FROM (SELECT report, page_no, string_agg(html, '' ORDER BY block_no) AS pg FROM
 
 _RR = _RR_CTES + ",\nrr AS (" + _RR_SELECT + "),\nrry AS (SELECT *, TRY_CAST(string_split(string_split(path, '\\')[-1], '_')[1] AS INTEGER) AS year FROM rr)\n"
 
-ORACLES["ledger_roundtrip"] = ORACLES["report_result"]
+ORACLES["ledger_roundtrip"] = r"""
+SELECT *, chr(32) || chr(9) || '"' || "Name" || '";' || chr(13) || chr(13) || '\ ''None'' ' || path || chr(9) || ' ' AS "Note"
+FROM (""" + ORACLES["report_result"] + ")"
 
 ORACLES["result_insert_absent"] = _RR + """
 SELECT path, "ISIN", "ISIN_db", "Name", alpha_2, "Answer" FROM (
@@ -1004,11 +1008,13 @@ SELECT path, "ISIN", "ISIN_db", "Name", alpha_2, "Answer" FROM (
 ORACLES["result_key_exists"] = _RR + """
 SELECT path, "ISIN", "ISIN" IN (SELECT "ISIN" FROM rry WHERE year <= 1997) AS "exists" FROM rry"""
 
-_TYPES = ["string"] * 3 + ["double"] * 12 + ["int"]
+# Code, name, precision and length of the result table's types.
+_TYPES = [(-9, "string", "NULL", "NULL")] * 3 + [(6, "double", 53, 8)] * 12 + [(4, "int", 10, 4)]
 _COLS = ["ISIN", "ISIN_db", "Name"] + [f"{c}_{h}" for h in (1, 2) for c in
                                        ["pval_alpha", "pval_beta", "alpha", "beta", "t_alpha", "t_beta"]] + ["Answer"]
 ORACLES["result_schema"] = _RR + "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT {i}::INTEGER AS ordinal, '{c}' AS column_name, '{t}' AS data_type, count(\"{c}\")::BIGINT AS n_nonnull FROM rr"
+    f"SELECT {i}::INTEGER AS ordinal, '{c}' AS column_name, {t[0]}::INTEGER AS data_type, '{t[1]}' AS type_name, "
+    f"{t[2]}::INTEGER AS column_precision, {t[3]}::INTEGER AS column_length, count(\"{c}\")::BIGINT AS n_nonnull FROM rr"
     for i, (c, t) in enumerate(zip(_COLS, _TYPES))) + ")"
 
 ORACLES["key_uniqueness"] = _RR + """
@@ -1016,7 +1022,16 @@ SELECT "ISIN", count(*)::BIGINT AS n FROM rr GROUP BY "ISIN" HAVING count(*) > 1
 
 ORACLES["incremental_skip"] = ORACLES["document_sections"].replace("AS md5 FROM dsec", "AS md5, 1::BIGINT AS n_opened FROM dsec")
 
-ORACLES["incremental_scores"] = "WITH RECURSIVE " + with_(*DOC_CTES)[5:] + """
-SELECT report, CASE WHEN seen THEN n ELSE 0 END::BIGINT AS summaries_1, CASE WHEN seen AND n > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_1,
-       CASE WHEN seen THEN 0 ELSE n END::BIGINT AS summaries_2, CASE WHEN NOT seen AND n > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_2
-FROM (SELECT report, substring(md5(report), 1, 1) < '8' AS seen, count(*) FILTER (WHERE html <> '') AS n FROM dsec GROUP BY report)"""
+# Section 1 of the reports that the first run has seen, as it is before the third.
+_REVISED = _DOCS_SCORED.replace("dsec AS (SELECT", "dsec1 AS (SELECT").replace("FROM dsec0)", """FROM dsec0),
+dsec AS (
+  SELECT report, i, CASE WHEN substring(md5(report), 1, 1) < '8' AND i = 1 AND html <> '' THEN html || ' Revised.' ELSE html END AS html
+  FROM dsec1)""")
+
+ORACLES["incremental_scores"] = _REVISED + """
+SELECT r.report, CASE WHEN seen THEN n ELSE 0 END::BIGINT AS summaries_1, CASE WHEN seen AND n > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_1,
+       CASE WHEN seen THEN 0 ELSE n END::BIGINT AS summaries_2, CASE WHEN NOT seen AND n > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_2,
+       CASE WHEN seen THEN one ELSE 0 END::BIGINT AS summaries_3, CASE WHEN seen AND one > 0 THEN 1 ELSE 0 END::BIGINT AS conclusions_3,
+       md5(summary) AS summary_md5
+FROM (SELECT report, substring(md5(report), 1, 1) < '8' AS seen, count(*) FILTER (WHERE html <> '') AS n, count(*) FILTER (WHERE html <> '' AND i = 1) AS one
+      FROM dsec GROUP BY report) r LEFT JOIN sconc USING (report)"""

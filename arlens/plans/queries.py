@@ -18,7 +18,7 @@ from arlens.operators import factors, resolve
 from arlens.plans import report
 from arlens.plans.joins import materialize, stored_input
 from arlens.sources import fixtures
-from arlens.sources.reports import report_identity
+from arlens.sources.reports import report_identity, scan_report_files
 from arlens.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +76,12 @@ def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q
 def reports_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1/A2: report files with year, ISIN and the three 1 June dates."""
-    r = report_identity(_reports(spark, sf_dir))
-    return r.select("path", "year", "isin", iso("t0"), iso("t1"), iso("t2"))
+    """A1/A2: the files of a report folder with their size, year, ISIN and the
+    three 1 June dates; what is no report has nulls, sub-folders are left out."""
+    folder = INC.storage_path(spark, "files")
+    fixtures.write_report_files(_reports(spark, sf_dir), folder)
+    r = report_identity(scan_report_files(spark, folder))
+    return r.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), "year", "isin", iso("t0"), iso("t1"), iso("t2"))
 
 
 @q
@@ -235,13 +238,19 @@ from arlens.plans import document  # noqa: E402
 
 @q
 def spans_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: nested page -> block -> line -> span JSON flattened; image blocks
-    (no lines) dropped."""
-    from arlens.sources.spans import flatten_pages, nest_pages
+    """A5: report files through the extractor (a broken file among them), then
+    nested page -> block -> line -> span flattened; image blocks (no lines)
+    dropped.  A file that fails gives one row with its error."""
+    from arlens.sources.spans import extract_pages, flatten_pages, json_lines, nest_pages
 
-    nested = nest_pages(fixtures.doc_spans(spark, sf_dir))
-    flat = flatten_pages(nested)
-    return flat.select("report", "page_no", "block_no", "line_no", "span_no", "text", "font", r6("size").alias("size"))
+    folder = INC.storage_path(spark, "documents")
+    fixtures.write_page_files(nest_pages(stored_input(spark, sf_dir, "doc_spans", fixtures.doc_spans)), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    pages = extract_pages(files, json_lines).withColumn("report", F.regexp_extract("path", "report=([^/]*)/", 1))
+    pages = materialize(pages)
+    flat = flatten_pages(pages.where("error is null")).select("report", "page_no", "block_no", "line_no", "span_no", "text", "font", r6("size").alias("size"))
+    failed = pages.where("error is not null").select("report", "error")
+    return flat.unionByName(failed, allowMissingColumns=True)
 
 
 @q
@@ -484,6 +493,7 @@ def table_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from arlens.sources.ledger import read_ledger, write_ledger  # noqa: E402
 from arlens.streaming import incremental as INC  # noqa: E402
+from arlens.streaming import store  # noqa: E402
 
 _RESULT_ROUND = {c: (8 if c.startswith("pval") else 6) for c in R.RESULT_COLS[3:15]}
 
@@ -502,9 +512,11 @@ def _stored_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 
 @q
 def ledger_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows written to the ';' ledger and read back typed."""
-    res = _result(spark, sf_dir)
-    cols = ["path"] + R.RESULT_COLS
+    """Result rows, with a note of awkward text, written to the ';'
+    ledger and read back typed."""
+    note = F.concat(F.lit(' \t"'), "Name", F.lit('";\r\n\\ \'None\' '), "path", F.lit("\t "))
+    res = _result(spark, sf_dir).withColumn("Note", note)
+    cols = ["path"] + R.RESULT_COLS + ["Note"]
     path = INC.storage_path(spark, "ledger")
     write_ledger(res, path, cols)
     back = read_ledger(spark, path, res.select(*cols).schema)
@@ -529,20 +541,21 @@ def result_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def result_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result table is created in the catalog, filled and dropped
-    again; its columns (ordinal, name, type) with the non-null values in each."""
+    again; its columns (ordinal, name, type code and name, precision, length)
+    with the non-null values in each."""
     from arlens.streaming import tables as CT
 
     name = f"arlens_results_{uuid.uuid4().hex}"
     columns = CT.create_result_table(spark, name, drop=True)
     try:
         _result(spark, sf_dir).select(*R.RESULT_COLS).write.insertInto(name)
-        stored = spark.table(name).agg(*[F.count(c).alias(c) for c, _ in columns]).first()
+        stored = spark.table(name).agg(*[F.count(c.name).alias(c.name) for c in columns]).first()
     finally:
         CT.drop_table(spark, name)
     if CT.table_exists(spark, name):
         raise RuntimeError(f"{name} was not dropped")
-    rows = [(i, c, t, stored[c]) for i, (c, t) in enumerate(columns)]
-    return spark.createDataFrame(rows, "ordinal int, column_name string, data_type string, n_nonnull bigint")
+    rows = [(i, c.name, c.data_type, c.type_name, c.precision, c.length, stored[c.name]) for i, c in enumerate(columns)]
+    return spark.createDataFrame(rows, "ordinal int, column_name string, data_type int, type_name string, column_precision int, column_length int, n_nonnull bigint")
 
 
 @q
@@ -558,16 +571,15 @@ def _first_half() -> Column:
 
 
 def _sections_run(spark: SparkSession, sf_dir: str, reports: Column, folder: str) -> None:
-    """Sections and status of the reports not seen yet are stored.  The
-    status table says what was seen, so unreadable and empty reports are not
-    opened again either."""
+    """Sections and status of the reports not seen yet are committed
+    together.  The status table says what was seen, so unreadable and empty
+    reports are not opened again either."""
     pages = fixtures.doc_pages(spark, sf_dir).where(reports)
-    done = INC.stored_or_empty(spark, f"{folder}/status", spark.createDataFrame([], "report string, status string"))
+    done = store.read(spark, folder, "status", "report string, status string")
     todo = materialize(INC.missing(pages.select("report").distinct(), done, ["report"]))
     spans = stored_input(spark, sf_dir, "doc_spans", fixtures.doc_spans)
     p = document.DocPlan(spans.join(todo, "report", "left_semi"), pages.join(todo, "report", "left_semi"))
-    p.sections.write.mode("append").parquet(f"{folder}/sections")
-    p.status.select("report", "status").write.mode("append").parquet(f"{folder}/status")
+    store.commit(spark, folder, {"sections": p.sections, "status": p.status.select("report", "status")})
 
 
 @q
@@ -578,8 +590,8 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = INC.storage_path(spark, "sections")
     for reports in (_first_half(), F.lit(True), F.lit(True)):
         _sections_run(spark, sf_dir, reports, folder)
-    opened = spark.read.parquet(f"{folder}/status").groupBy("report").agg(F.count("*").alias("n_opened"))
-    s = spark.read.parquet(f"{folder}/sections")
+    opened = store.read(spark, folder, "status", "report string, status string").groupBy("report").agg(F.count("*").alias("n_opened"))
+    s = store.read(spark, folder, "sections", "report string, i bigint, html string")
     return s.join(opened, "report").select("report", "i", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("md5"), "n_opened")
 
 
@@ -587,16 +599,18 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries and conclusions stored by an earlier run are reused.
     For each report: sections summarised and conclusions drawn in the first run
-    (half of the reports) and in the second (all of them)."""
+    (half of the reports), in the second (all of them) and in the third, before
+    which section 1 of that half was revised, and a digest of the conclusion that
+    stands at the end."""
     folder = INC.storage_path(spark, "scores")
     secs = materialize(_doc_sections(spark, sf_dir))
+    revised = secs.withColumn("html", F.when(_first_half() & (F.col("i") == 1) & (F.col("html") != ""), F.concat("html", F.lit(" Revised."))).otherwise(F.col("html")))
     counts = []
-    for run, part in enumerate((secs.where(_first_half()), secs), 1):
-        summaries, new_s = INC.reuse(spark, f"{folder}/summaries", part.where("html != ''"), ["report", "i"], scoring.summarize_sections)
-        mine = summaries.join(part.select("report").distinct(), "report", "left_semi")
-        _, new_c = INC.reuse(spark, f"{folder}/conclusions", mine, ["report"], scoring.conclude)
+    for run, part in enumerate((secs.where(_first_half()), secs, revised), 1):
+        summaries, new_s = INC.reuse(spark, folder, "summaries", part.where("html != ''"), ["report", "i"], scoring.summarize_sections)
+        conclusions, new_c = INC.reuse(spark, folder, "conclusions", summaries, ["report"], scoring.conclude)
         counts += [new_s.groupBy("report").agg(F.count("*").alias(f"summaries_{run}")), new_c.groupBy("report").agg(F.count("*").alias(f"conclusions_{run}"))]
     out = secs.select("report").distinct()
     for c in counts:
         out = out.join(c, "report", "left")
-    return out.fillna(0)
+    return out.fillna(0).join(conclusions.select("report", F.md5("summary").alias("summary_md5")), "report", "left")

@@ -6,6 +6,9 @@ tables and DuckDB can build the same rows for the oracles.
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,41 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _local(folder: str) -> str:
+    """A folder as worker processes open it; the file fixtures need a store that
+    is mounted on all machines."""
+    kind, colon, rest = folder.partition(":")
+    if colon and "/" not in kind and kind != "file":
+        raise ValueError(f"report files cannot be written to {folder}")
+    return re.sub("^/+", "/", rest) if kind == "file" else folder
+
+
+def write_report_files(reports: DataFrame, folder: str) -> None:
+    """A folder of report files, each holding its own path; a ``readme.txt`` and a
+    file in a sub-folder stand beside them.  The input of a directory scan."""
+    root = _local(folder)
+    os.makedirs(f"{root}/2001_ar_x_y_z_OLDER_v1")
+
+    def write(rows) -> None:
+        for r in rows:
+            with open(f"{root}/{r['path'].rpartition(chr(92))[2]}", "w") as f:
+                f.write(r["path"])
+
+    reports.select("path").foreachPartition(write)
+    for name in ("readme.txt", "2001_ar_x_y_z_OLDER_v1/2001_ar_x_y_z_SUP000000001_v1.pdf"):
+        with open(f"{root}/{name}", "w") as f:
+            f.write("not a report")
+
+
+def write_page_files(pages: DataFrame, folder: str) -> None:
+    """Report files of one JSON page a line, below a folder for each report, and
+    a report ``broken`` whose file is cut off."""
+    line = pages.select("report", F.concat(F.lit('{"page_no": '), F.col("page_no").cast("string"), F.lit(', "page": '), "page_json", F.lit("}")).alias("value"))
+    line.write.partitionBy("report").text(folder)
+    first = pages.sparkSession.createDataFrame([("broken", '{"page_no": 1, "page": {"blocks": []}}'), ("broken", '{"page_no": 2, "page": {"blo')], "report string, value string")
+    first.coalesce(1).write.mode("append").partitionBy("report").text(folder)
+
+
 def all_isins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ISIN alias table; both forms for s_suppkey % 10 = 0, else current only."""
     sup = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -118,9 +156,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     g = doc_id % 11 and text = the document's.
     """
-    lab = read(spark, sf_dir, "labels").select("doc_id")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    d = lab.join(docs, "doc_id")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
     g = (F.col("doc_id") % 11).cast("string")
     t = F.col("text")
     kind = F.col("doc_id") % 8

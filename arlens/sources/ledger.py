@@ -9,6 +9,8 @@ from arlens.functions.text import ledger_text
 
 # Fixed values of the ledger format.
 SEP, NULL_TEXT, LINE = ";", "None", "\n"
+#: Blanks at the ends of a text belong to it; Spark's writer drops them by default.
+FORMAT = {"sep": SEP, "header": True, "lineSep": LINE, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_ledger(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -23,9 +25,7 @@ def write_ledger(df: DataFrame, path: str, columns: list[str]) -> None:
         raise ValueError(f"ledger columns missing from the frame: {missing}")
     from pyspark.sql import functions as F
 
-    df.select(*[ledger_text(F.col(c)).alias(c) for c in columns]).write.mode("append").option("sep", SEP).option(
-        "header", True
-    ).option("lineSep", LINE).option("escape", '"').csv(path)
+    df.select(*[ledger_text(F.col(c)).alias(c) for c in columns]).write.mode("append").options(**FORMAT).csv(path)
 
 
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -35,5 +35,5 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     from pyspark.sql import functions as F
 
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.option("sep", SEP).option("header", True).option("lineSep", LINE).option("escape", '"').option("nullValue", NULL_TEXT).schema(text).csv(path)
+    raw = spark.read.options(**FORMAT).option("nullValue", NULL_TEXT).schema(text).csv(path)
     return raw.select(*[F.regexp_replace(f.name, r"^\\(\\*None)$", "$1").cast(f.dataType).alias(f.name) for f in schema.fields])

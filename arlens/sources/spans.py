@@ -1,7 +1,12 @@
-"""Span tree sources (A5): nested page JSON <-> the flat ``spans`` table."""
+"""Span tree sources (A5): report files through an extractor, nested page JSON,
+and the flat ``spans`` table."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +23,46 @@ PAGE = T.StructType([T.StructField("width", T.DoubleType()), T.StructField("heig
                      T.StructField("blocks", T.ArrayType(BLOCK))])
 
 
+#: What an extractor yields for a file, one row a page, and how it failed.
+EXTRACTED = "path string, page_no bigint, page_json string, error string"
+#: Rows of extracted pages handed on together.
+PAGES = 64
+
+
+def json_lines(content: bytes) -> Iterator[tuple[int, dict]]:
+    """The extractor of files with one JSON page a line: {"page_no", "page"}."""
+    for line in content.decode().split("\n"):
+        if line.strip():
+            row = json.loads(line)
+            yield row["page_no"], row["page"]
+
+
+def extract_pages(files: DataFrame, extract: Callable[[bytes], Iterable[tuple[int, dict]]]) -> DataFrame:
+    """A5: pages of report files (path, content as the ``binaryFile`` source
+    gives them) by the caller's ``extract``: content -> (page number, page), a
+    page being the tree of blocks, lines and spans.
+
+    A file that ``extract`` fails on gives one row with the kind of error and no
+    page; the pages it gave before the failure are not returned, so a document
+    is whole or marked.  A file without pages gives no rows.  Files go one by one
+    through Arrow batches; a task holds one file and its pages.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "page_no", "page_json", "error"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                try:
+                    rows = [(path.as_py(), int(n), json.dumps(page), None) for n, page in extract(content.as_py() or b"")]
+                except Exception as e:  # whatever a user's codec raises is that file's error
+                    rows = [(path.as_py(), None, None, type(e).__name__)]
+                for k in range(0, len(rows), PAGES):
+                    part = list(zip(*rows[k:k + PAGES]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, kinds)], names)
+
+    return files.select("path", "content").mapInArrow(work, EXTRACTED)
+
+
 def flatten_pages(pages: DataFrame, json_col: str = "page_json") -> DataFrame:
     """A5: (report, page_no, page_json) -> one row per span with geometry.
 

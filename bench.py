@@ -67,6 +67,7 @@ def main() -> None:
         warm_up = run_once(spark, k, sf_dir)
         runs = 3 if warm_up < LONG else 1
         out[k] = round(statistics.median(run_once(spark, k, sf_dir) for _ in range(runs)), 3)
+        print(k, out[k], file=sys.stderr, flush=True)  # a run that is stopped has said this much
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "headline_total_warm_median",
