@@ -163,7 +163,7 @@ def factor_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q
 def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null counts and drop mask per report window."""
-    p = factors.missing_profile(_window_rows(spark, sf_dir))
+    p = factors.missing_profile(factors.mask_moments(_window_rows(spark, sf_dir)))
     return p.select("path", "horizon", "n_rows", "name", *[c for c in p.columns if c.startswith(("null_", "drop_"))])
 
 
