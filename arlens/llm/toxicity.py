@@ -1,16 +1,17 @@
 """Operator 6: toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary texts each have an interpolated Kneser-Ney model over
-character n-grams.  Only the highest order has counts of its own for each
-class; all lower orders are continuation counts that both classes share, so
-expressions rare in one class fall back on the same distribution.  A text's
-evidence is the difference of the two log-likelihoods over its length; a
-logistic curve fitted on labelled rows kept out of the counts turns it into a
-score.
-
-As the shared orders cancel in the difference where an n-gram is new to both
-classes, a text needs one table cell for each position: the n-gram's
-log-likelihood ratio, or else the ratio of its context's back-off weights.
+Toxic and ordinary texts each have an interpolated Kneser-Ney model of how words
+are spelt, over the symbols of a word from the blank before it to the one behind.
+Only the highest order has counts of its own for each class; all lower orders
+are continuation counts that both classes share, taken from all documents, so
+expressions rare in one class fall back on the same distribution.
+
+A word's evidence is the difference of its two log-likelihoods, a text's is that
+difference over its number of words.  Each different word of a text counts once,
+in training too, so a line repeated a hundred times is no more than one.  What
+words say beyond a margin is averaged in the same way; the margin and the
+logistic curve over both averages are fitted on labelled rows kept out of the
+counts.
 """
 
 from __future__ import annotations
@@ -20,181 +21,311 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arlens.llm.common import cut
+from arlens.llm.common import cut, slices
 
-ORDER = 5
+ORDER = 6
 DISCOUNT = 0.75
-#: Log-likelihood difference that one word must exceed to count in full, and to
-#: count for a tenth: the small shifts that every word of a language or style
-#: has do not add up to evidence.
-FLOOR, LOW, LEAK = 6.0, 2.0, 0.1
 #: Occurrences that the shared distribution counts for in each class's context.
-STRENGTH = 0.5
-#: At most about so many labelled rows give class counts and the curve; the
-#: shared counts come from every document.
+STRENGTH = 50.0
+#: At most about so many labelled rows, half of them of one class at most unless
+#: the other has fewer, give class counts and the curve; the shared counts come
+#: from every document.
 FIT_ROWS = 100_000
-#: N-grams that a task holds before it counts them.
+#: Parts of the n-grams, by the two symbols before the last; a context and its
+#: continuations lie in one part.
+PARTS = 64
+#: N-grams that a task holds before it merges equal ones.
 TALLY = 4_000_000
-#: Cells of the tables that travel to the tasks (bounds their size, 4 bytes a
-#: cell); n-grams that share a cell share their count-weighted mean.
-CELL_BITS = 22
-#: One in so many labelled rows fits the logistic curve instead of the counts.
+SLICE = 4_000_000
+#: One in so many labelled rows fits margin and curve instead of the counts.
 CURVE_FOLD = 5
-#: Evidence is counted in steps of this size when the curve is fitted.
-STEP = 1 / 2048
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Margins that are tried, in log-likelihood difference of a word.
+MARGINS = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """Lower-cased code points as 7-bit classes between two spaces: ASCII as it
-    is, digits alike, white space alike, others by remainder into 128 to 255."""
-    a = np.frombuffer((" " * (ORDER - 1) + (text or "").lower() + " ").encode("utf-32-le", "replace"), np.uint32)
-    a = np.where(a < 128, a, 128 + a % 128).astype(np.uint8)
-    a = np.where((a >= 48) & (a <= 57), np.uint8(48), a)
-    return np.where(a <= 32, np.uint8(32), a)
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, word) of the different words of each text, and the words: runs
+    between ASCII blanks, lower-cased."""
+    split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+    word, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+    some = pc.not_equal(word, "")
+    coded = word.filter(some).dictionary_encode()
+    owner = owner.filter(some).to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds = max(len(coded.dictionary), 1)
+    pair = np.unique(owner * kinds + coded.indices.to_numpy(zero_copy_only=False))
+    return pair // kinds, pair % kinds, coded.dictionary
 
 
-def codes(a: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """One integer for each n-gram, 8 bits a symbol, oldest symbol first."""
-    out = np.zeros(max(len(a) - order + 1, 0), np.int64)
-    for i in range(order):
-        out = (out << 8) | a[i:len(a) - order + 1 + i]
-    return out
+def grams(word: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each symbol of each word, 8 bits a symbol, oldest
+    first, zero before the blank that a word starts with; and its word.
+
+    Symbols are lower-cased code points as 7-bit classes: ASCII as it is, digits
+    alike, others by remainder into 128 to 255.
+    """
+    if not len(word):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = pc.utf8_length(word).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    a = np.frombuffer((" " + " ".join(word.to_pylist()) + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    a = np.where(a < 128, a, 128 + a % 128)
+    a = np.where((a >= 48) & (a <= 57), 48, np.maximum(a, 1))
+    start = np.repeat(np.cumsum(size) - size, size)
+    at = np.arange(size.sum()) + 1
+    code = np.zeros(len(at), np.int64)
+    for back in range(ORDER):
+        from_ = at - back
+        code |= np.where(from_ >= start, a[np.maximum(from_, 0)], 0) << (8 * back)
+    return code, np.repeat(np.arange(len(word)), size)
 
 
-def cells(code: np.ndarray) -> np.ndarray:
-    return ((code.astype(np.uint64) * _MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _suffix(code: np.ndarray, order: int) -> np.ndarray:
+    return code & ((1 << (8 * order)) - 1)
 
 
 class Model(NamedTuple):
-    """ratio: by cell of an n-gram, NaN where none was seen; backoff: by cell of
-    a context; slope and middle of the curve."""
+    """gram, ratio: n-grams of either class and their log-likelihood ratio;
+    context, backoff: contexts and the ratio for n-grams new to both; margin and
+    the curve's constant, weight of the mean, weight of the mean excess."""
 
+    gram: np.ndarray
     ratio: np.ndarray
+    context: np.ndarray
     backoff: np.ndarray
-    slope: float
-    middle: float
-
-
-def evidence(text: str | None, ratio: np.ndarray, backoff: np.ndarray) -> float:
-    """Log-likelihood difference for each word, words under the floors counted
-    little or not at all; 0 for texts without words."""
-    if not text:
-        return 0.0
-    a = symbols(text)
-    code = codes(a)
-    r = ratio[cells(code)]
-    new = np.isnan(r)
-    if new.any():
-        r[new] = backoff[cells(code[new] >> 8)]
-    space = a[ORDER - 1:] == 32
-    word = np.cumsum(space)
-    of_word = np.bincount(word, r)  # a word takes the space before it
-    n = len(np.unique(word[~space]))
-    return float(np.maximum(of_word - FLOOR, LEAK * np.maximum(of_word - LOW, 0)).sum() / n) if n else 0.0
-
-
-def _counts(rows: DataFrame) -> DataFrame:
-    """gram, t, o: occurrences of every n-gram in toxic and ordinary rows; rows
-    of neither class (``_label`` null) give their n-grams with zero counts."""
-    def tally(code: list[np.ndarray], label: list[int]) -> pa.RecordBatch:
-        gram, at = np.unique(np.concatenate(code), return_inverse=True)
-        label = np.repeat(np.array(label, np.int8), [len(c) for c in code])
-        n = [np.bincount(at[label == k], minlength=len(gram)) for k in (1, 0)]
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n[0]), pa.array(n[1])], ["gram", "t", "o"])
+    margin: float
+    curve: tuple[float, float, float]
+
+
+def _found(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, code), max(len(keys) - 1, 0))
+    return at, (keys[at] == code) if len(keys) else np.zeros(len(code), bool)
+
+
+def word_evidence(word: pa.Array, model: Model) -> np.ndarray:
+    """Log-likelihood of each word as a toxic text's less that as an ordinary's."""
+    code, owner = grams(word)
+    at, there = _found(model.gram, code)
+    below, known = _found(model.context, code >> 8)
+    r = np.zeros(len(code))
+    r[known] = model.backoff[below[known]]
+    r[there] = model.ratio[at[there]]
+    return np.bincount(owner, r, len(word))
+
+
+def evidence(texts: pa.Array, model: Model, margins: tuple[float, ...]) -> np.ndarray:
+    """For each text the mean evidence of its words, then the mean excess over
+    each margin; zeros for a text without words."""
+    out = []
+    for part in slices(texts, SLICE):
+        owner, at, word = words(part)
+        value = word_evidence(word, model)[at]
+        n = np.maximum(np.bincount(owner, minlength=len(part)), 1)
+        out.append(np.stack([np.bincount(owner, v, len(part)) / n for v in (value, *(np.maximum(value - m, 0) for m in margins))], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 1 + len(margins)))
+
+
+# -------------------------------------------------------------------- counting
+
+
+def _merged(gram: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    kinds, at = np.unique(gram, return_inverse=True)
+    return kinds, *(np.bincount(at, c, len(kinds)).astype(np.int64) for c in counts)
+
+
+_PACKED = "part int, gram binary, toxic binary, ordinary binary"
+
+
+def _packed(part: int, gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> list:
+    """One row: n-grams of a class first, with both counts, then all others."""
+    own = toxic + ordinary > 0
+    return [part, np.concatenate([gram[own], gram[~own]]).tobytes(), toxic[own].astype(np.int32).tobytes(), ordinary[own].astype(np.int32).tobytes()]
+
+
+def _rows(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.large_binary()] * 3))], ["part", "gram", "toxic", "ordinary"])
+
 
+def count_grams(rows: DataFrame) -> DataFrame:
+    """The n-grams of all rows (``_label`` 1, 0 or null, ``_text``) in ``PARTS``
+    packed rows: in how many texts and words of toxic and ordinary rows each
+    stands; those of other rows have no counts.
+
+    A task sends one row a part, sorted and merged, whatever its number of texts.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code: list[np.ndarray] = []
-        label: list[int] = []
-        held = 0
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merge() -> None:
+            held[:] = [_merged(*map(np.concatenate, zip(*held)))]
+
+        for b in batches:
+            start = 0
+            for part in slices(b.column(1), SLICE):
+                label = b.column(0).slice(start, len(part)).fill_null(2).to_numpy(zero_copy_only=False)
+                start += len(part)
+                owner, at, word = words(part)
+                code, of = grams(word)
+                n = [np.bincount(at[label[owner] == k], minlength=len(word))[of] for k in (1, 0)]
+                held.append(_merged(code, *n))
+                if sum(len(h[0]) for h in held) > TALLY:
+                    merge()
+        if held:
+            merge()
+            gram, toxic, ordinary = held[0]
+            part = _part(gram)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(PARTS + 1))
+            for k in range(PARTS):
+                own = order[edge[k]:edge[k + 1]]
+                if len(own):
+                    yield _rows([_packed(k, gram[own], toxic[own], ordinary[own])])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for b in batches:
-            for y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                code.append(codes(symbols(x)))
-                label.append(2 if y is None else y)
-                held += len(code[-1])
-                if held >= TALLY:
-                    yield tally(code, label)
-                    code, label, held = [], [], 0
-        if code:
-            yield tally(code, label)
+            for k, gram, toxic, ordinary in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(k, []).append(_unpacked(gram, toxic, ordinary))
+                if sum(len(h[0]) for h in held[k]) > TALLY:
+                    held[k] = [_merged(*map(np.concatenate, zip(*held[k])))]
+        for k, own in held.items():
+            yield _rows([_packed(k, *_merged(*map(np.concatenate, zip(*own))))])
+
+    return rows.mapInArrow(count, _PACKED).repartition(PARTS, "part").mapInArrow(add, _PACKED)
+
+
+def _part(gram: np.ndarray) -> np.ndarray:
+    return (((gram >> 8) & 0xFFFF) * 40503 >> 5) % PARTS
+
+
+def _unpacked(gram: bytes, toxic: bytes, ordinary: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    g = np.frombuffer(gram, np.int64)
+    counts = []
+    for raw in (toxic, ordinary):
+        n = np.zeros(len(g), np.int64)
+        own = np.frombuffer(raw, np.int32)
+        n[:len(own)] = own
+        counts.append(n)
+    return g, *counts
 
-    return rows.mapInArrow(count, "gram long, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
+def pair_counts(gram: np.ndarray) -> np.ndarray:
+    """How many different symbols stand before each pair of symbols, as far as
+    this part has them (256 x 256); each triple lies in one part."""
+    return np.bincount(_suffix(np.unique(_suffix(gram, 3)), 2), minlength=1 << 16)
 
-def _shared(grams: DataFrame, classed: DataFrame) -> DataFrame:
-    """``classed`` with ``p``: the shared lower-order probability of the last symbol.
 
-    Order by order, a shorter gram counts the different symbols that precede
-    it; probabilities are interpolated from the shortest up.
+def _interpolated(n: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
+    kinds, at = np.unique(context, return_inverse=True)
+    total = np.bincount(at, n)[at]
+    return np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * np.bincount(at)[at] / total * below
+
+
+def pair_probabilities(n: np.ndarray) -> np.ndarray:
+    """Shared probability of the second symbol of each pair behind the first."""
+    pair = np.flatnonzero(n)
+    last = np.unique(pair & 255, return_inverse=True)
+    one = _interpolated(np.bincount(last[1]).astype(float), np.zeros(len(last[0])), np.full(len(last[0]), 1 / 256))
+    out = np.zeros(1 << 16)
+    out[pair] = _interpolated(n[pair].astype(float), pair >> 8, one[last[1]])
+    return out
+
+
+def ratios(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """gram, ratio, context, backoff of the n-grams of a class in one part.
+
+    Order by order from three symbols up to one below the highest, a shorter
+    n-gram counts the different symbols that precede it; its probability is
+    interpolated from the next shorter one's.
     """
-    levels = {ORDER: grams.select("gram")}
-    for order in range(ORDER - 1, 0, -1):
-        levels[order] = levels[order + 1].groupBy((F.col("gram").bitwiseAND((1 << (8 * order)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-    p: DataFrame | None = None
-    for order in range(1, ORDER):
-        ctx = Window.partitionBy(F.shiftright("gram", 8)) if order > 1 else Window.partitionBy(F.lit(0))
-        level = levels[order].withColumn("all", F.sum("n").over(ctx)).withColumn("kinds", F.count("*").over(ctx))
-        own, rest = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("all"), DISCOUNT * F.col("kinds") / F.col("all")
-        if p is None:
-            p = level.select("gram", (own + rest / 256).alias("p"))
-        else:
-            shorter = F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)
-            p = level.withColumn("low", shorter).join(p.withColumnsRenamed({"gram": "low", "p": "below"}), "low").select("gram", (own + rest * F.col("below")).alias("p"))
-    low = F.col("gram").bitwiseAND((1 << (8 * (ORDER - 1))) - 1)
-    return classed.withColumn("low", low).join(p.withColumnsRenamed({"gram": "low"}), "low").drop("low")
-
-
-def _tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    grams = cut(_counts(rows))
-    classed = grams.filter("t + o > 0")
-    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    context = classed.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), kinds("t").alias("kt"), kinds("o").alias("ko"))
-    rest = lambda n, k: (DISCOUNT * F.col(k) + STRENGTH) / (F.col(n) + STRENGTH)
-    context = context.withColumns({"rt": rest("nt", "kt"), "ro": rest("no", "ko")})
-    over = lambda c: F.greatest(c - DISCOUNT, F.lit(0.0))
-    full = _shared(grams, classed).withColumn("ctx", F.shiftright("gram", 8)).join(context, "ctx")
-    own = lambda c, n: over(F.col(c)) / (F.col(n) + STRENGTH)
-    llr = F.log(own("t", "nt") + F.col("rt") * F.col("p")) - F.log(own("o", "no") + F.col("ro") * F.col("p"))
-
-    @F.pandas_udf("long")
-    def cell(code):
-        import pandas as pd
-
-        return pd.Series(cells(code.to_numpy()))
-
-    def table(df: DataFrame, value: Column, weight: Column, code: str, empty: float) -> np.ndarray:
-        got = df.groupBy(cell(F.col(code)).alias("cell")).agg((F.sum(value * weight) / F.sum(weight)).alias("v")).toArrow()
-        out = np.full(1 << CELL_BITS, empty, np.float32)
-        out[got["cell"].to_numpy()] = got["v"].to_numpy()
-        return out
-
-    ratio = table(full, llr, F.col("t") + F.col("o"), "gram", np.nan)
-    backoff = table(context, F.log(F.col("rt")) - F.log(F.col("ro")), F.col("nt") + F.col("no"), "ctx", 0.0)
-    return ratio, backoff
-
-
-def _curve(x: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of a logistic curve through counted rows, with a weak
-    pull towards a slope of one standard deviation."""
-    if not n.sum():
-        return 100.0, 0.0
-    mid = float((x * n).sum() / n.sum())
-    width = max(float(np.sqrt((n * (x - mid) ** 2).sum() / n.sum())), 1e-4)
-    z, w = (x - mid) / width, np.array([0.0, 1.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * z, -30, 30)))
-        v = n * p * (1 - p) + 1e-9
-        grad = np.array([(ones - n * p).sum() - 0.01 * w[0], ((ones - n * p) * z).sum() - 0.05 * (w[1] - 1)])
-        hess = np.array([[v.sum() + 0.01, (v * z).sum()], [(v * z).sum(), (v * z * z).sum() + 0.05]])
-        step = np.linalg.solve(hess, grad)
-        w = w + np.clip(step, -2, 2)
-        if abs(step).max() < 1e-8:
-            break
-    slope = max(w[1], 1e-3)
-    return float(slope / width), float(mid - w[0] * width / slope)
+    levels = {ORDER: np.unique(gram)}
+    for order in range(ORDER - 1, 2, -1):
+        levels[order] = np.unique(_suffix(levels[order + 1], order))
+    p = pairs[_suffix(levels[3], 2)]
+    for order in range(3, ORDER):
+        own, longer = levels[order], _suffix(levels[order + 1], order)
+        n = np.bincount(np.searchsorted(own, longer), minlength=len(own)).astype(float)
+        if order > 3:
+            p = p[np.searchsorted(levels[order - 1], _suffix(own, order - 1))]
+        p = _interpolated(n, own >> 8, p)
+    classed = toxic + ordinary > 0
+    gram, counts = gram[classed], (toxic[classed].astype(float), ordinary[classed].astype(float))
+    shared = p[np.searchsorted(levels[ORDER - 1], _suffix(gram, ORDER - 1))]
+    context, at = np.unique(gram >> 8, return_inverse=True)
+    log, rest = [], []
+    for n in counts:
+        total = np.bincount(at, n, len(context)) + STRENGTH
+        left = (STRENGTH + DISCOUNT * np.bincount(at, n > 0, len(context))) / total
+        log.append(np.log(np.maximum(n - DISCOUNT, 0) / total[at] + left[at] * shared))
+        rest.append(np.log(left))
+    return gram, log[0] - log[1], context, rest[0] - rest[1]
+
+
+def _tables(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """gram, ratio, context, backoff over all parts, sorted.  What comes to the
+    driver are pairs of symbols (65,536 at most a part) and the n-grams of the
+    labelled rows, which ``FIT_ROWS`` bounds."""
+    parts = cut(count_grams(rows))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                total += pair_counts(np.frombuffer(raw, np.int64))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "n"])
+
+    got = parts.select("gram").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << 16, np.int64)
+    n[got["pair"].to_numpy()] = got["n"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(pair_probabilities(n))
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, *raw in zip(*(c.to_pylist() for c in b.columns)):
+                made = ratios(*_unpacked(*raw), sent.value)
+                for kind, key, value in ((0, *made[:2]), (1, *made[2:])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(value)], ["kind", "key", "value"])
+
+    out = parts.mapInArrow(table, "kind byte, key long, value double").toArrow()
+    kind, key, value = (out[c].to_numpy() for c in ("kind", "key", "value"))
+    tables = []
+    for k in (0, 1):
+        order = np.argsort(key[kind == k])
+        tables += [key[kind == k][order], value[kind == k][order]]
+    return tuple(tables)
+
+
+# --------------------------------------------------------------------- the curve
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float, float]]:
+    """Margin and logistic weights (constant, mean, mean excess) that make the
+    labels ``y`` likeliest; columns of ``x``: the mean, then the excess over each
+    of ``MARGINS``.  A weak pull towards small weights keeps them finite."""
+    best = (np.inf, MARGINS[0], (0.0, 0.0, 0.0))
+    if not len(y):
+        return MARGINS[0], (-1.0, 1.0, 1.0)
+    for k, margin in enumerate(MARGINS):
+        f = x[:, [0, k + 1]]
+        middle, width = f.mean(axis=0), f.std(axis=0) + 1e-6
+        z = np.column_stack([np.ones(len(y)), (f - middle) / width])
+        w = np.zeros(3)
+        pull = np.array([0.01, 0.1, 0.1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (y - p) - pull * w)
+            w = w + np.clip(step, -2, 2)
+            if abs(step).max() < 1e-9:
+                break
+        p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + 0.5 * (pull * w * w).sum()
+        if loss < best[0]:
+            slope = w[1:] / width
+            best = (loss, margin, (float(w[0] - (slope * middle).sum()), float(slope[0]), float(slope[1])))
+    return best[1], best[2]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model | None:
@@ -202,10 +333,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     skipped) and the whole texts of ``docs``.
 
     The shared orders are counted over all documents, labelled or not, and so
-    grow with the input.  More than ``fit_rows`` labels are thinned to about
-    that many by a hash of the id: the bound of what is broadcast to the scan.
-    The model that travels is two tables of fixed size.  None unless both
-    classes have rows; a document labelled both ways counts on both sides.
+    grow with the input.  Labels beyond ``fit_rows`` are thinned by a hash of
+    the id, each class by itself: a class with no more than half of them keeps
+    all its rows.  This bounds what is broadcast to the scan and the class
+    tables.  None unless both classes have rows; a document labelled both ways
+    counts on both sides.
     """
     known = labels.filter(F.col("label").isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("label").cast("int").alias("_label")).distinct()
     n = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
@@ -213,34 +345,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     # xxhash64 is independent of the crc32 folds by which callers split labels
     draw = lambda salt, mod: F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(mod))
-    if sum(n.values()) > fit_rows:
-        known = known.filter(draw(7, 1 << 30) < int((1 << 30) * fit_rows / sum(n.values())))
+    few = min(n.values())
+    room = {k: fit_rows - min(few, fit_rows // 2) if v > few else fit_rows // 2 for k, v in n.items()}
+    share = {k: int((1 << 30) * min(1.0, room[k] / v)) for k, v in n.items()}
+    known = known.filter(draw(7, 1 << 30) < F.when(F.col("_label") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     aside = draw(11, CURVE_FOLD) == 0
-    ratio, backoff = _tables(texts.join(F.broadcast(known.filter(~aside)), "_id", "left").select("_label", "_text"))
-    step = F.round(_evidence(F.col("_text"), ratio, backoff) / STEP).cast("long")
-    got = texts.join(F.broadcast(known.filter(aside)), "_id").groupBy(step.alias("x")).agg(F.count("*").alias("n"), F.sum("_label").alias("ones")).toPandas()
-    slope, middle = _curve(got["x"].to_numpy(float) * STEP, got["n"].to_numpy(float), got["ones"].to_numpy(float))
-    return Model(ratio, backoff, slope, middle)
+    tables = _tables(texts.join(F.broadcast(known.filter(~aside)), "_id", "left").select("_label", "_text"))
+    model = Model(*tables, MARGINS[0], (0.0, 0.0, 0.0))
+    x = _evidence(F.col("_text"), model, MARGINS)
+    got = texts.join(F.broadcast(known.filter(aside)), "_id").select("_label", x.alias("x")).toPandas()
+    margin, curve = fit_curve(np.array(got["x"].tolist()).reshape(len(got), 1 + len(MARGINS)), got["_label"].to_numpy(float))
+    return model._replace(margin=margin, curve=curve)
 
 
-def _evidence(text: Column, ratio: np.ndarray, backoff: np.ndarray) -> Column:
+def _evidence(text: Column, model: Model, margins: tuple[float, ...]) -> Column:
     from pyspark.sql import SparkSession
 
-    shared = SparkSession.getActiveSession().sparkContext.broadcast((ratio, backoff))
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("array<double>")
     def rate(texts: pa.Array) -> pa.Array:
-        a, b = shared.value
-        return pa.array([evidence(t, a, b) for t in texts.to_pylist()], pa.float64())
+        x = evidence(texts, shared.value, margins)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
 
     return rate(text)
 
 
 def score(text: Column, model: Model | None) -> Column:
     """Score of one text, 0 to 1, higher for toxic; null reads as empty, and an
-    empty text has evidence 0.  Without a model every score is 0."""
+    empty text has no evidence either way.  Without a model every score is 0."""
     if model is None:
         return F.lit(0.0)
-    x = _evidence(text.cast("string"), model.ratio, model.backoff)
-    return 1 / (1 + F.exp(-F.lit(model.slope) * (x - F.lit(model.middle))))
+    x = _evidence(text.cast("string"), model, (model.margin,))
+    base, mean, excess = (F.lit(w) for w in model.curve)
+    return 1 / (1 + F.exp(-(base + mean * x[0] + excess * x[1])))
