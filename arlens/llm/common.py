@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8 bytes; null reads as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

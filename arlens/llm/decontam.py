@@ -17,12 +17,15 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arlens.llm.common import cut
 
@@ -61,6 +64,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def units_of(words: list[str]) -> list[list[str]]:
+    """An item's words in pieces of near-equal length, ``UNIT`` words at most."""
+    pieces = -(-len(words) // UNIT)
+    return [words[len(words) * k // pieces:len(words) * (k + 1) // pieces] for k in range(pieces)]
+
+
 def grams(words: list[str]) -> set[tuple[str, ...]]:
     n = min(GRAM, len(words))
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -77,7 +86,9 @@ def held(part: list[str], region: list[str]) -> float:
 class Index:
     """Inverted index of the units of some items, with block maxima."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], statistics: tuple[int, float, dict[str, int]] | None = None):
+        """items: (id, text).  statistics: number and mean length of the units of
+        all items and in how many each term stands, where these are but a part."""
         self.items = []
         units: list[tuple[int, Counter]] = []
         for item, text in items:
@@ -85,16 +96,15 @@ class Index:
             if not words:
                 continue
             self.items.append((item, *question_and_answer(text), len(words)))
-            pieces = -(-len(words) // UNIT)
-            for k in range(pieces):
-                units.append((len(self.items) - 1, Counter(words[len(words) * k // pieces:len(words) * (k + 1) // pieces])))
-        df = Counter(t for _, tf in units for t in tf)
+            units += [(len(self.items) - 1, Counter(unit)) for unit in units_of(words)]
+        local = Counter(t for _, tf in units for t in tf)
         # units that share their commonest terms become neighbours, so blocks are alike
-        units.sort(key=lambda u: sorted(u[1], key=lambda t: (-df[t], t))[:4])
+        units.sort(key=lambda u: sorted(u[1], key=lambda t: (-local[t], t))[:4])
         self.item_of = [i for i, _ in units]
         n = len(units)
-        mean = sum(tf.total() for _, tf in units) / max(n, 1)
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+        every, mean, df = statistics or (n, sum(tf.total() for _, tf in units) / max(n, 1), local)
+        idf = {t: math.log(1 + (every - df[t] + 0.5) / (df[t] + 0.5)) for t in local}
+        df = local
         self.vocabulary = {t: k for k, t in enumerate(df)}
         self.units: list[list[int]] = [[] for _ in df]
         self.impacts: list[list[float]] = [[] for _ in df]
@@ -216,62 +226,100 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
-def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> list[DataFrame]:
-    """The items in parts of at most about ``shard_bytes`` of text."""
-    text = F.col(f"`{text_col}`").cast("string")
-    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item"), text.alias("text")).filter(F.col("text").isNotNull())
+def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[list[DataFrame], DataFrame | None]:
+    """The items in parts of at most about ``shard_bytes`` of text, and the
+    statistics of all of them where there are several parts."""
+    items = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-size // shard_bytes)
     if parts <= 1:
-        return [items] if parts else []
-    return [items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) for k in range(parts)]
+        return ([items] if parts else []), None
+    return [items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) for k in range(parts)], cut(_statistics(items))
+
+
+def _statistics(items: DataFrame) -> DataFrame:
+    """(term, n, size): in how many units of all items each term stands; on the
+    row without a term the units and their words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df: Counter = Counter()
+            n = size = 0
+            for text in b.column(0).to_pylist():
+                for unit in units_of(words_of(text)):
+                    df.update(set(unit))
+                    n, size = n + 1, size + len(unit)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *df], pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([size, *[0] * len(df)], pa.int64())], ["term", "n", "size"])
+
+    return items.select("text").mapInArrow(count, "term string, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
 
-_LEAKS = "array<struct<item_id:long,score:double,first_word:long,question_overlap:double,answer_overlap:double>>"
+def _index(part: DataFrame, statistics: DataFrame | None) -> Index:
+    """The index of one shard.  Its items come to the driver, ``SHARD_BYTES`` of
+    text at most, with the counts of their own terms."""
+    known = None
+    if statistics is not None:
+        total = statistics.filter("term is null").first()
 
+        def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array({w for t in b.column(0).to_pylist() for w in words_of(t)}, pa.string())], ["term"])
 
-def _index(part: DataFrame) -> Index:
-    return Index([(r["item"], r["text"]) for r in part.orderBy("text", "item").collect()])
+        own = part.select("text").mapInArrow(terms, "term string").distinct().join(statistics, "term").select("term", "n").toArrow()
+        known = (total["n"], total["size"] / max(total["n"], 1), dict(zip(own["term"].to_pylist(), own["n"].to_pylist())))
+    return Index([(r["item"], r["text"]) for r in part.orderBy("text", "item").collect()], known)
 
 
-def _finder(text: Column, index: Index, threshold: float, overlap: float) -> Column:
-    @F.arrow_udf(_LEAKS)
+def _leaks_type(part: DataFrame) -> T.ArrayType:
+    """One struct an item held; the item's id keeps its type."""
+    names = [("item_id", part.schema["item"].dataType), ("score", T.DoubleType()), ("first_word", T.LongType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType())]
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in names]))
+
+
+def _finder(text: Column, part: DataFrame, index: Index, threshold: float, overlap: float) -> Column:
+    out = _leaks_type(part)
+    kind = to_arrow_type(out)
+
+    @F.arrow_udf(out)
     def find(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
         names = [f.name for f in kind.value_type]
         return pa.array([[dict(zip(names, x)) for x in index.leaks(t, threshold, overlap)] for t in texts.to_pylist()], kind)
 
     return find(text.cast("string"))
 
 
+def _nothing(benchmark: DataFrame, id_col: str = "item_id", **_) -> Column:
+    return F.array().cast(_leaks_type(benchmark.select(F.col(f"`{id_col}`").alias("item"))))
+
+
 def leaks(text: Column, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, **items) -> Column:
     """Items of ``benchmark`` that a text holds, as an array of structs.
 
     Null and empty texts and items hold nothing; a null item id stays null;
     repeated items are reported each.  Texts are read whole.  As one expression
     it holds the indexes of all shards at once; ``found_items`` and
-    ``drop_holders`` hold one.
+    ``drop_holders`` hold one.  Scores do not depend on the number of shards.
     """
-    found = [_finder(text, _index(part), threshold, overlap) for part in shards(benchmark, **items)]
-    return reduce(lambda a, b: F.concat(a, b), found) if found else F.array().cast(_LEAKS)
+    parts, statistics = shards(benchmark, **items)
+    found = [_finder(text, part, _index(part, statistics), threshold, overlap) for part in parts]
+    return reduce(lambda a, b: F.concat(a, b), found) if found else _nothing(benchmark, **items)
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **items) -> DataFrame:
     """The columns ``keep`` and an item's, a row for each item that a row holds;
     one shard after another, each shard's rows kept before the next is indexed."""
-    parts = shards(benchmark, **items)
+    parts, statistics = shards(benchmark, **items)
     text = F.col(f"`{text_col}`")
-    out = [docs.select(*keep, F.inline(F.array().cast(_LEAKS)))] if not parts else []
+    out = [docs.select(*keep, F.inline(_nothing(benchmark, **items)))] if not parts else []
     for k, part in enumerate(parts, 1):
-        found = docs.select(*keep, F.inline(_finder(text, _index(part), threshold, overlap)))
+        found = docs.select(*keep, F.inline(_finder(text, part, _index(part, statistics), threshold, overlap)))
         out.append(cut(found) if k < len(parts) else found)
     return reduce(DataFrame.union, out)
 
 
 def drop_holders(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, **items) -> DataFrame:
     """Rows that hold no item; one shard after another, over what the last left."""
-    parts = shards(benchmark, **items)
+    parts, statistics = shards(benchmark, **items)
     for k, part in enumerate(parts, 1):
-        docs = docs.filter(F.size(_finder(F.col(f"`{text_col}`"), _index(part), threshold, overlap)) == 0)
+        docs = docs.filter(F.size(_finder(F.col(f"`{text_col}`"), part, _index(part, statistics), threshold, overlap)) == 0)
         docs = cut(docs) if k < len(parts) else docs
     return docs

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arlens.llm.common import cut, utf8
+from arlens.llm.common import cut, utf8, unused
 from arlens.llm.components import components
 
 SHINGLE = 5
@@ -398,11 +398,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.col(f"`{text_col}`").cast("string")
     keyed = df.select(F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
     found = cut(near_duplicates(keyed, "key", "text").filter("n_shingles > 0").groupBy("key", "component_id").agg(F.count("*").alias("n")))
-    gone = found.filter("key != component_id").select(F.col("key.i").alias("_i"), F.col("key.h").alias("_h"))
-    same = df[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(df[text_col].cast("string")) == F.col("_h"))
-    kept = df.join(gone, same, "left_anti")
-    twice = found.filter("key = component_id and n > 1").select(F.col("key.i").alias("_i"), F.col("key.h").alias("_h"))
+    i, h = unused(df, "_i"), unused(df, "_h")
+    names = lambda rows: rows.select(F.col("key.i").alias(i), F.col("key.h").alias(h))
+    same = df[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(df[text_col].cast("string")) == F.col(h))
+    kept = df.join(names(found.filter("key != component_id")), same, "left_anti")
+    twice = names(found.filter("key = component_id and n > 1"))
     if twice.isEmpty():
         return kept
     # rows that are repeated as a whole: only these are brought together
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").withColumn("_h", F.xxhash64(F.col(f"`{text_col}`").cast("string"))).dropDuplicates([id_col, "_h"]).drop("_h"))
+    repeated = kept.join(twice, same, "left_semi").withColumn(h, F.xxhash64(text)).dropDuplicates([id_col, h]).drop(h)
+    return kept.join(twice, same, "left_anti").unionByName(repeated)

@@ -85,7 +85,7 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     out = sharding.shard_by_bytes(docs, F.col("h"), F.col("size"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

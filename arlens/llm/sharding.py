@@ -27,8 +27,10 @@ RANGES_PER_SHARD = 8
 SAMPLE = 24
 #: A range is overfull beyond this many times the mean of all ranges.
 OVERFULL = 3.0
-#: Groups of equal texts up to this share of a shard are kept in one shard.
-GROUP_SHARE = 0.02
+#: Groups of equal texts up to this share of a shard are kept in one shard: the
+#: shard's end moves to the nearer edge of the group, by half of it at most.  A
+#: larger group alone would make shards uneven and is cut where a shard ends.
+GROUP_SHARE = 1 / 3
 _HASH_SPAN = float(2**63)
 
 

@@ -324,14 +324,49 @@ def test_structural_confirmation():
     kinds = lambda t: [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.spans_of(t) if k > 2]
     assert kinds(f"a {pem} b") == [("pem", pem)]
     assert kinds(f"a {token} b") == [("token", token)]
-    assert kinds(f"a {b64(wrapped)} b") == [("der", b64(wrapped))]
-    assert kinds(f"a {wrapped.hex()} b") == [("der", wrapped.hex())]
-    assert kinds(f"ssh-rsa {b64(ssh)} x") == [("ssh", b64(ssh))]
+    assert kinds(f"a {b64(numbers)} b") == [("der", b64(numbers))]
+    assert kinds(f"a {numbers.hex()} b") == [("der", numbers.hex())]
+    # public material is told apart: an algorithm with bits, SSH wire strings, two numbers
+    assert kinds(f"a {b64(wrapped)} b") == [("public", b64(wrapped))]
+    assert kinds(f"ssh-rsa {b64(ssh)} x") == [("public", b64(ssh))]
+    two = der(0x30, der(2, bytes([5]) * 90), der(2, b"\1\0\1"))
+    assert kinds(f"a {b64(two)} b") == [("public", b64(two))]
+    private = [der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86")), der(4, numbers)), der(0x30, der(2, b"\1"), der(4, bytes(32))), der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(4, bytes(90)))]
+    for raw in private:  # a version first, a version with octets, an encrypted key
+        assert kinds(f"a {b64(raw)} b") == [("der", b64(raw))]
+    container = b"openssh-key-v1\0" + bytes(60)
+    assert kinds(f"a {b64(container)} b") == [("ssh", b64(container))]
+    # glued to what base64 itself may hold, cut by an odd digit, wrapped into lines
+    for glue in ("name_", "https://host/path/", "x-", "Zm9v/a_b-"):
+        assert kinds(f"a {glue}{b64(numbers)} b") == [("der", b64(numbers))], glue
+        assert kinds(f"a {glue}{b64(container)} b") == [("ssh", b64(container))], glue
+    assert kinds(f"a f{numbers.hex()} b") == [("der", numbers.hex())]
+    lines = "\n".join(b64(numbers)[k:k + 64] for k in range(0, len(b64(numbers)), 64))
+    assert kinds(f"a\n{lines}\nb c") == [("der", lines)]
+    assert kinds(f"a\n{lines[:80] + 'A' + lines[80:]}\nb c") == []
     # one wrong length, or no structure at all, is no secret
     assert kinds(f"a {b64(wrapped[:-1])} b") == [] and kinds("a " + "Qk" * 40 + " b") == []
     assert kinds("-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----") == []
 
 
+def test_long_runs_are_scanned_in_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("/MII" * 250_000, "_AAAA" * 200_000, "ab" * 500_000, "-----BEGIN A----- " * 20_000 + "A" * 400_000):
+        secrets.spans_of(text)
+    assert time.time() - began < 30
+
+
+def test_redaction_leaves_public_keys(spark):
+    import base64
+
+    body = b"".join(der(2, bytes([k]) * 40) for k in range(1, 8))
+    private, public = (base64.b64encode(der(0x30, *x)).decode() for x in ((der(2, b"\0"), body), (der(2, bytes([5]) * 90), der(2, b"\1\0\1"))))
+    df = spark.createDataFrame([(1, f"k {private} p {public}"), (2, None), (3, "")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {1: f"k [SECRET] p {public}", 2: None, 3: ""}
+
+
 def test_secrets_query(spark, texts):
     base = {"assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), "access": (r"AKIA[A-Z0-9]+", 16), "hex": (r"[0-9a-f]+", 32)}
     got = queries.op8_structural_secrets(spark, SF).toPandas().set_index("doc_id")
@@ -425,6 +460,28 @@ def test_decontamination_plans_hold_one_shard(spark, monkeypatch):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in whole}
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    """A varied benchmark of 4,000 items in 1, 3 and 10 shards: the same hits
+    with the same scores, near the threshold too; ids are texts."""
+    rng = np.random.default_rng(3)
+    common, rare = [f"c{k}" for k in range(300)], [f"r{k}" for k in range(20_000)]
+    texts = [" ".join([*rng.choice(common, rng.integers(3, 30)), *rng.choice(rare, rng.integers(2, 12))]) for _ in range(4000)]
+    bench = spark.createDataFrame([(f"item {k}", t) for k, t in enumerate(texts)], "item_id string, text string")
+    docs = []
+    for k in range(60):
+        words = texts[k * 7].split()
+        lost = rng.random(len(words)) < k / 100
+        docs.append((k, " ".join([*rng.choice(common, 40), *("x" if z else w for w, z in zip(words, lost)), *rng.choice(common, 40)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    total = sum(len(t) for t in texts)
+    found = []
+    for shards in (1, 3, 10):
+        got = decontam.found_items(df, bench, ["doc_id"], shard_bytes=total // shards + 1).collect()
+        found.append({(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in got})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+    assert {(0, "item 0"), (1, "item 7")} <= set(found[0])
+
+
 def test_decontamination_memory_of_a_long_text():
     import tracemalloc
 

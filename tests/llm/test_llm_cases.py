@@ -75,6 +75,57 @@ def test_near_duplicates(messy, empty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, None, 8, 9, 10, 11]))
 
 
+NAMES = ["_i", "_h", "_h_", "key", "_key", "_row", "_size", "_data", "_at", "_range", "_group", "_id", "_text", "_label", "_n", "n", "comp", "component_id", "n_shingles", "start", "length", "ids", "sequence_id", "offset", "score", "l", "item", "term", "window"]
+
+
+@pytest.fixture(scope="module")
+def named(messy):
+    """``messy`` with columns called what operators call theirs."""
+    return messy.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"own {c}").alias(c) for c in NAMES])
+
+
+def test_near_duplicates_keep_any_columns(messy, named):
+    kept = parity.keep_one(named)
+    assert kept.columns == named.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in parity.keep_one(messy).collect())
+    assert {r["_h"] for r in kept.select("_h").distinct().collect()} == {"own _h"}
+
+
+def test_sharding_keeps_any_columns(named):
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    got = sharding.shard_by_bytes(named, F.xxhash64(F.coalesce("text", F.lit(""))), size, 3)
+    assert got.columns == [*named.columns, "shard", "slot"] and got.count() == 13
+    assert got.filter("_key != 'own _key'").count() == 0
+
+
+def test_null_and_empty_texts_share_a_shard(spark, tmp_path):
+    from arlens.llm import queries
+
+    rows = [(k, (None, "")[k % 2]) for k in range(40)] + [(100 + k, f"text {k} " * 9) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_sampled_splitters(spark, str(tmp_path)).filter("doc_id < 40").groupBy("text_crc32", "shard").count().collect()
+    assert len({r["text_crc32"] for r in got}) == 1 and max(r["count"] for r in got) >= 20
+
+
+def test_groups_below_a_third_of_a_shard_are_whole(spark):
+    rows = [(k, f"group {k // 12}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_by_bytes(df, F.xxhash64("text"), F.lit(100), 40)
+    assert got.groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+    n = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(n) == 40 and max(n) - min(n) <= 24
+
+
+def test_other_operators_ignore_further_columns(named, labels, benchmark):
+    assert named.select(quality.score(F.col("text"), quality.fit(named, labels))).count() == 13
+    assert named.select(toxicity.score(F.col("text"), toxicity.fit(named, labels))).count() == 13
+    assert parity.near_duplicates(named).count() == bpr.repeated_substrings(named).count() == 13
+    assert packing.pack(named).columns[0] == "doc_id"
+    assert secrets.redact(named).columns == named.columns
+    assert decontam.drop_holders(named, benchmark).columns == named.columns
+    assert decontam.found_items(named, benchmark, ["doc_id"]).count() == 3
+
+
 def test_substrings(messy, empty):
     got = {}
     for r in bpr.repeated_substrings(messy).collect():
