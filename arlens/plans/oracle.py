@@ -342,6 +342,7 @@ SELECT report, resp,
             ELSE resp END AS answer
 FROM p2"""
 
+# English letter frequencies, as in operators.letters.
 _FREQ = {
     "A": 0.082, "B": 0.015, "C": 0.028, "D": 0.043, "E": 0.127, "F": 0.022, "G": 0.02, "H": 0.061,
     "I": 0.07, "J": 0.0015, "K": 0.0077, "L": 0.04, "M": 0.024, "N": 0.067, "O": 0.075, "P": 0.019,
