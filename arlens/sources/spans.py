@@ -89,22 +89,22 @@ def flatten_pages(pages: DataFrame, json_col: str = "page_json") -> DataFrame:
 def nest_pages(spans: DataFrame) -> DataFrame:
     """The inverse: flat spans -> one JSON document per page, with an image
     block (no lines) added to every page.  Grouping is per line, block and
-    page, all physically small."""
-    s = spans.select("*", F.struct("text", "font", "size", "color", F.array("x0", "y0", "x1", "y1").alias("bbox")).alias("sp"))
+    page, all physically small; the spans of a page meet by one exchange."""
+    s = spans.repartition("report", "page_no").select("*", F.struct("text", "font", "size", "color", F.array("x0", "y0", "x1", "y1").alias("bbox")).alias("sp"))
     lines = s.groupBy("report", "page_no", "page_w", "page_h", "block_no", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("span_no", "sp"))).alias("_s"),
+        F.sort_array(F.collect_list(F.struct("span_no", "sp"))).alias("_s"),
         F.min("x0").alias("lx0"), F.min("y0").alias("ly0"), F.max("x1").alias("lx1"), F.max("y1").alias("ly1"),
     ).select("*", F.struct(F.array("lx0", "ly0", "lx1", "ly1").alias("bbox"),
                             F.transform("_s", lambda x: x["sp"]).alias("spans")).alias("ln"))
     blocks = lines.groupBy("report", "page_no", "page_w", "page_h", "block_no").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "ln"))).alias("_l"),
+        F.sort_array(F.collect_list(F.struct("line_no", "ln"))).alias("_l"),
         F.min("lx0").alias("bx0"), F.min("ly0").alias("by0"), F.max("lx1").alias("bx1"), F.max("ly1").alias("by1"),
     ).select("*", F.struct(F.col("block_no").alias("number"), F.array("bx0", "by0", "bx1", "by1").alias("bbox"),
                             F.transform("_l", lambda x: x["ln"]).alias("lines")).alias("blk"))
     image = F.struct(F.lit(-1).cast("bigint").alias("number"), F.array(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("bbox"),
                      F.lit(None).cast(T.ArrayType(LINE)).alias("lines"))
     pages = blocks.groupBy("report", "page_no", "page_w", "page_h").agg(
-        F.array_sort(F.collect_list(F.struct("block_no", "blk"))).alias("_b")
+        F.sort_array(F.collect_list(F.struct("block_no", "blk"))).alias("_b")
     )
     return pages.select(
         "report", "page_no",
