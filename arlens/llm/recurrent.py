@@ -38,9 +38,7 @@ CLASSES, MEMBERS = 32, 64
 ENDINGS = 64
 OWN = CLASSES * MEMBERS
 #: Values of the state; tokens of a window; documents side by side.
-STATE, WINDOW, LANES, SCORE_LANES = 20, 16, 128, 256
-#: One window in so many of a lane is propagated back; the state runs through all.
-EVERY = 4
+STATE, WINDOW, LANES, SCORE_LANES = 20, 16, 512, 256
 ROUNDS = 4
 RATE, TABLE_RATE, CLIP = 0.03, 0.1, 5.0
 #: Different words that a task holds before it hands on their counts, and tokens
@@ -252,7 +250,7 @@ def gradient(net: Net, read: np.ndarray, target: np.ndarray, h: np.ndarray):
 
 def train(net: Net, texts: list[np.ndarray], rate: float = 1.0, spread: dict | None = None) -> Net:
     """One pass over ``texts`` (symbols, the end symbol last) with truncated
-    backpropagation, steps scaled by their gradients' history (``spread``)."""
+    backpropagation of every window, steps scaled by their gradients' history (``spread``)."""
     net = Net(*[x.copy() for x in net])
     spread = {} if spread is None else spread
     for name, x in net._asdict().items():
@@ -267,7 +265,7 @@ def train(net: Net, texts: list[np.ndarray], rate: float = 1.0, spread: dict | N
 
     read = np.vstack([np.zeros((1, symbol.shape[1]), np.int32), symbol[:-1]])
     h = np.zeros((symbol.shape[1], net.u.shape[0]), np.float32)
-    for t in range(0, len(symbol), EVERY * WINDOW):
+    for t in range(0, len(symbol), WINDOW):
         n = int((symbol[t] >= 0).sum())  # lanes end from the right
         z = t + WINDOW
         _, h, dense, (row, de), (classes, di, db) = gradient(net, np.maximum(read[t:z, :n], 0), symbol[t:z, :n], h[:n])
@@ -277,8 +275,6 @@ def train(net: Net, texts: list[np.ndarray], rate: float = 1.0, spread: dict | N
         if classes:
             step("inner", classes, np.stack(di), RATE)
             step("inner_b", classes, np.stack(db), RATE)
-        if EVERY > 1 and z < len(read):
-            h = recur(net, np.maximum(read[z:t + EVERY * WINDOW, :n], 0), h, keep_all=False)[0][-1]
     return net
 
 
