@@ -95,3 +95,34 @@ def test_every_window_trains_the_network():
     text[-1] = 0
     got = R.train(net, [text])
     assert np.any(got.inner_b[5] != net.inner_b[5])
+
+
+def test_table_pages_meet_once_and_are_sorted_once(spark):
+    """The items of an order meet by one exchange, and the page stays together;
+    the extent's order is the one that the geometry reads."""
+    from arlens.operators import tables as TB
+    from arlens.sources import fixtures
+
+    made = TB.interval_cover(fixtures.table_spans(spark, "/root/testdata/sf0.001"))
+    assert exchanges(made) == 1
+    given = page_spans(spark)
+    plan = TB.interval_cover(given)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_table_spans_of_few_items(spark, tmp_path):
+    """Header rows come once an order, the last row behind its last item; repeated
+    items and orders without a key keep their rows."""
+    from arlens.sources import fixtures
+
+    rows = [(1, 2, 7, 3.0, 1234.5, 0.05), (1, 1, 7, 2.0, 10.0, 0.1), (1, 1, 7, 2.0, 10.0, 0.1), (20, 1, 7, 2.0, 10.0, 0.1), (5, 1, 7, 2.0, None, 0.1), (None, 1, 7, 2.0, 10.0, 0.1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {}
+    for r in fixtures.table_spans(spark, str(tmp_path)).orderBy("page_no", "block_no", "line_no").collect():
+        got.setdefault(r.page_no, []).append((r.block_no, r.text))
+    head = [(2, "Line"), (2, "Quantity"), (2, "Price"), (2, "Discount")]
+    assert got[1] == [(0, "Lines"), (1, "Order lines 1"), *head, (3, "Item 1"), (3, "2"), (3, "10.00"), (3, "0.10"), (4, "Item 2"), (4, "2"), (4, "10.00"), (4, "0.10"),
+                      (5, "Item 3"), (5, "3"), (5, "1,234.50"), (5, "0.05"), (6, "End of page")]
+    assert got[20] == [(0, "Lines"), (1, "Order lines 20"), *head, (3, "Item 1"), (3, "qty"), (3, "price"), (3, "disc"), (4, "End of page")]
+    assert got[5][6:] == [(3, "Item 1"), (3, "2"), (3, None), (3, ""), (4, "End of page")]
+    assert got[None] == [(0, "Lines"), (1, None), *head, (3, "Item 1"), (3, "2"), (3, "10.00"), (3, "0.10"), (4, "End of page")]
