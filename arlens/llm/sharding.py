@@ -116,6 +116,9 @@ def shard_by_bytes(df: DataFrame, key: F.Column, size: F.Column, shards: int = 4
     for s in stats:
         offsets.append((s["_range"], before_n, before_b))
         before_n, before_b = before_n + s["n"], before_b + s["b"]
+    # A group that boundaries cut lies in several ranges; these are as few as the boundaries.
+    cut_keys = sorted({k for k, row in bounds if row >= 0})
+    large = [k for k, b in ranged.filter(F.col("_key").isin(cut_keys)).groupBy("_key").agg(F.sum("_size")).collect() if b * shards > GROUP_SHARE * total] if cut_keys else []
     # one row a range: bounded by the number of boundaries
     offset = spark.createDataFrame(offsets, "_range int, _n0 long, _b0 long")
     in_order = Window.partitionBy("_range").orderBy("_key", "_row")
@@ -127,7 +130,8 @@ def shard_by_bytes(df: DataFrame, key: F.Column, size: F.Column, shards: int = 4
         .withColumn("_group", F.sum("_size").over(whole))
         .withColumn("_from", F.min(F.col("_to") - F.col("_size")).over(whole))
     )
-    mid = F.when(F.col("_group") * shards <= F.lit(GROUP_SHARE * total), F.col("_from") + F.col("_group") / 2).otherwise(F.col("_to") - F.col("_size") / 2)
+    kept = (F.col("_group") * shards <= F.lit(GROUP_SHARE * total)) & ~F.col("_key").isin(large)
+    mid = F.when(kept, F.col("_from") + F.col("_group") / 2).otherwise(F.col("_to") - F.col("_size") / 2)
     placed = cut(placed.select("_data", "_at", F.least(F.floor(mid * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int").alias("shard")))
     first = placed.groupBy("shard").agg(F.min("_at").alias("_first"))
     return placed.join(F.broadcast(first), "shard").select("_data.*", "shard", (F.col("_at") - F.col("_first")).alias("slot"))
