@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,6 +39,8 @@ OWN = CLASSES * MEMBERS
 #: Values of the state; tokens of a window; documents side by side.
 STATE, WINDOW, LANES, SCORE_LANES = 20, 16, 512, 256
 ROUNDS = 4
+#: Times that a window of few lanes is longer when texts are scored.
+LONGER = 8
 RATE, TABLE_RATE, CLIP = 0.03, 0.1, 5.0
 #: Different words that a task holds before it hands on their counts, and tokens
 #: that it holds before it trains on or scores them.
@@ -48,6 +49,8 @@ TALLY, HELD = 500_000, 2_000_000
 SLICE = 4_000_000
 #: Values of the model in one row when copies are averaged.
 PIECE = 8192
+#: Parts of the network that every window changes.
+DENSE = ("wx", "u", "b", "top", "top_b")
 END = b""  # the token behind each document; no word is empty
 
 
@@ -138,82 +141,134 @@ def lanes(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     return symbol, text
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place: 1 / (1 + exp(-x))."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.divide(1, x, out=x)
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """The columns of update, reset and new state apart, as ``recur`` reads them:
+    the exponentials of a step are those of what it finds here, so signs are
+    turned, and the new state's, a tanh, is doubled."""
+    return x.reshape(*x.shape[:-1], 3, -1).swapaxes(0, -2) * np.array([-1, -1, -2], np.float32).reshape(3, *[1] * x.ndim)
+
+
+def gate_inputs(net: Net, x: np.ndarray) -> np.ndarray:
+    """What inputs (number, value) add to each gate: (gate, number, state)."""
+    g = x @ _by_gate(net.wx)
+    g += _by_gate(net.b[None])
+    return g
 
 
 def recur(net: Net, read: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, keep_all: bool = True):
     """States behind every symbol of ``read`` (time, lane), and what
     backpropagation needs.  The end symbol 0 starts a document: the state
-    before it is dropped."""
-    s = h.shape[1]
-    g = gates[read] if gates is not None else net.embed[read] @ net.wx + net.b
+    before it is dropped.  Gates lie apart, so a step works on whole arrays."""
+    s, n = h.shape[1], len(read)
+    x = net.embed[read.ravel()] if gates is None else None
+    g = gate_inputs(net, x).reshape(3, *read.shape, s) if gates is None else gates[:, read]
     keep = (read != 0).astype(np.float32)[:, :, None]
+    u = _by_gate(net.u)
     after = np.empty((*read.shape, s), np.float32)
-    before, z, r, new, inner = (np.empty_like(after) for _ in range(5)) if keep_all else [None] * 5
-    for t in range(len(read)):
-        h = h * keep[t]
-        a = h @ net.u
-        zr = a[:, :2 * s] + g[t, :, :2 * s]
-        _sigmoid(zr)
-        x = zr[:, s:] * a[:, 2 * s:]
-        x += g[t, :, 2 * s:]
-        x *= 2
-        _sigmoid(x)
-        x *= 2
-        x -= 1
-        if keep_all:
-            before[t], z[t], r[t], new[t], inner[t] = h, zr[:, :s], zr[:, s:], x, a[:, 2 * s:]
-        h = h - x
-        h *= zr[:, :s]
-        h += x
-        after[t] = h
-    return after, (keep, before, z, r, new, inner)
-
-
-def _parts(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the outputs and their sums.  Biases are logs of shares and
-    states lie in -1 to 1, so the exponentials stay in range."""
-    e = h @ weight
-    e += bias
+    held = n if keep_all else 1
+    before, new = (np.empty((held, *h.shape), np.float32) for _ in range(2))
+    by_gate = np.empty((held, 3, *h.shape), np.float32)  # update, reset, -2 times the state's part of the new one
+    for t in range(n):
+        k = t if keep_all else 0
+        old, own, fresh, out = before[k], by_gate[k], new[k], after[t]
+        np.multiply(h, keep[t], out=old)
+        np.matmul(old, u, out=own)
+        zr = own[:2]
+        zr += g[:2, t]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.divide(1, zr, out=zr)
+        np.multiply(zr[1], own[2], out=fresh)
+        fresh += g[2, t]
+        np.exp(fresh, out=fresh)
+        fresh += 1
+        np.divide(2, fresh, out=fresh)
+        fresh -= 1
+        np.subtract(old, fresh, out=out)
+        out *= zr[0]
+        out += fresh
+        h = out
+    return after, (keep, before, by_gate, new, x)
+
+
+#: Positions whose outputs are worked on at a time: they stay in the cache.
+OUTPUTS = 1024
+
+
+def _with_bias(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The bias as a last row of the weights."""
+    return np.concatenate([weight, bias[..., None, :]], axis=-2)
+
+
+def _share(e: np.ndarray, own: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Outputs become their exponentials; the share of output ``own`` of each row.
+
+    Biases are logs of shares and states lie in -1 to 1, so the exponentials stay
+    in range.  To ``learn``, the sum of a row is taken off its own output, and
+    its inverse returned: rows times that are the derivatives of minus the log.
+    """
     np.clip(e, -60, 60, out=e)
     np.exp(e, out=e)
-    return e, e.sum(axis=1)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    at = np.arange(0, e.size, e.shape[1]) + own
+    flat_e = e.reshape(-1)
+    mine = flat_e[at]
+    if learn:
+        flat_e[at] = mine - total
+    total = 1 / total
+    return mine * total, total[:, None] if learn else None
 
 
 def predict(net: Net, h: np.ndarray, target: np.ndarray, grads: list | None = None) -> np.ndarray:
     """Log-probability of each target symbol behind its state.  With ``grads``
     (filled: dh, top, top_b, and class, inner, inner_b of the classes met) the
-    derivative of the sum of minus these logs."""
+    derivative of the sum of minus these logs.  Positions are sorted by class, so
+    those of a class are a slice, and classes are worked on by the run."""
+    learn, s = grads is not None, h.shape[1]
     branch = np.where(target < OWN, target // MEMBERS, CLASSES + target - OWN)
-    at = np.arange(len(target))
-    e, total = _parts(h, net.top, net.top_b)
-    share = e[at, branch] / total
-    if grads is not None:
-        e /= total[:, None]
-        e[at, branch] -= 1
-        grads += [e @ net.top.T, h.T @ e, e.sum(axis=0), [], [], []]
+    share = np.empty(len(target), np.float32)
+    one = np.empty((len(target), s + 1), np.float32)  # a state and the 1 that its bias takes
+    one[:, :s], one[:, s] = h, 1
+    weight = _with_bias(net.top, net.top_b)
+    dh, dtop = np.empty_like(one[:, :s]), np.zeros_like(weight)
+    for a in range(0, len(target), OUTPUTS):
+        z = a + OUTPUTS
+        e = one[a:z] @ weight
+        share[a:z], inverse = _share(e, branch[a:z], learn)
+        if learn:
+            np.multiply(e @ net.top.T, inverse, out=dh[a:z])
+            dtop += (one[a:z] * inverse).T @ e
     order = np.argsort(branch.astype(np.int16), kind="stable")
-    edge = np.searchsorted(branch[order], np.arange(CLASSES + 1))
+    edge = np.searchsorted(branch[order], np.arange(CLASSES + 1)).tolist()
+    order = order[:edge[-1]]
+    member, one = target[order] % MEMBERS, one[order]
+    within, back = np.empty(len(order), np.float32), np.empty((len(order), s), np.float32)
+    met = [c for c in range(CLASSES) if edge[c] < edge[c + 1]]
+    weight = _with_bias(net.inner, net.inner_b)
+    dinner = np.empty((len(met), *weight.shape[1:]), np.float32)
+    first = 0
+    while first < len(met):
+        a, last = edge[met[first]], first + 1
+        while last < len(met) and edge[met[last] + 1] - a <= OUTPUTS:
+            last += 1
+        z = edge[met[last - 1] + 1]
+        run = [(k, c, edge[c] - a, edge[c + 1] - a) for k, c in enumerate(met[first:last], first)]
+        x, e = one[a:z], np.empty((z - a, MEMBERS), np.float32)
+        for _, c, i, j in run:
+            np.matmul(x[i:j], weight[c], out=e[i:j])
+        within[a:z], inverse = _share(e, member[a:z], learn)
+        if learn:
+            x, into = x * inverse, back[a:z]
+            for k, c, i, j in run:
+                np.matmul(e[i:j], net.inner[c].T, out=into[i:j])
+                np.matmul(x[i:j].T, e[i:j], out=dinner[k])
+            into *= inverse
+        first = last
+    if learn:
+        dh[order] += back
+        grads += [dh, dtop[:s], dtop[s], met, dinner[:, :s], dinner[:, s]]
     out = np.log(share.astype(float))
-    for c in range(CLASSES):
-        rows = order[edge[c]:edge[c + 1]]
-        if not len(rows):
-            continue
-        hc, member = h[rows], target[rows] % MEMBERS
-        e, total = _parts(hc, net.inner[c], net.inner_b[c])
-        k = np.arange(len(rows))
-        out[rows] += np.log(e[k, member] / total)
-        if grads is not None:
-            e /= total[:, None]
-            e[k, member] -= 1
-            grads[0][rows] += e @ net.inner[c].T
-            for held, x in zip(grads[3:], (c, hc.T @ e, e.sum(axis=0))):
-                held.append(x)
+    out[order] += np.log(within)
     return out
 
 
@@ -221,61 +276,89 @@ def gradient(net: Net, read: np.ndarray, target: np.ndarray, h: np.ndarray):
     """Log-likelihood of a window, the state behind it, and the derivatives of
     minus the former: dense ones by name, symbols with their rows of ``embed``,
     classes with theirs of ``inner``.  Targets of -1 do not count."""
-    after, (keep, before, z, r, new, inner) = recur(net, read, h)
-    s = h.shape[1]
+    after, (keep, before, by_gate, new, embedded) = recur(net, read, h)
+    s, shape = h.shape[1], target.shape
     real = np.flatnonzero(target.ravel() >= 0)
     grads: list = []
-    logs = predict(net, after.reshape(-1, s)[real], target.ravel()[real], grads)
-    out = np.zeros((target.size, s), np.float32)
-    out[real] = grads[0]
-    out = out.reshape(*target.shape, s)
-    dg = np.empty((*read.shape, 3 * s), np.float32)
-    da = np.empty_like(dg)
+    if len(real) == target.size:
+        logs = predict(net, after.reshape(-1, s), target.ravel(), grads)
+        out = grads[0]
+    else:
+        logs = predict(net, after.reshape(-1, s)[real], target.ravel()[real], grads)
+        out = np.zeros((target.size, s), np.float32)
+        out[real] = grads[0]
+    out = out.reshape(*shape, s)
+    # All that multiplies the derivative by the state, made for the whole window:
+    # what update, reset and the state's part of the new one get, and the state before.
+    z, r, inner = by_gate[:, 0], by_gate[:, 1], by_gate[:, 2]
+    not_z = 1 - z
+    to_new = not_z * (1 - new * new)
+    by = np.empty((*shape, 4, s), np.float32)
+    np.multiply((before - new) * z, not_z, out=by[:, :, 0])
+    np.multiply(to_new, r, out=by[:, :, 2])
+    np.multiply(by[:, :, 2], inner * ((r - 1) / 2), out=by[:, :, 1])
+    by[:, :, 3] = z
+    back = np.vstack([net.u.T, np.eye(s, dtype=np.float32)])
+    state = np.empty((*shape, s), np.float32)
     dh = np.zeros_like(h)
     for t in range(len(read) - 1, -1, -1):
-        dh = dh + out[t]
-        dn = dh * (1 - z[t]) * (1 - new[t] * new[t])
-        da[t, :, :s] = dg[t, :, :s] = dh * (before[t] - new[t]) * z[t] * (1 - z[t])
-        da[t, :, s:2 * s] = dg[t, :, s:2 * s] = dn * inner[t] * r[t] * (1 - r[t])
-        dg[t, :, 2 * s:] = dn
-        da[t, :, 2 * s:] = dn * r[t]
-        dh = (dh * z[t] + da[t] @ net.u.T) * keep[t]
-    dg, da, x = dg.reshape(-1, 3 * s), da.reshape(-1, 3 * s), read.ravel()
-    dense = {"wx": net.embed[x].T @ dg, "u": before.reshape(-1, s).T @ da, "b": dg.sum(axis=0), "top": grads[1], "top_b": grads[2]}
-    de = dg @ net.wx.T
-    order = np.argsort(x, kind="stable")
-    symbol, first = np.unique(x[order], return_index=True)
-    return float(logs.sum()), after[-1], dense, (symbol, np.add.reduceat(de[order], first)), grads[3:]
+        own = by[t]
+        np.add(dh, out[t], out=state[t])
+        own *= state[t][:, None]
+        np.matmul(own.reshape(-1, 4 * s), back, out=dh)
+        dh *= keep[t]
+    da, x = by.reshape(-1, 4 * s)[:, :3 * s], read.ravel()
+    du = before.reshape(-1, s).T @ da
+    # What the input adds to the new state does not pass the reset gate.
+    to_new *= state
+    da[:, 2 * s:] = to_new.reshape(-1, s)
+    dense = {"wx": embedded.T @ da, "u": du, "b": np.ones(len(da), np.float32) @ da, "top": grads[1], "top_b": grads[2]}
+    de = da @ net.wx.T
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    x = x[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return float(logs.sum()), after[-1], dense, (x[first], np.add.reduceat(de[order], first)), grads[3:]
 
 
 def train(net: Net, texts: list[np.ndarray], rate: float = 1.0, spread: dict | None = None) -> Net:
     """One pass over ``texts`` (symbols, the end symbol last) with truncated
     backpropagation of every window, steps scaled by their gradients' history (``spread``)."""
-    net = Net(*[x.copy() for x in net])
+    # One array for all that every window changes, and one for the classes with their biases.
+    dense = np.concatenate([getattr(net, k).ravel() for k in DENSE])
+    inner = _with_bias(net.inner, net.inner_b)
+    embed, at = net.embed.copy(), 0
+    net = net._replace(embed=embed, inner=inner[:, :-1], inner_b=inner[:, -1])
+    for k in DENSE:
+        like = getattr(net, k)
+        net = net._replace(**{k: dense[at:at + like.size].reshape(like.shape)})
+        at += like.size
     spread = {} if spread is None else spread
-    for name, x in net._asdict().items():
+    for name, x in (("dense", dense), ("embed", embed), ("inner", inner)):
         spread.setdefault(name, np.full(x.shape, 1e-4, np.float32))
     symbol, _ = lanes(texts, LANES)
     scale = 1 / (WINDOW * LANES)
 
-    def step(name: str, at, g: np.ndarray, by: float) -> None:
-        g = np.clip(g * scale, -CLIP, CLIP)
-        spread[name][at] += g * g
-        getattr(net, name)[at] -= by * rate * g / np.sqrt(spread[name][at])
+    def step(name: str, values: np.ndarray, at, g: np.ndarray, by: float) -> None:
+        g = g * scale
+        np.clip(g, -CLIP, CLIP, out=g)
+        past = spread[name][at]
+        past += g * g
+        spread[name][at] = past
+        g *= by * rate
+        g /= np.sqrt(past)
+        values[at] -= g
 
     read = np.vstack([np.zeros((1, symbol.shape[1]), np.int32), symbol[:-1]])
     h = np.zeros((symbol.shape[1], net.u.shape[0]), np.float32)
     for t in range(0, len(symbol), WINDOW):
         n = int((symbol[t] >= 0).sum())  # lanes end from the right
         z = t + WINDOW
-        _, h, dense, (row, de), (classes, di, db) = gradient(net, np.maximum(read[t:z, :n], 0), symbol[t:z, :n], h[:n])
-        for name, g in dense.items():
-            step(name, ..., g, RATE)
-        step("embed", row, de, TABLE_RATE)
+        _, h, by_name, (row, de), (classes, di, db) = gradient(net, np.maximum(read[t:z, :n], 0), symbol[t:z, :n], h[:n])
+        step("dense", dense, slice(None), np.concatenate([by_name[k].ravel() for k in DENSE]), RATE)
+        step("embed", embed, row, de, TABLE_RATE)
         if classes:
-            step("inner", classes, np.stack(di), RATE)
-            step("inner_b", classes, np.stack(db), RATE)
-    return net
+            step("inner", inner, classes, _with_bias(di, db), RATE)
+    return Net(*[np.ascontiguousarray(x) for x in net])
 
 
 def log_likelihood(net: Net, texts: list[np.ndarray], n_lanes: int = SCORE_LANES, window: int = 32) -> np.ndarray:
@@ -283,18 +366,21 @@ def log_likelihood(net: Net, texts: list[np.ndarray], n_lanes: int = SCORE_LANES
     out = np.zeros(len(texts))
     if not texts:
         return out
-    gates = net.embed @ net.wx + net.b
+    gates = gate_inputs(net, net.embed)
     symbol, text = lanes(texts, n_lanes)
     read = np.vstack([np.zeros((1, symbol.shape[1]), np.int32), symbol[:-1]])
     h = np.zeros((symbol.shape[1], net.u.shape[0]), np.float32)
-    for t in range(0, len(symbol), window):
+    t = 0
+    while t < len(symbol):
         n = int((symbol[t] >= 0).sum())
-        after, _ = recur(net, np.maximum(read[t:t + window, :n], 0), h[:n], gates, False)
+        z = t + window * min(max(n_lanes // n, 1), LONGER)  # states go on, so a window may be of any length
+        after, _ = recur(net, np.maximum(read[t:z, :n], 0), h[:n], gates, False)
         h = after[-1]
-        target = symbol[t:t + window, :n].ravel()
+        target = symbol[t:z, :n].ravel()
         real = np.flatnonzero(target >= 0)
         logs = predict(net, after.reshape(len(target), -1)[real], target[real])
-        out += np.bincount(text[t:t + window, :n].ravel()[real], logs, len(texts))
+        out += np.bincount(text[t:z, :n].ravel()[real], logs, len(texts))
+        t = z
     return out
 
 
@@ -316,21 +402,26 @@ class Lexicon(NamedTuple):
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) of all tokens of ``docs``, the end (an empty word) among them."""
-    def batch(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    names = ["word", "n"]
+
+    def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([b.column(0) for b in held]).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), np.concatenate([b.column(1).to_numpy() for b in held]))
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.RecordBatch] = []
         for b in batches:
             for part in slices(b.column(0), SLICE):
                 _, code, word = tokens(part)
-                for w, n in zip(word.to_pylist(), np.bincount(code, minlength=len(word)).tolist()):
-                    seen[w] += n
-                if len(seen) >= TALLY:
-                    yield batch(seen)
-                    seen = Counter()
-            seen[END] += b.num_rows
-        yield batch(seen)
+                held.append(pa.RecordBatch.from_arrays([word.cast(pa.binary()), pa.array(np.bincount(code, minlength=len(word)).astype(np.int64))], names))
+                if sum(x.num_rows for x in held) >= 2 * TALLY:
+                    held = [merged(held)]
+                    if held[0].num_rows >= TALLY:
+                        yield held.pop()
+            held.append(pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([b.num_rows], pa.int64())], names))
+        if held:
+            yield merged(held)
 
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")

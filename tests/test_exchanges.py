@@ -126,3 +126,33 @@ def test_table_spans_of_few_items(spark, tmp_path):
     assert got[20] == [(0, "Lines"), (1, "Order lines 20"), *head, (3, "Item 1"), (3, "qty"), (3, "price"), (3, "disc"), (4, "End of page")]
     assert got[5][6:] == [(3, "Item 1"), (3, "2"), (3, None), (3, ""), (4, "End of page")]
     assert got[None] == [(0, "Lines"), (1, None), *head, (3, "Item 1"), (3, "2"), (3, "10.00"), (3, "0.10"), (4, "End of page")]
+
+
+def test_outputs_by_the_run_give_the_gradients_of_all(monkeypatch):
+    """Positions are worked on in runs; runs of any length add up to the same."""
+    from arlens.llm import recurrent as R
+
+    rng = np.random.default_rng(3)
+    net = R.new_net(rng.integers(1, 90, R.OWN).astype(float), np.full(R.ENDINGS, 9.0))
+    net = R.Net(*[x + 0.2 * rng.standard_normal(x.shape).astype(np.float32) for x in net])
+    h = np.tanh(rng.standard_normal((300, R.STATE))).astype(np.float32)
+    target = rng.integers(0, R.OWN + R.ENDINGS, 300)
+    got = []
+    for run in (7, 300):
+        monkeypatch.setattr(R, "OUTPUTS", run)
+        grads: list = []
+        got.append((R.predict(net, h, target, grads), *grads))
+    for a, b in zip(*got):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+    assert np.allclose(got[0][0], R.predict(net, h, target), rtol=1e-5)
+
+
+def test_long_texts_alone_are_scored_in_long_windows(monkeypatch):
+    from arlens.llm import recurrent as R
+
+    net = R.new_net(np.ones(R.OWN), np.ones(R.ENDINGS))
+    text = np.append(np.ones(2047, np.int32), 0)
+    calls, predict = [], R.predict
+    monkeypatch.setattr(R, "predict", lambda *a: calls.append(len(a[2])) or predict(*a))
+    R.log_likelihood(net, [text])
+    assert sum(calls) == 2048 and len(calls) <= 8
