@@ -156,3 +156,31 @@ def test_long_texts_alone_are_scored_in_long_windows(monkeypatch):
     monkeypatch.setattr(R, "predict", lambda *a: calls.append(len(a[2])) or predict(*a))
     R.log_likelihood(net, [text])
     assert sum(calls) == 2048 and len(calls) <= 8
+
+
+def test_keys_of_blocks_stay_where_hashes_that_repeat_are_stored(spark):
+    """Hashes that repeat are few and are stored first, so the join sends them to
+    the blocks; the keys of all short blocks met by an exchange before."""
+    from arlens.operators import boilerplate
+    from arlens.plans.joins import materialize
+
+    rows = [(f"r{k % 2}", k, 0, "head" if k % 3 else f"own{k}", 1 + k % 6) for k in range(60)]
+    blk = materialize(spark.createDataFrame(rows, "report string, page_key long, block_no long, block_key string, n_lines long"))
+    often = materialize(boilerplate.often_hashes(blk))
+    rep = boilerplate.repeated_keys(blk, often)
+    plan = rep._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and exchanges(rep) == 1
+    want = {}
+    for r, _, _, key, n in rows:
+        want[r, key] = want.get((r, key), 0) + (n <= 5)
+    assert sorted(map(tuple, rep.collect())) == sorted((*k, n) for k, n in want.items() if n > 10)
+    assert sorted(map(tuple, boilerplate.repeated_keys(blk).collect())) == sorted(map(tuple, rep.collect()))
+
+
+def test_distinct_texts_meet_as_digests_of_16_bytes(spark):
+    from arlens.operators import fonts
+
+    rows = [("r", "F", p, t, (0, p, 0, 0)) for p, t in enumerate(["a", "b", "a", "", None, "b"])]
+    s = fonts.font_stats(spark.createDataFrame(rows, "report string, font_key string, pos long, text string, ord struct<page_key:long,block_no:long,line_no:long,span_no:long>"))
+    assert "unhex(md5(" in s._jdf.queryExecution().executedPlan().toString()
+    assert [(r.n_entries, r.n_distinct, r.text_len) for r in s.collect()] == [(6, 3, 4)]
