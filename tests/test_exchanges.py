@@ -184,3 +184,56 @@ def test_distinct_texts_meet_as_digests_of_16_bytes(spark):
     s = fonts.font_stats(spark.createDataFrame(rows, "report string, font_key string, pos long, text string, ord struct<page_key:long,block_no:long,line_no:long,span_no:long>"))
     assert "unhex(md5(" in s._jdf.queryExecution().executedPlan().toString()
     assert [(r.n_entries, r.n_distinct, r.text_len) for r in s.collect()] == [(6, 3, 4)]
+
+
+def test_block_rows_stored_by_page_stay_where_they_are(spark):
+    """What is known of a page comes to its stored blocks; entries, candidates,
+    tables and html exchange no block row with its spans."""
+    from arlens.operators import boilerplate, fonts, headings, html, layout, tables
+    from arlens.plans.joins import materialize, materialize_by
+
+    given = page_spans(spark, 2, 12).withColumn("text", F.when(F.col("text") == "t0.3", " head ").otherwise(F.col("text")))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blk = materialize_by(boilerplate.blocks(layout.page_split(given)), "page_no", "report")
+        rep = materialize(boilerplate.repeated_keys(blk).where("block_key not like 'B-Bold%'"))
+        assert sorted(map(tuple, rep.collect())) == [("r0", "B10.0: head ", 13), ("r1", "B10.0: head ", 12)]
+        reports = spark.createDataFrame([("r0",)], "report string")
+        marks = materialize(boilerplate.page_marks(materialize(boilerplate.page_summary(blk, rep)), reports))
+        kept = boilerplate.kept_on_pages(blk, marks)
+        assert exchanges(kept) == 1  # of the marks
+        placed = boilerplate.placed(kept)
+        e = fonts.font_entries(placed)
+        assert exchanges(e) == 1
+        old = boilerplate.remove_repeated(blk, rep).where("report = 'r0'")
+        want = fonts.font_entries(boilerplate.block_spans(old), boilerplate.offsets(old))
+        assert sorted(map(tuple, e.collect())) == sorted(map(tuple, want.collect()))
+        font = materialize(spark.createDataFrame([("r0", "B-Bold:10.0:0")], "report string, heading_font string"))
+        cands = headings.heading_candidates(boilerplate.placed(headings.in_heading_font(boilerplate.kept_on_pages(blk, materialize(marks.join(font, "report"))))))
+        assert exchanges(cands) == 1
+        got = [(r.page_key, r.block_no, r.plain_before, r.text) for r in cands.orderBy("page_key").collect()]
+        before = {(r.page_key, r.block_no): r.plain_before for r in boilerplate.offsets(old).collect()}
+        assert got == [(2 * p, 1, before[2 * p, 1], "bold ") for p in range(12)]
+        accepted = materialize(cands.withColumn("accepted", F.col("page_key") == 4))
+        page = html.block_html(kept, accepted)
+        assert exchanges(page) == 2  # of the marks and the headings
+        made = {(r.page_key, r.block_no): r.html for r in page.collect()}
+        assert len(made) == 23 and made[4, 1] == "\n<p><h1><b>bold </b></h1>\n  plain </p>" and made[0, 1] == "\n<p> <b>bold </b>   plain </p>"
+        sheets = kept.select("report", F.col("page_no").alias("sheet"), F.col("page_key").alias("page_no"), "block_no", F.inline("spans"))
+        assert exchanges(tables.interval_cover(sheets)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_tables_are_inserted_where_pages_lie(spark):
+    from arlens.operators.tables import insert_tables
+
+    blocks = spark.createDataFrame([("r", 5, 10 + h, b, f"{h}{b}") for h in (0, 1) for b in range(4)], "report string, page_no long, page_key long, block_no long, html string")
+    found = spark.createDataFrame([("r", 11, 5, 1, 3, "T")], "report string, page_key long, page_no long, block_a long, block_b long, table_html string")
+    want = insert_tables(blocks, found.drop("page_no"), "page_key")
+    got = insert_tables(blocks, found, "page_key", ["page_no", "report"])
+    alone = insert_tables(blocks, found, "page_key", ["page_no"])
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert [r.html for r in got.orderBy("page_key", "block_no").collect()] == ["00", "01", "02", "03", "10", "T", "13"]
