@@ -237,3 +237,19 @@ def test_tables_are_inserted_where_pages_lie(spark):
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert [r.html for r in got.orderBy("page_key", "block_no").collect()] == ["00", "01", "02", "03", "10", "T", "13"]
+
+
+def test_table_insert_brings_tables_to_the_blocks(spark):
+    """Items meet once, for tables and blocks; tables go by report for their number
+    and by page to the blocks."""
+    import __spark_entry__ as E
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = E.queries()["table_insert"](spark, "/root/testdata/sf0.001")
+        assert exchanges(made) == 4  # the items, alike for tables and blocks, and the tables twice
+        assert "table-" not in made._jdf.queryExecution().executedPlan().toString()  # no spans are stored
+        assert made.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
