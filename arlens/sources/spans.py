@@ -3,6 +3,7 @@ and the flat ``spans`` table."""
 
 from __future__ import annotations
 
+import gzip
 import json
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,12 +26,16 @@ PAGE = T.StructType([T.StructField("width", T.DoubleType()), T.StructField("heig
 
 #: What an extractor yields for a file, one row a page, and how it failed.
 EXTRACTED = "path string, page_no bigint, page_json string, error string"
+#: How a gzipped file begins.
+GZIP = b"\x1f\x8b"
 #: Rows of extracted pages handed on together.
 PAGES = 64
 
 
 def json_lines(content: bytes) -> Iterator[tuple[int, dict]]:
-    """The extractor of files with one JSON page a line: {"page_no", "page"}."""
+    """The extractor of files with one JSON page a line, gzipped or not: {"page_no", "page"}."""
+    if content[:2] == GZIP:
+        content = gzip.decompress(content)
     for line in content.decode().split("\n"):
         if line.strip():
             row = json.loads(line)

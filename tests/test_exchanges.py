@@ -253,3 +253,24 @@ def test_table_insert_brings_tables_to_the_blocks(spark):
         assert made.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_page_files_are_gzipped_and_read_either_way(spark, tmp_path):
+    import gzip
+
+    from arlens.sources.fixtures import write_page_files
+    from arlens.sources.spans import extract_pages, flatten_pages, json_lines, nest_pages
+
+    spans = page_spans(spark, 2, 40)
+    pages = nest_pages(spans)
+    write_page_files(pages, f"{tmp_path}/documents")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/documents")
+    got = extract_pages(files, json_lines).withColumn("report", F.regexp_extract("path", "report=([^/]*)/", 1)).collect()
+    assert [(r.report, r.error) for r in got if r.error] == [("broken", "JSONDecodeError")]
+    made = spark.createDataFrame([(r.report, r.page_no, r.page_json) for r in got if not r.error], "report string, page_no long, page_json string")
+    columns = ["report", "page_no", "block_no", "line_no", "span_no", "text", "x0"]
+    assert sorted(map(tuple, flatten_pages(made).select(*columns).collect())) == sorted(map(tuple, spans.select(*columns).collect()))
+    size = sum(r.length for r in files.select("length").collect())
+    assert size < 0.2 * sum(len(r.page_json) for r in got if not r.error)
+    line = b'{"page_no": 3, "page": {"blocks": []}}\n'
+    assert list(json_lines(line)) == list(json_lines(gzip.compress(line))) == [(3, {"blocks": []})]
