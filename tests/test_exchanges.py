@@ -274,3 +274,27 @@ def test_page_files_are_gzipped_and_read_either_way(spark, tmp_path):
     assert size < 0.2 * sum(len(r.page_json) for r in got if not r.error)
     line = b'{"page_no": 3, "page": {"blocks": []}}\n'
     assert list(json_lines(line)) == list(json_lines(gzip.compress(line))) == [(3, {"blocks": []})]
+
+
+def test_security_rows_are_dealt_once_for_their_windows(spark):
+    """Rows meet by security and fiscal year for the filter, the DISTINCT and the
+    windows, which hold both of their ends; none is repeated before that."""
+    import datetime as dt
+
+    from arlens.plans import report
+
+    days = [dt.date(2000, 5, 31), dt.date(2000, 6, 1), dt.date(2001, 5, 31), dt.date(2001, 6, 1), dt.date(2002, 6, 1), dt.date(2002, 6, 2), None]
+    own = [("A", "n", d, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.0) for d in days]
+    equity = spark.createDataFrame([*own, *own, ("B", "n", *own[1][2:])], "isin string, name string, date date, smb double, hml double, liq double, mom double, ln_delta_p double, ln_delta_mkt double, bills_ln_rate double")
+    reports = spark.createDataFrame([("p", "A", 2000), ("q", "A", 1998), ("r", None, 2000), ("s", "A", None)], "path string, isin_db string, year int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = report.window_rows(reports, equity)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Generate explode(sequence") == 2  # rows once; windows for the filter and the join
+        rows = sorted((r.path, r.horizon, r.date) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got.columns == ["isin", "name", "date", "smb", "hml", "liq", "mom", "rx", "rm", "path", "horizon"]
+    assert rows == [*[("p", 1, d) for d in days[1:4]], *[("p", 2, d) for d in days[1:5]], *[("q", 2, d) for d in days[:2]]]
